@@ -1 +1,5 @@
-"""Column expressions shared by the jobs. All of them stay inside codegen."""
+"""SQL expressions shared by the jobs.
+
+Each helper takes SQL text and returns SQL text, for ``expr``, ``selectExpr`` and
+``spark.sql``. All of them are built-in expressions and stay inside codegen.
+"""

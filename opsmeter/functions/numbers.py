@@ -2,73 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from opsmeter.functions.text import WHITESPACE
-
-MONEY = "decimal(18,2)"
+from opsmeter.functions.text import quote, stripped
 
 # Texts that read as a number.
 DECIMAL_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INFINITY_SHAPE = r"(?i)^[+-]?inf(inity)?$"
 
 
-def parse_number(value: Column) -> Column:
-    """Double of a text; null when the text is not a finite number or a spelled infinity.
+def parse_number(value: str) -> str:
+    """Double of a text; null when the text is neither a number nor a spelled infinity.
 
     A number too large for a double is null, as is ``nan``.
     """
-    text = F.btrim(value.cast("string"), F.lit(WHITESPACE))
-    number = text.try_cast("double")
-    overflow = F.abs(number) == F.lit(float("inf"))
-    return F.when(text.rlike(DECIMAL_SHAPE) & ~overflow, number).when(
-        text.rlike(INFINITY_SHAPE), number
-    )
+    text = stripped(value)
+    number = f"try_cast({text} AS DOUBLE)"
+    return f"""CASE
+        WHEN {text} RLIKE {quote(DECIMAL_SHAPE)}
+             THEN IF(abs({number}) < CAST('Infinity' AS DOUBLE), {number}, NULL)
+        WHEN {text} RLIKE {quote(INFINITY_SHAPE)} THEN {number}
+        END"""
+
+
+def known_number(value: str) -> str:
+    """A number as a double, with NaN turned into null."""
+    return f"nullif(CAST({value} AS DOUBLE), CAST('NaN' AS DOUBLE))"
+
+
+def share(part: str, whole: str) -> str:
+    """``part / whole`` as a double, null for an empty whole."""
+    return f"try_divide(CAST({part} AS DOUBLE), CAST({whole} AS DOUBLE))"
 
 
-def known_number(value: Column) -> Column:
-    """A double column with NaN turned into null."""
-    return F.when(~F.isnan(value), value)
+def at_least_one(count: str) -> str:
+    return f"greatest({count}, 1)"
 
 
-def hundredths(amount: Column) -> Column:
+def hundredths(amount: str) -> str:
     """A two-digit decimal as a whole number of hundredths, in a double."""
-    return (amount * 100).cast("decimal(38,0)").cast("double")
+    return f"CAST(CAST({amount} * 100 AS DECIMAL(38,0)) AS DOUBLE)"
 
 
-def rounded_ratio(part: Column, whole: Column, digits: int) -> Column:
+def rounded_ratio(part: str, whole: str, digits: int) -> str:
     """``part / whole`` rounded half up, null for a zero whole.
 
-    Both sides are whole numbers held in doubles, so the quotient is the double
-    closest to the true one and a tie such as 3/96 still rounds up.
+    Both sides are whole numbers, so the quotient is the double closest to the
+    true one and a tie such as 3/96 still rounds up.
     """
-    return F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits)
+    return f"round({share(part, whole)}, {digits})"
 
 
-def rounded_rate(part: Column, whole: Column, digits: int) -> Column:
+def rounded_rate(part: str, whole: str, digits: int) -> str:
     """``rounded_ratio``, but 0 for a zero whole."""
-    return F.when(whole == 0, F.lit(0.0)).otherwise(rounded_ratio(part, whole, digits))
-
-
-def share(part: Column, whole: Column) -> Column:
-    """``part / whole`` as a double, null for an empty whole."""
-    return F.try_divide(part.cast("double"), whole.cast("double"))
+    return f"IF({whole} = 0, 0D, {rounded_ratio(part, whole, digits)})"
 
 
-def at_least_one(count: Column) -> Column:
-    return F.greatest(count, F.lit(1))
+def clamp(value: str, low: float, high: float) -> str:
+    """Keep within [low, high]; null comes out as ``high``."""
+    return f"greatest({low}D, least({high}D, {value}))"
 
 
-def clamp(value: Column, low: float, high: float) -> Column:
-    """Keep within [low, high]; null comes out as ``high``."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+def mean(values: list[str]) -> str:
+    """Mean of some columns of a row; null when one of them is null."""
+    return f"(({' + '.join(values)}) / {len(values)}D)"
 
 
-def first_largest(named: list[tuple[str, Column]]) -> Column:
+def first_largest(named: dict[str, str]) -> str:
     """Name of the largest value; the earliest name wins a tie."""
-    top = F.greatest(*[value for _, value in named])
-    name = F.when(named[0][1] == top, named[0][0])
-    for label, value in named[1:]:
-        name = name.when(value == top, label)
-    return name
+    ranked = [
+        f"struct({value} AS size, {-place} AS place, {quote(name)} AS name)"
+        for place, (name, value) in enumerate(named.items())
+    ]
+    return f"greatest({', '.join(ranked)}).name"

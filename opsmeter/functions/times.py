@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The first and last moments that count as a valid timestamp
 # (the range of 64-bit nanoseconds around 1970).
 EARLIEST = "1677-09-21 00:12:43.145225"
@@ -13,25 +10,28 @@ LATEST = "2262-04-11 23:47:16.854775"
 MICROS_PER_HOUR = 3_600_000_000
 
 
-def parse_timestamp(value: Column) -> Column:
+def parse_timestamp(value: str) -> str:
     """Zone-less timestamp of an ISO date or ISO timestamp, null when it is neither.
 
     Every value is read on its own; one column may mix dates and timestamps.
     """
-    parsed = value.try_cast("timestamp_ntz")
-    low = F.lit(EARLIEST).cast("timestamp_ntz")
-    high = F.lit(LATEST).cast("timestamp_ntz")
-    return F.when(parsed.between(low, high), parsed)
+    parsed = f"try_cast({value} AS TIMESTAMP_NTZ)"
+    return (
+        f"IF({parsed} >= TIMESTAMP_NTZ '{EARLIEST}' AND {parsed} <= TIMESTAMP_NTZ '{LATEST}', "
+        f"{parsed}, NULL)"
+    )
 
 
-def micros_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
+def micros_between(start: str, end: str) -> str:
+    """Whole microseconds, the same in every session time zone."""
+    seconds = f"CAST(CAST({end} - {start} AS INTERVAL SECOND) AS DECIMAL(18,6))"
+    return f"CAST({seconds} * 1000000 AS BIGINT)"
 
 
-def as_hours(micros: Column) -> Column:
-    return micros.cast("double") / F.lit(float(MICROS_PER_HOUR))
+def as_hours(micros: str) -> str:
+    return f"(CAST({micros} AS DOUBLE) / {MICROS_PER_HOUR}D)"
 
 
-def month_key(iso_date: Column) -> Column:
+def month_key(iso_date: str) -> str:
     """``YYYY-MM`` of an ISO date, held as text or as a date."""
-    return F.substring(iso_date.cast("string"), 1, 7)
+    return f"substr(CAST({iso_date} AS STRING), 1, 7)"

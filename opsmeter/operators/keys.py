@@ -13,22 +13,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def repeated_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys held by more than one row; nulls count as one key."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(key)
+def repeated_keys(df: DataFrame, key: str, counted: str = "1") -> DataFrame:
+    """Keys held by more than one row; nulls count as one key.
+
+    ``counted`` names a column without nulls to count instead of the rows. Naming one
+    that ``df`` computes in an aggregate keeps that aggregate as the other users of
+    ``df`` see it, so that they share one shuffle.
+    """
+    sizes = df.groupBy(key).agg(F.expr(f"count({counted}) AS copies"))
+    return sizes.where("copies > 1").select(key)
 
 
 def unmatched_keys(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Distinct child keys without a parent; a null child key is unmatched."""
     wanted = child.select(child_key).distinct()
-    known = parent.select(F.col(parent_key).alias("known_key")).where("known_key IS NOT NULL")
-    return wanted.join(known.distinct(), F.col(child_key) == F.col("known_key"), "left_anti")
+    known = parent.selectExpr(f"{parent_key} AS known_key").where("known_key IS NOT NULL")
+    return wanted.join(known.distinct(), F.expr(f"{child_key} = known_key"), "left_anti")
 
 
 def mark_rows(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
     """Add a boolean ``flag``: the row's key is one of ``keys`` (unique, null allowed)."""
-    marked = keys.select(F.col(keys.columns[0]).alias("marked_key"), F.lit(True).alias(flag))
+    marked = keys.selectExpr(f"{keys.columns[0]} AS marked_key", "true AS is_marked")
     # The null-safe test is not the hash key the aggregate above left its rows by,
     # so both join inputs get their own exchange: the shape skew splitting needs.
-    joined = df.join(marked, F.col(key).eqNullSafe(F.col("marked_key")), "left")
-    return joined.drop("marked_key").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    joined = df.join(marked, F.expr(f"{key} <=> marked_key"), "left")
+    return joined.selectExpr(
+        *[f"`{c}`" for c in df.columns], f"coalesce(is_marked, false) AS {flag}"
+    )

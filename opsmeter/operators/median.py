@@ -7,27 +7,25 @@ at most 2^20 cells, each over the cell the previous one picked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIGIT_BITS = 20
 DIGITS = 3
 
 
-def _cell(value: str, digit: int):
-    return F.shiftright(F.col(value), DIGIT_BITS * digit)
+def _cell(value: str, digit: int) -> str:
+    return f"shiftright({value}, {DIGIT_BITS * digit})"
 
 
 def _pick(cells: DataFrame) -> DataFrame:
     """The cell of each side that holds its rank, and the rank left inside that cell."""
-    running = Window.partitionBy("side").orderBy("cell").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
     return (
-        cells.withColumn("up_to", F.sum("rows").over(running))
-        .withColumn("before", F.col("up_to") - F.col("rows"))
-        .where("before < rank AND rank <= up_to")
-        .select("side", "cell", (F.col("rank") - F.col("before")).alias("rank"))
+        cells.selectExpr(
+            "*", "sum(rows) OVER (PARTITION BY side ORDER BY cell ROWS UNBOUNDED PRECEDING) AS up_to"
+        )
+        .where("up_to - rows < rank AND rank <= up_to")
+        .selectExpr("side", "cell", "rank - (up_to - rows) AS rank")
     )
 
 
@@ -38,30 +36,26 @@ def weighted_median(values: DataFrame, value: str, weight: str) -> DataFrame:
     ``value`` is a bigint from 0 up to 2^60. ``values`` is read three times, so
     hand in a small projection or a stored table.
     """
-    present = values.where(F.col(value).isNotNull()).select(value, weight)
-    everything = Window.partitionBy("all_rows")
+    present = values.where(f"{value} IS NOT NULL").select(value, weight)
+    # the lower middle (side 0) and the upper one (side 1), counted from 1
     cells = (
-        present.groupBy(_cell(value, DIGITS - 1).alias("cell"))
-        .agg(F.sum(weight).alias("rows"))
-        .withColumn("all_rows", F.lit(0))
-        .withColumn("total", F.sum("rows").over(everything))
-        # lower and upper middle, counted from 1
-        .select(
+        present.groupBy(F.expr(f"{_cell(value, DIGITS - 1)} AS cell"))
+        .agg(F.expr(f"sum({weight}) AS rows"))
+        .selectExpr("*", "sum(rows) OVER () AS total")
+        .selectExpr(
             "cell",
             "rows",
-            F.posexplode(
-                F.array(F.expr("(total + 1) div 2"), F.expr("total div 2 + 1"))
-            ).alias("side", "rank"),
+            "posexplode(array((total + 1) div 2, total div 2 + 1)) AS (side, rank)",
         )
     )
     picked = _pick(cells)
     for digit in reversed(range(DIGITS - 1)):
-        # two rows at most: one cell for the lower and one for the upper middle
+        # two rows at most, one per side
         near = F.broadcast(picked.withColumnRenamed("cell", "parent"))
         cells = (
-            present.join(near, _cell(value, digit + 1) == F.col("parent"))
-            .groupBy("side", "rank", _cell(value, digit).alias("cell"))
-            .agg(F.sum(weight).alias("rows"))
+            present.join(near, F.expr(f"{_cell(value, digit + 1)} = parent"))
+            .groupBy("side", "rank", F.expr(f"{_cell(value, digit)} AS cell"))
+            .agg(F.expr(f"sum({weight}) AS rows"))
         )
         picked = _pick(cells)
-    return picked.agg(F.avg("cell").alias("median"))
+    return picked.agg(F.expr("avg(cell) AS median"))

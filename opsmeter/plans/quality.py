@@ -7,15 +7,28 @@ column expression, and a row carries its violations as an array.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmeter.functions.numbers import at_least_one, clamp, known_number, parse_number, share
-from opsmeter.functions.text import float_text, has_email_shape, is_blank, outside, text_or_nan
+from opsmeter.functions.numbers import (
+    at_least_one,
+    clamp,
+    known_number,
+    mean,
+    parse_number,
+    share,
+)
+from opsmeter.functions.text import (
+    float_text,
+    has_email_shape,
+    is_blank,
+    outside,
+    quote,
+    text_or_nan,
+)
 from opsmeter.functions.times import parse_timestamp
 from opsmeter.operators.keys import mark_rows, repeated_keys, unmatched_keys
 
@@ -35,13 +48,13 @@ ORPHANED = "parent_is_missing"
 
 @dataclass(frozen=True)
 class Rule:
-    """``fires`` and ``details`` are built per query: columns need a running session."""
+    """``fires`` and ``details`` are SQL over the flagged rows of the table."""
 
     column: str
     name: str
     severity: str
-    fires: Callable[[], Column]
-    details: Callable[[], Column]
+    fires: str
+    details: str
     by_position: bool = False  # the record has no id: name it by its row
 
 
@@ -55,60 +68,40 @@ class Checks:
     rules: list[Rule]
 
 
-def _says(text: str) -> Callable[[], Column]:
-    return lambda: F.lit(text)
-
-
-def _shows(text: str, column: str, shown: Callable[[Column], Column] = text_or_nan):
-    return lambda: F.concat(F.lit(f"{text}: "), shown(F.col(column)))
+def _shows(text: str, value: str) -> str:
+    return f"concat({quote(text + ': ')}, {value})"
 
 
 def not_null(column: str, severity: str, by_position: bool = False) -> Rule:
-    return Rule(
-        column,
-        "not_null",
-        severity,
-        lambda: is_blank(F.col(column)),
-        _says(f"{column} is missing"),
-        by_position,
-    )
+    details = quote(f"{column} is missing")
+    return Rule(column, "not_null", severity, is_blank(column), details, by_position)
 
 
 def unique(column: str, severity: str) -> Rule:
     """For the key column of the table."""
-    return Rule(
-        column, "unique", severity, lambda: F.col(REPEATED), _says(f"duplicate {column}")
-    )
+    return Rule(column, "unique", severity, REPEATED, quote(f"duplicate {column}"))
 
 
 def valid_email(column: str, severity: str) -> Rule:
+    fires = f"NOT {is_blank(column)} AND NOT {has_email_shape(column)}"
     return Rule(
-        column,
-        "valid_email",
-        severity,
-        lambda: ~is_blank(F.col(column)) & ~has_email_shape(F.col(column)),
-        _shows(f"invalid {column}", column),
+        column, "valid_email", severity, fires, _shows(f"invalid {column}", text_or_nan(column))
     )
 
 
 def valid_date(column: str, severity: str, blank_is_invalid: bool) -> Rule:
-    def fires() -> Column:
-        unread = F.col(f"{column}_parsed").isNull()
-        return unread if blank_is_invalid else unread & ~is_blank(F.col(column))
-
-    return Rule(column, "valid_date", severity, fires, _shows(f"invalid {column}", column))
+    fires = f"{column}_parsed IS NULL"
+    if not blank_is_invalid:
+        fires = f"{fires} AND NOT {is_blank(column)}"
+    return Rule(
+        column, "valid_date", severity, fires, _shows(f"invalid {column}", text_or_nan(column))
+    )
 
 
 def not_future(column: str, severity: str, as_of: datetime) -> Rule:
+    fires = f"coalesce({column}_parsed > TIMESTAMP_NTZ '{as_of.isoformat(' ')}', false)"
     return Rule(
-        column,
-        "not_future",
-        severity,
-        lambda: F.coalesce(
-            F.col(f"{column}_parsed") > F.lit(as_of.isoformat(" ")).cast("timestamp_ntz"),
-            F.lit(False),
-        ),
-        _shows(f"future {column}", column),
+        column, "not_future", severity, fires, _shows(f"future {column}", text_or_nan(column))
     )
 
 
@@ -117,38 +110,26 @@ def allowed_values(column: str, severity: str, allowed: list[str]) -> Rule:
         column,
         "allowed_values",
         severity,
-        lambda: outside(F.col(column), allowed),
-        _shows(f"unexpected {column}", column),
+        outside(column, allowed),
+        _shows(f"unexpected {column}", text_or_nan(column)),
     )
 
 
 def fk_exists(column: str, severity: str) -> Rule:
     return Rule(
-        column,
-        "fk_exists",
-        severity,
-        lambda: F.col(ORPHANED),
-        _shows(f"{column} not found", column),
+        column, "fk_exists", severity, ORPHANED, _shows(f"{column} not found", text_or_nan(column))
     )
 
 
 def numeric(column: str, severity: str) -> Rule:
-    return Rule(
-        column,
-        "not_null",
-        severity,
-        lambda: F.col(column).isNull(),
-        _says(f"{column} is missing or non-numeric"),
-    )
+    details = quote(f"{column} is missing or non-numeric")
+    return Rule(column, "not_null", severity, f"{column} IS NULL", details)
 
 
 def positive(column: str, severity: str) -> Rule:
+    fires = f"coalesce({column} <= 0, false)"
     return Rule(
-        column,
-        "positive",
-        severity,
-        lambda: F.coalesce(F.col(column) <= 0, F.lit(False)),
-        _shows(f"non-positive {column}", column, float_text),
+        column, "positive", severity, fires, _shows(f"non-positive {column}", float_text(column))
     )
 
 
@@ -204,7 +185,7 @@ def transaction_checks(as_of: datetime) -> Checks:
 def flag_customers(customers: DataFrame) -> DataFrame:
     """Add the parsed date and the repeated-key flag. Needs ``row_id`` beside the raw columns."""
     flagged = mark_rows(customers, "customer_id", repeated_keys(customers, "customer_id"), REPEATED)
-    return flagged.withColumn("signup_date_parsed", parse_timestamp(F.col("signup_date")))
+    return flagged.selectExpr("*", f"{parse_timestamp('signup_date')} AS signup_date_parsed")
 
 
 def flag_transactions(transactions: DataFrame, customers: DataFrame) -> DataFrame:
@@ -214,11 +195,10 @@ def flag_transactions(transactions: DataFrame, customers: DataFrame) -> DataFram
     flagged = mark_rows(transactions, "transaction_id", repeated, REPEATED)
     flagged = mark_rows(flagged, "customer_id", orphans, ORPHANED)
     is_text = dict(transactions.dtypes)["amount"] == "string"
-    amount = F.col("amount")
     return flagged.withColumns(
         {
-            "transaction_date_parsed": parse_timestamp(F.col("transaction_date")),
-            "amount": parse_number(amount) if is_text else known_number(amount.cast("double")),
+            "transaction_date_parsed": F.expr(parse_timestamp("transaction_date")),
+            "amount": F.expr(parse_number("amount") if is_text else known_number("amount")),
         }
     )
 
@@ -226,46 +206,26 @@ def flag_transactions(transactions: DataFrame, customers: DataFrame) -> DataFram
 # --- violation log -----------------------------------------------------------
 
 
-def _record_id(checks: Checks, by_position: bool) -> Column:
-    if by_position:
-        return F.concat(F.lit("row_"), F.col("row_id").cast("string"))
-    return text_or_nan(F.col(checks.key))
-
-
-def _severity_rank() -> Column:
-    rank = F.lit(0)
-    for severity, value in SEVERITY_RANK.items():
-        rank = F.when(F.col("severity") == severity, F.lit(value)).otherwise(rank)
-    return rank
-
-
-def violations(checks: Checks) -> Column:
-    """Array of the violations of a flagged row."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    rule.fires(),
-                    F.struct(
-                        _record_id(checks, rule.by_position).alias("record_id"),
-                        F.lit(rule.column).alias("column"),
-                        F.lit(rule.name).alias("rule"),
-                        F.lit(rule.severity).alias("severity"),
-                        rule.details().alias("details"),
-                    ),
-                )
-                for rule in checks.rules
-            ]
-        )
-    )
+def _record_id(checks: Checks, by_position: bool) -> str:
+    return "concat('row_', row_id)" if by_position else text_or_nan(checks.key)
+
+
+def _violation(rule: Rule, checks: Checks) -> str:
+    return f"""IF({rule.fires}, named_struct(
+        'record_id', {_record_id(checks, rule.by_position)},
+        'column', {quote(rule.column)},
+        'rule', {quote(rule.name)},
+        'severity', {quote(rule.severity)},
+        'details', {rule.details},
+        'severity_rank', {SEVERITY_RANK.get(rule.severity, 0)}), NULL)"""
 
 
 def issues(flagged: DataFrame, checks: Checks) -> DataFrame:
     """One row per violation of one table."""
-    log = flagged.select(
-        F.lit(checks.table).alias("table"), F.inline(violations(checks))
+    found = ", ".join(_violation(rule, checks) for rule in checks.rules)
+    return flagged.selectExpr(
+        f"{quote(checks.table)} AS `table`", f"inline(array_compact(array({found})))"
     )
-    return log.withColumn("severity_rank", _severity_rank())
 
 
 def all_issues(*logs: DataFrame) -> DataFrame:
@@ -278,146 +238,100 @@ def all_issues(*logs: DataFrame) -> DataFrame:
 
 def top_rules(log: DataFrame, count: int = 10) -> DataFrame:
     """Rules with the most violations; ties by table and rule."""
-    return (
-        log.groupBy("table", "rule")
-        .agg(F.count(F.lit(1)).alias("size"))
-        .orderBy(F.desc("size"), "table", "rule")
-        .limit(count)
-    )
+    sizes = log.groupBy("table", "rule").agg(F.expr("count(1) AS size"))
+    return sizes.orderBy(F.desc("size"), "table", "rule").limit(count)
 
 
 def issues_by_severity(log: DataFrame) -> DataFrame:
     """Violations per table and severity, the most severe first."""
-    return (
-        log.groupBy("table", "severity", "severity_rank")
-        .agg(F.count(F.lit(1)).alias("issues"))
-        .orderBy(F.desc("severity_rank"), "table")
-    )
-
-
-def _fired(rules: list[Rule]) -> Column:
-    total = F.lit(0)
-    for rule in rules:
-        total = total + rule.fires().cast("int")
-    return total
+    sizes = log.groupBy("table", "severity", "severity_rank").agg(F.expr("count(1) AS issues"))
+    return sizes.orderBy(F.desc("severity_rank"), "table")
 
 
 def record_status(flagged: DataFrame, checks: Checks) -> DataFrame:
     """Every record as ``clean`` or ``failed``, with its number of violations."""
-    return flagged.select(
-        F.lit(checks.table).alias("table"),
+    fired = " + ".join(f"CAST({rule.fires} AS INT)" for rule in checks.rules)
+    return flagged.selectExpr(
+        f"{quote(checks.table)} AS `table`",
         "row_id",
-        text_or_nan(F.col(checks.key)).alias("record_id"),
-        _fired(checks.rules).alias("violations"),
-    ).withColumn("status", F.when(F.col("violations") > 0, "failed").otherwise("clean"))
+        f"{text_or_nan(checks.key)} AS record_id",
+        f"{fired} AS violations",
+    ).selectExpr("*", "IF(violations > 0, 'failed', 'clean') AS status")
+
+
+def _failures(checks: Checks) -> list[str]:
+    """How often each rule fires, for one aggregate over the flagged rows."""
+    return [f"count_if({rule.fires}) AS failed_{i}" for i, rule in enumerate(checks.rules)]
 
 
 def failure_rates(flagged: DataFrame, checks: Checks) -> DataFrame:
     """Failed records and failure rate of every rule, those that never fired included."""
-    counted = flagged.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(rule.fires()).alias(f"failed_{i}") for i, rule in enumerate(checks.rules)],
-    )
-    per_rule = F.array(
-        *[
-            F.struct(
-                F.lit(rule.column).alias("column"),
-                F.lit(rule.name).alias("rule"),
-                F.lit(rule.severity).alias("severity"),
-                F.col(f"failed_{i}").alias("failed_records"),
-            )
-            for i, rule in enumerate(checks.rules)
-        ]
+    counted = flagged.selectExpr("count(1) AS `rows`", *_failures(checks))
+    per_rule = ", ".join(
+        f"""named_struct('column', {quote(rule.column)}, 'rule', {quote(rule.name)},
+                         'severity', {quote(rule.severity)}, 'failed_records', failed_{i})"""
+        for i, rule in enumerate(checks.rules)
     )
-    return counted.select(
-        F.lit(checks.table).alias("table"), "rows", F.inline(per_rule)
-    ).withColumn("failure_rate", share(F.col("failed_records"), at_least_one(F.col("rows"))))
+    return counted.selectExpr(
+        f"{quote(checks.table)} AS `table`", "`rows`", f"inline(array({per_rule}))"
+    ).selectExpr("*", f"{share('failed_records', at_least_one('`rows`'))} AS failure_rate")
 
 
 # --- scorecard ---------------------------------------------------------------
 
 
-def _mean(values: list[Column]) -> Column:
-    total = values[0]
-    for value in values[1:]:
-        total = total + value
-    return total / F.lit(float(len(values)))
-
-
-def _score(issue_rate: Column, completeness: Column, duplicate_rate: Column) -> Column:
-    raw = (
-        F.lit(100.0)
-        - issue_rate * F.lit(ISSUE_RATE_PENALTY)
-        - (F.lit(1.0) - completeness) * F.lit(COMPLETENESS_PENALTY)
-        - duplicate_rate * F.lit(DUPLICATE_PENALTY)
-    )
-    return clamp(raw, 0.0, 100.0)
-
-
 def table_summary(flagged: DataFrame, checks: Checks) -> DataFrame:
     """One row: size, violations, duplicate share, completeness per column, score 0-100.
 
     Rates of a table without rows are null, its score is 100.
     """
     filled = {c: f"completeness_{c}" for c in checks.required}
-    counted = flagged.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(rule.fires()).alias(f"failed_{i}") for i, rule in enumerate(checks.rules)],
-        F.count_if(REPEATED).alias("repeated"),
-        *[F.count_if(~is_blank(F.col(c))).alias(f"filled_{c}") for c in checks.required],
+    counted = flagged.selectExpr(
+        "count(1) AS `rows`",
+        *_failures(checks),
+        f"count_if({REPEATED}) AS repeated",
+        *[f"count_if(NOT {is_blank(c)}) AS filled_{c}" for c in checks.required],
     )
-    failed = F.lit(0)
-    for i in range(len(checks.rules)):
-        failed = failed + F.col(f"failed_{i}")
-    rates = counted.select(
-        F.lit(checks.table).alias("table"),
-        "rows",
-        failed.cast("bigint").alias("issue_count"),
-        share(F.col("repeated"), F.col("rows")).alias("duplicate_rate"),
-        *[share(F.col(f"filled_{c}"), F.col("rows")).alias(name) for c, name in filled.items()],
+    rates = counted.selectExpr(
+        "`rows`",
+        " + ".join(f"failed_{i}" for i in range(len(checks.rules))) + " AS issue_count",
+        f"{share('repeated', '`rows`')} AS duplicate_rate",
+        *[f"{share(f'filled_{c}', '`rows`')} AS {name}" for c, name in filled.items()],
+    ).selectExpr(
+        "*",
+        f"{share('issue_count', at_least_one('`rows`'))} AS issue_rate",
+        f"{mean(list(filled.values()))} AS completeness_overall",
     )
-    rates = rates.withColumns(
-        {
-            "issue_rate": share(F.col("issue_count"), at_least_one(F.col("rows"))),
-            "completeness_overall": _mean([F.col(name) for name in filled.values()]),
-        }
-    )
-    return rates.select(
-        "table",
-        "rows",
+    score = f"""100D - issue_rate * {ISSUE_RATE_PENALTY}D
+                - (1D - completeness_overall) * {COMPLETENESS_PENALTY}D
+                - duplicate_rate * {DUPLICATE_PENALTY}D"""
+    return rates.selectExpr(
+        f"{quote(checks.table)} AS `table`",
+        "`rows`",
         "issue_count",
         "issue_rate",
         "duplicate_rate",
         "completeness_overall",
-        _score(
-            F.col("issue_rate"), F.col("completeness_overall"), F.col("duplicate_rate")
-        ).alias("quality_score"),
+        f"{clamp(score, 0.0, 100.0)} AS quality_score",
         *filled.values(),
     )
 
 
 MEASURES = ["duplicate_rate", "completeness_overall", "quality_score"]
 
-
-def _mean_of_rows(column: str) -> Column:
-    # unlike avg, a null row makes the mean null
-    whole = F.count(column) == F.count(F.lit(1))
-    return F.when(whole, F.sum(column) / F.count(F.lit(1)))
-
-
-def _pooled() -> list[Column]:
-    return [
-        F.sum("rows").alias("rows"),
-        F.sum("issue_count").alias("issue_count"),
-        share(F.sum("issue_count"), at_least_one(F.sum("rows"))).alias("issue_rate"),
-        *[_mean_of_rows(c).alias(c) for c in MEASURES],
-    ]
+# Sums over summary rows; unlike avg, one null makes the mean null.
+POOLED = [
+    "sum(`rows`) AS `rows`",
+    "sum(issue_count) AS issue_count",
+    f"{share('sum(issue_count)', at_least_one('sum(`rows`)'))} AS issue_rate",
+    *[f"IF(count({m}) = count(1), sum({m}) / count(1), NULL) AS {m}" for m in MEASURES],
+]
 
 
 def overall(*summaries: DataFrame) -> DataFrame:
     """One OVERALL row: pooled issue rate, plain means of the tables' other measures."""
-    pooled = _stacked(summaries).agg(*_pooled())
-    return pooled.select(F.lit("OVERALL").alias("table"), *pooled.columns)
+    pooled = _stacked(summaries).selectExpr(*POOLED)
+    return pooled.selectExpr("'OVERALL' AS `table`", "*")
 
 
 def scorecard(*summaries: DataFrame) -> DataFrame:
@@ -427,16 +341,13 @@ def scorecard(*summaries: DataFrame) -> DataFrame:
     """
     stacked = _stacked(summaries)
     filled = [c for c in stacked.columns if c.startswith("completeness_") and c not in MEASURES]
-    is_total = F.grouping("table") == 1
     card = stacked.rollup("table").agg(
-        *_pooled(),
-        *[F.when(~is_total, F.max(c)).alias(c) for c in filled],
-        is_total.alias("is_total"),
+        F.expr("grouping(`table`) = 1 AS is_total"),
+        *[F.expr(sql) for sql in POOLED],
+        *[F.expr(f"IF(grouping(`table`) = 0, max({c}), NULL) AS {c}") for c in filled],
     )
-    return (
-        card.withColumn("table", F.when(F.col("is_total"), "OVERALL").otherwise(F.col("table")))
-        .orderBy(F.desc("is_total"), "table")
-        .drop("is_total")
+    return card.orderBy(F.desc("is_total"), "table").selectExpr(
+        "IF(is_total, 'OVERALL', `table`) AS `table`", *[f"`{c}`" for c in stacked.columns[1:]]
     )
 
 

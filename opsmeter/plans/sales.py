@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsmeter.functions.numbers import MONEY, hundredths, rounded_rate, rounded_ratio
+from opsmeter.functions.numbers import hundredths, rounded_rate, rounded_ratio
 from opsmeter.functions.times import month_key
 
 TOP_PRODUCTS = 25
@@ -31,21 +31,35 @@ class Star:
     fact_returns: DataFrame
 
 
+# Line values, each rounded on its own before any sum.
+LINE_VALUES = [
+    "CAST(round(quantity * unit_price, 2) AS DECIMAL(18,2)) AS revenue",
+    "CAST(round(quantity * unit_cost, 2) AS DECIMAL(18,2)) AS cost",
+    "CAST(round(quantity * unit_price - quantity * unit_cost, 2) AS DECIMAL(18,2)) AS gross_profit",
+]
+
+# Report columns over summed money; doubles at the edge.
+MONEY = ["CAST(revenue AS DOUBLE) AS revenue", "CAST(gross_profit AS DOUBLE) AS gross_profit"]
+MARGIN = f"{rounded_rate(hundredths('gross_profit'), hundredths('revenue'), 4)} AS gross_margin_rate"
+RETURN_RATE = f"{rounded_rate('returned_orders', 'orders', 4)} AS return_rate"
+
+
 # --- enriched views ---------------------------------------------------------
 
 
 def orders_enriched(star: Star) -> DataFrame:
-    customers = star.dim_customers.select(
-        "customer_id", "customer_name", "segment", F.col("region").alias("customer_region")
+    """One row per order with its customer and rep."""
+    customers = star.dim_customers.selectExpr(
+        "customer_id", "customer_name", "segment", "region AS customer_region"
     )
-    reps = star.dim_reps.select("rep_id", "rep_name", F.col("region").alias("rep_region"))
+    reps = star.dim_reps.selectExpr("rep_id", "rep_name", "region AS rep_region")
     return (
         star.fact_orders.join(reps, "rep_id")
         .join(customers, "customer_id")
-        .select(
+        .selectExpr(
             "order_id",
             "order_date",
-            month_key(F.col("order_date")).alias("order_month"),
+            f"{month_key('order_date')} AS order_month",
             "channel",
             "discount_rate",
             "customer_id",
@@ -59,29 +73,18 @@ def orders_enriched(star: Star) -> DataFrame:
     )
 
 
-def _line_values() -> dict[str, Column]:
-    """Revenue, cost and profit of a line, each rounded on its own before any sum."""
-    sold = F.col("quantity") * F.col("unit_price")
-    spent = F.col("quantity") * F.col("unit_cost")
-    values = {"revenue": sold, "cost": spent, "gross_profit": sold - spent}
-    return {name: F.round(value, 2).cast(MONEY) for name, value in values.items()}
-
-
 def order_items_enriched(star: Star, orders: DataFrame | None = None) -> DataFrame:
     """One row per item with its order, customer, rep and product.
 
     ``orders`` may hand in a stored copy of ``orders_enriched``.
     """
     orders = orders if orders is not None else orders_enriched(star)
-    products = star.dim_products.select("product_id", "product_name", "category")
-    items = star.fact_order_items.select(
-        "order_item_id", "order_id", "product_id", "quantity", "unit_price", "unit_cost"
-    )
     return (
-        items.join(products, "product_id")
+        star.fact_order_items.join(
+            star.dim_products.select("product_id", "product_name", "category"), "product_id"
+        )
         .join(orders, "order_id")
-        .withColumns(_line_values())
-        .select(
+        .selectExpr(
             "order_item_id",
             *orders.columns,
             "product_id",
@@ -90,9 +93,7 @@ def order_items_enriched(star: Star, orders: DataFrame | None = None) -> DataFra
             "quantity",
             "unit_price",
             "unit_cost",
-            "revenue",
-            "cost",
-            "gross_profit",
+            *LINE_VALUES,
         )
     )
 
@@ -100,12 +101,11 @@ def order_items_enriched(star: Star, orders: DataFrame | None = None) -> DataFra
 def returns_enriched(star: Star, orders: DataFrame | None = None) -> DataFrame:
     """One row per return with its order, customer and rep."""
     orders = orders if orders is not None else orders_enriched(star)
-    returns = star.fact_returns.select("return_id", "order_id", "return_date", "reason")
-    return returns.join(orders, "order_id").select(
+    return star.fact_returns.join(orders, "order_id").selectExpr(
         "return_id",
         "order_id",
         "return_date",
-        month_key(F.col("return_date")).alias("return_month"),
+        f"{month_key('return_date')} AS return_month",
         "reason",
         "order_date",
         "order_month",
@@ -130,44 +130,26 @@ def order_sales(star: Star, orders: DataFrame | None = None) -> DataFrame:
     orders = orders if orders is not None else orders_enriched(star)
     per_order = (
         star.fact_order_items.join(star.dim_products.select("product_id"), "product_id")
-        .withColumns(_line_values())
+        .selectExpr("order_id", *LINE_VALUES)
         .groupBy("order_id")
-        .agg(
-            F.sum("revenue").alias("revenue"),
-            F.sum("cost").alias("cost"),
-            F.sum("gross_profit").alias("gross_profit"),
-        )
+        .agg(*_sums("revenue", "cost", "gross_profit"))
     )
     header = orders.select("order_id", "order_month", "channel", "customer_id", "rep_region")
     return per_order.join(header, "order_id")
 
 
-def _sums() -> list[Column]:
-    return [F.sum("revenue").alias("revenue"), F.sum("gross_profit").alias("gross_profit")]
-
-
-def _margin() -> Column:
-    return rounded_rate(hundredths(F.col("gross_profit")), hundredths(F.col("revenue")), 4)
-
-
-def _order_value() -> Column:
-    return rounded_ratio(hundredths(F.col("revenue")), F.col("orders") * 100, 2)
-
-
-def _money(name: str) -> Column:
-    return F.col(name).cast("double").alias(name)
+def _sums(*names: str) -> list[Column]:
+    return [F.expr(f"sum({name}) AS {name}") for name in names]
 
 
 def returned_orders(returns: DataFrame, *keys: str) -> DataFrame:
     """Distinct returned orders per key (``returns_enriched`` columns)."""
-    return returns.groupBy(*keys).agg(F.count_distinct("order_id").alias("returned_orders"))
+    return returns.groupBy(*keys).agg(F.expr("count(DISTINCT order_id) AS returned"))
 
 
-def _with_return_rate(kpi: DataFrame, returns: DataFrame, *keys: str) -> DataFrame:
+def _with_returns(kpi: DataFrame, returns: DataFrame, *keys: str) -> DataFrame:
     joined = kpi.join(returned_orders(returns, *keys), list(keys), "left")
-    return joined.withColumn(
-        "returned_orders", F.coalesce(F.col("returned_orders"), F.lit(0))
-    ).withColumn("return_rate", rounded_rate(F.col("returned_orders"), F.col("orders"), 4))
+    return joined.selectExpr(*kpi.columns, "coalesce(returned, 0) AS returned_orders")
 
 
 def kpi_monthly(sales: DataFrame, returns: DataFrame) -> DataFrame:
@@ -177,28 +159,30 @@ def kpi_monthly(sales: DataFrame, returns: DataFrame) -> DataFrame:
     """
     # One row per (order, month, customer), numbered within the order's month: the
     # first stands for the order, so one distinct count is left, that of customers.
-    same_order = Window.partitionBy("order_id", "order_month").orderBy("customer_id")
     months = (
         sales.groupBy("order_id", "order_month", "customer_id")
-        .agg(*_sums())
-        .withColumn("is_first", F.row_number().over(same_order) == 1)
+        .agg(*_sums("revenue", "gross_profit"))
+        .selectExpr(
+            "*",
+            """row_number() OVER (PARTITION BY order_id, order_month ORDER BY customer_id) = 1
+               AS stands_for_order""",
+        )
         .groupBy("order_month")
         .agg(
-            F.count_if("is_first").alias("orders"),
-            F.count_distinct("customer_id").alias("customers"),
-            *_sums(),
+            F.expr("count_if(stands_for_order) AS orders"),
+            F.expr("count(DISTINCT customer_id) AS customers"),
+            *_sums("revenue", "gross_profit"),
         )
     )
-    return _with_return_rate(months, returns, "order_month").select(
+    return _with_returns(months, returns, "order_month").selectExpr(
         "order_month",
         "orders",
         "customers",
-        _money("revenue"),
-        _money("gross_profit"),
-        _margin().alias("gross_margin_rate"),
-        rounded_rate(hundredths(F.col("revenue")), F.col("orders") * 100, 2).alias("aov"),
+        *MONEY,
+        MARGIN,
+        f"{rounded_rate(hundredths('revenue'), '(orders * 100)', 2)} AS aov",
         "returned_orders",
-        "return_rate",
+        RETURN_RATE,
     )
 
 
@@ -206,16 +190,15 @@ def _kpi_by(sales: DataFrame, key: str) -> DataFrame:
     # grouped by order first, each (order, key) pair counts once
     return (
         sales.groupBy("order_id", key)
-        .agg(*_sums())
+        .agg(*_sums("revenue", "gross_profit"))
         .groupBy(key)
-        .agg(F.count("order_id").alias("orders"), *_sums())
-        .select(
+        .agg(F.expr("count(order_id) AS orders"), *_sums("revenue", "gross_profit"))
+        .selectExpr(
             key,
             "orders",
-            _money("revenue"),
-            _money("gross_profit"),
-            _margin().alias("gross_margin_rate"),
-            _order_value().alias("aov"),
+            *MONEY,
+            MARGIN,
+            f"{rounded_ratio(hundredths('revenue'), '(orders * 100)', 2)} AS aov",
         )
     )
 
@@ -239,47 +222,35 @@ def kpi_top_products(
     """
     orders = orders if orders is not None else orders_enriched(star)
     per_product = (
-        star.fact_order_items.withColumns(_line_values())
-        .select("order_id", "product_id", "quantity", "revenue", "gross_profit")
+        star.fact_order_items.selectExpr("order_id", "product_id", "quantity AS units", *LINE_VALUES)
         .join(orders.select("order_id"), "order_id")
         .groupBy("product_id")
-        .agg(F.sum("quantity").alias("units"), *_sums())
+        .agg(*_sums("units", "revenue", "gross_profit"))
     )
     names = star.dim_products.select("product_id", "product_name", "category")
     return (
         per_product.join(names, "product_id")
         .groupBy("product_id", "product_name", "category")
-        .agg(F.sum("units").alias("units"), *_sums())
+        .agg(*_sums("units", "revenue", "gross_profit"))
         .orderBy(F.desc("revenue"), "product_id", "product_name", "category")
         .limit(count)
-        .select(
-            "product_id",
-            "product_name",
-            "category",
-            "units",
-            _money("revenue"),
-            _money("gross_profit"),
-            _margin().alias("gross_margin_rate"),
-        )
+        .selectExpr("product_id", "product_name", "category", "units", *MONEY, MARGIN)
     )
 
 
 def kpi_returns_by_reason(returns: DataFrame) -> DataFrame:
-    return (
-        returns.groupBy("reason")
-        .agg(F.count(F.lit(1)).alias("returns"))
-        .orderBy(F.desc("returns"), "reason")
-    )
+    counts = returns.groupBy("reason").agg(F.expr("count(1) AS returns"))
+    return counts.orderBy(F.desc("returns"), "reason")
 
 
 def kpi_returns_by_channel(orders: DataFrame, returns: DataFrame) -> DataFrame:
     """Orders, returned orders and return rate per order month and channel."""
     placed = orders.groupBy("order_month", "channel").agg(
-        F.count_distinct("order_id").alias("orders")
+        F.expr("count(DISTINCT order_id) AS orders")
     )
     return (
-        _with_return_rate(placed, returns, "order_month", "channel")
-        .select("order_month", "channel", "orders", "returned_orders", "return_rate")
+        _with_returns(placed, returns, "order_month", "channel")
+        .selectExpr("*", RETURN_RATE)
         .orderBy("order_month", "channel")
     )
 
@@ -288,31 +259,32 @@ def kpi_returns_by_channel(orders: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def customer_first_order(orders: DataFrame) -> DataFrame:
-    return orders.groupBy("customer_id").agg(F.min("order_month").alias("first_order_month"))
+    return orders.groupBy("customer_id").agg(F.expr("min(order_month) AS first_order_month"))
 
 
 def customer_cohorts(orders: DataFrame) -> DataFrame:
     """Active customers per first-order month and activity month, with the retention rate."""
     # distinct first: a customer then has one row per month, however many orders
-    active = orders.select("customer_id", "order_month").distinct()
-    first = F.min("order_month").over(Window.partitionBy("customer_id"))
     activity = (
-        active.withColumn("cohort_month", first)
+        orders.select("customer_id", "order_month")
+        .distinct()
+        .selectExpr(
+            "order_month AS activity_month",
+            "min(order_month) OVER (PARTITION BY customer_id) AS cohort_month",
+        )
         .where("cohort_month IS NOT NULL")
-        .groupBy("cohort_month", F.col("order_month").alias("activity_month"))
-        .agg(F.count("customer_id").alias("active_customers"))
+        .groupBy("cohort_month", "activity_month")
+        .agg(F.expr("count(1) AS active_customers"))
     )
-    size = F.max("active_customers").over(Window.partitionBy("cohort_month"))
     return (
-        activity.withColumn("cohort_customers", size)
-        .select(
+        activity.selectExpr(
             "cohort_month",
             "activity_month",
-            "cohort_customers",
+            "max(active_customers) OVER (PARTITION BY cohort_month) AS cohort_customers",
             "active_customers",
-            rounded_ratio(F.col("active_customers"), F.col("cohort_customers"), 4).alias(
-                "retention_rate"
-            ),
+        )
+        .selectExpr(
+            "*", f"{rounded_ratio('active_customers', 'cohort_customers', 4)} AS retention_rate"
         )
         .orderBy("cohort_month", "activity_month")
     )
@@ -333,15 +305,15 @@ def schema_row_counts(star: Star) -> DataFrame:
     ]
     counts = None
     for name in names:
-        one = getattr(star, name).agg(F.count(F.lit(1)).alias("rows"))
-        one = one.select(F.lit(name).alias("table_name"), "rows")
+        one = getattr(star, name).agg(F.expr("count(1) AS rows"))
+        one = one.selectExpr(f"'{name}' AS table_name", "rows")
         counts = one if counts is None else counts.unionByName(one)
     return counts
 
 
 def order_date_range(star: Star) -> DataFrame:
     return star.fact_orders.agg(
-        F.min("order_date").alias("min_order_date"), F.max("order_date").alias("max_order_date")
+        F.expr("min(order_date) AS min_order_date"), F.expr("max(order_date) AS max_order_date")
     )
 
 
@@ -349,7 +321,7 @@ def order_null_audit(star: Star) -> DataFrame:
     """Null counts of the order keys; a null count for a table without rows."""
     columns = ["order_id", "customer_id", "order_date"]
     return star.fact_orders.agg(
-        *[F.sum(F.col(c).isNull().cast("int")).alias(f"null_{c}") for c in columns]
+        *[F.expr(f"sum(CAST({c} IS NULL AS INT)) AS null_{c}") for c in columns]
     )
 
 

@@ -6,7 +6,7 @@ times are complete and in order are *valid*; only those are measured.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsmeter.functions.numbers import at_least_one, first_largest, share
@@ -17,132 +17,105 @@ from opsmeter.operators.staging import stage
 
 TIMES = ["created_at", "intake_at", "triage_at", "work_at", "resolved_at"]
 
-# stage -> the two times it lies between, in workflow order
+# duration of each stage, in workflow order
 STAGES = {
-    "intake": ("created_at", "intake_at"),
-    "triage": ("intake_at", "triage_at"),
-    "work": ("triage_at", "work_at"),
-    "review": ("work_at", "resolved_at"),
+    "intake": micros_between("created_at", "intake_at"),
+    "triage": micros_between("intake_at", "triage_at"),
+    "work": micros_between("triage_at", "work_at"),
+    "review": micros_between("work_at", "resolved_at"),
 }
+CYCLE = micros_between("created_at", "resolved_at")
 
-
-def _cycle_micros() -> Column:
-    return micros_between(F.col("created_at"), F.col("resolved_at"))
-
-
-def _stage_micros(stage_name: str) -> Column:
-    start, end = STAGES[stage_name]
-    return micros_between(F.col(start), F.col(end))
-
-
-def _misses_target() -> Column:
-    target = F.col("sla_target_hours") * F.lit(MICROS_PER_HOUR)
-    return F.coalesce(_cycle_micros() > target, F.lit(False))
-
-
-def _in_order() -> Column:
-    steps = zip(TIMES, TIMES[1:])
-    ordered = F.lit(True)
-    for earlier, later in steps:
-        ordered = ordered & (F.col(earlier) <= F.col(later))
-    return F.coalesce(ordered, F.lit(False))
+IN_ORDER = "coalesce(" + " AND ".join(f"{a} <= {b}" for a, b in zip(TIMES, TIMES[1:])) + ", false)"
+MISSES_TARGET = f"coalesce({CYCLE} > sla_target_hours * {MICROS_PER_HOUR}L, false)"
 
 
 def deduplicate(raw: DataFrame) -> DataFrame:
-    """Read the times, then drop rows equal in every column (unreadable times are equal)."""
-    return raw.withColumns({c: parse_timestamp(F.col(c)) for c in TIMES}).dropDuplicates()
+    """Read the times, drop rows equal in every column, and tell whether the times are in order.
 
-
-def with_timeline_flag(tickets: DataFrame) -> DataFrame:
-    return tickets.withColumn("is_valid_timeline", _in_order())
+    Unreadable times are equal. The order test rides along as an aggregate: as a filter
+    on the grouping columns Spark would repeat the parsing for it below the shuffle.
+    """
+    parsed = raw.withColumns({c: F.expr(parse_timestamp(c)) for c in TIMES})
+    return parsed.groupBy(*parsed.columns).agg(F.expr(f"bool_and({IN_ORDER}) AS is_valid_timeline"))
 
 
 def prepare(raw: DataFrame) -> DataFrame:
     """Deduplicated tickets with ``is_duplicate_ticket_id`` and ``is_valid_timeline``."""
     tickets = deduplicate(raw)
-    repeated = repeated_keys(tickets, "ticket_id")
-    return with_timeline_flag(mark_rows(tickets, "ticket_id", repeated, "is_duplicate_ticket_id"))
+    repeated = repeated_keys(tickets, "ticket_id", counted="is_valid_timeline")
+    flagged = mark_rows(tickets, "ticket_id", repeated, "is_duplicate_ticket_id")
+    return flagged.select(*raw.columns, "is_duplicate_ticket_id", "is_valid_timeline")
 
 
 def rejected(prepared: DataFrame) -> DataFrame:
-    return prepared.where(~F.col("is_valid_timeline"))
-
-
-def valid(prepared: DataFrame) -> DataFrame:
-    return prepared.where("is_valid_timeline")
-
-
-def measured(prepared: DataFrame) -> DataFrame:
-    """Add stage hours, the target flag and the longest stage to every ticket."""
-    lengths = {name: _stage_micros(name) for name in STAGES}
-    return prepared.withColumns(
-        {
-            "cycle_time_hours": as_hours(_cycle_micros()),
-            **{f"{name}_hours": as_hours(micros) for name, micros in lengths.items()},
-            "sla_breached": _misses_target(),
-            "bottleneck_stage": first_largest(list(lengths.items())),
-        }
-    )
+    return prepared.where("NOT is_valid_timeline")
 
 
 def clean(prepared: DataFrame) -> DataFrame:
-    """Valid tickets with their measures."""
-    return measured(valid(prepared))
-
-
-def _exact_sum(micros: Column) -> Column:
-    # a bigint sum overflows beyond some 10^8 tickets of 20 hours
-    return F.sum(micros.cast("decimal(20,0)"))
-
-
-def _mean_hours(total: Column, count: Column) -> Column:
-    return as_hours(share(total, count))
+    """Valid tickets with stage hours, the target flag and the longest stage."""
+    return prepared.where("is_valid_timeline").selectExpr(
+        "*",
+        f"{as_hours(CYCLE)} AS cycle_time_hours",
+        *[f"{as_hours(micros)} AS {name}_hours" for name, micros in STAGES.items()],
+        f"{MISSES_TARGET} AS sla_breached",
+        f"{first_largest(STAGES)} AS bottleneck_stage",
+    )
 
 
 def kpi_overall(raw: DataFrame, prepared: DataFrame) -> DataFrame:
     """One row over all tickets. Runs a job that stores the tickets per cycle time.
 
-    ``prepared`` needs ``is_valid_timeline`` only, so ``with_timeline_flag(deduplicate(raw))``
-    serves as well as ``prepare(raw)``.
+    ``prepared`` needs ``is_valid_timeline`` only, so ``deduplicate(raw)`` serves as
+    well as ``prepare(raw)``.
     """
     cycles = stage(
-        prepared.groupBy(F.when(F.col("is_valid_timeline"), _cycle_micros()).alias("cycle_micros"))
-        .agg(
-            F.count(F.lit(1)).alias("tickets"),
-            F.count_if(_misses_target()).alias("missed"),
+        prepared.selectExpr(
+            f"IF(is_valid_timeline, {CYCLE}, NULL) AS cycle_micros", f"{MISSES_TARGET} AS missed"
         )
+        .groupBy("cycle_micros")
+        .agg(F.expr("count(1) AS tickets"), F.expr("count_if(missed) AS missed"))
     )
-    is_valid = F.col("cycle_micros").isNotNull()
     totals = cycles.agg(
-        F.coalesce(F.sum("tickets"), F.lit(0)).alias("rows_after_drop_duplicates"),
-        F.coalesce(F.sum(F.when(is_valid, F.col("tickets"))), F.lit(0)).alias("rows_valid_timeline"),
-        F.sum(F.col("cycle_micros").cast("decimal(20,0)") * F.col("tickets")).alias("total_micros"),
-        F.sum(F.when(is_valid, F.col("missed"))).alias("missed"),
+        F.expr("coalesce(sum(tickets), 0) AS kept"),
+        F.expr("coalesce(sum(tickets) FILTER (WHERE cycle_micros IS NOT NULL), 0) AS valid"),
+        F.expr("sum(missed) FILTER (WHERE cycle_micros IS NOT NULL) AS missed"),
+        # bigint sums overflow beyond some 10^8 tickets of 20 hours
+        F.expr("sum(CAST(cycle_micros AS DECIMAL(20,0)) * tickets) AS micros"),
     )
-    raw_rows = raw.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    middle = weighted_median(cycles, "cycle_micros", "tickets").scalar()
-    deduplicated, kept = F.col("rows_after_drop_duplicates"), F.col("rows_valid_timeline")
-    return totals.withColumn("rows_raw", raw_rows).select(
+    return totals.withColumns(
+        {
+            "rows_raw": raw.agg(F.expr("count(1) AS rows")).scalar(),
+            "middle": weighted_median(cycles, "cycle_micros", "tickets").scalar(),
+        }
+    ).selectExpr(
         "rows_raw",
-        "rows_after_drop_duplicates",
-        (F.col("rows_raw") - deduplicated).alias("duplicate_rows_removed"),
-        "rows_valid_timeline",
-        (deduplicated - kept).alias("rows_rejected_invalid_timeline"),
-        share(kept, at_least_one(deduplicated)).alias("pct_valid"),
-        _mean_hours(F.col("total_micros"), kept).alias("avg_cycle_time_hours"),
-        as_hours(middle).alias("median_cycle_time_hours"),
-        share(F.col("missed"), kept).alias("sla_breach_rate"),
+        "kept AS rows_after_drop_duplicates",
+        "rows_raw - kept AS duplicate_rows_removed",
+        "valid AS rows_valid_timeline",
+        "kept - valid AS rows_rejected_invalid_timeline",
+        f"{share('valid', at_least_one('kept'))} AS pct_valid",
+        f"{as_hours(share('micros', 'valid'))} AS avg_cycle_time_hours",
+        f"{as_hours('middle')} AS median_cycle_time_hours",
+        f"{share('missed', 'valid')} AS sla_breach_rate",
     )
 
 
-def _per_key(tickets: DataFrame, key: str) -> DataFrame:
+def _per_key(clean_tickets: DataFrame, key: str) -> DataFrame:
     return (
-        tickets.where(F.col(key).isNotNull())
+        clean_tickets.where(f"{key} IS NOT NULL")
         .groupBy(key)
         .agg(
-            F.count("ticket_id").alias("tickets"),
-            _mean_hours(_exact_sum(_cycle_micros()), F.count(F.lit(1))).alias("avg_cycle_time_hours"),
-            share(F.count_if("sla_breached"), F.count(F.lit(1))).alias("sla_breach_rate"),
+            F.expr("count(ticket_id) AS tickets"),
+            F.expr("count(1) AS measured"),
+            F.expr(f"sum(CAST({CYCLE} AS DECIMAL(20,0))) AS micros"),
+            F.expr("count_if(sla_breached) AS missed"),
+        )
+        .selectExpr(
+            key,
+            "tickets",
+            f"{as_hours(share('micros', 'measured'))} AS avg_cycle_time_hours",
+            f"{share('missed', 'measured')} AS sla_breach_rate",
         )
     )
 
