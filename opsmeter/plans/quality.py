@@ -31,6 +31,7 @@ from opsmeter.functions.text import (
 )
 from opsmeter.functions.times import parse_timestamp
 from opsmeter.operators.keys import mark_rows, repeated_keys, unmatched_keys
+from opsmeter.operators.staging import stage
 
 # Fixed values of the rule set.
 ALLOWED_COUNTRIES = ["US", "CA", "MX", "GB", "DE", "IN"]
@@ -183,17 +184,35 @@ def transaction_checks(as_of: datetime) -> Checks:
 
 
 def flag_customers(customers: DataFrame) -> DataFrame:
-    """Add the parsed date and the repeated-key flag. Needs ``row_id`` beside the raw columns."""
-    flagged = mark_rows(customers, "customer_id", repeated_keys(customers, "customer_id"), REPEATED)
+    """Add the parsed date and the repeated-key flag. Needs ``row_id`` beside the raw columns.
+
+    Runs a job over the key column, see ``flag_transactions``.
+    """
+    repeated = stage(repeated_keys(customers, "customer_id"))
+    flagged = mark_rows(customers, "customer_id", repeated, REPEATED)
     return flagged.selectExpr("*", f"{parse_timestamp('signup_date')} AS signup_date_parsed")
 
 
 def flag_transactions(transactions: DataFrame, customers: DataFrame) -> DataFrame:
-    """Add the parsed date, the number of ``amount``, and both key flags."""
+    """Add the parsed date, the number of ``amount``, and both key flags.
+
+    Runs a job over the key columns and stores the offending keys. Their size is then
+    known when Spark plans the join back: few keys are broadcast and no row moves.
+    """
     repeated = repeated_keys(transactions, "transaction_id")
     orphans = unmatched_keys(transactions, "customer_id", customers, "customer_id")
-    flagged = mark_rows(transactions, "transaction_id", repeated, REPEATED)
-    flagged = mark_rows(flagged, "customer_id", orphans, ORPHANED)
+    keys = stage(
+        repeated.selectExpr("'repeated' AS fault", "transaction_id AS faulty_key").union(
+            orphans.selectExpr("'orphaned' AS fault", "customer_id AS faulty_key")
+        )
+    )
+    flagged = transactions
+    for key, fault, flag in [
+        ("transaction_id", "repeated", REPEATED),
+        ("customer_id", "orphaned", ORPHANED),
+    ]:
+        faulty = keys.where(f"fault = '{fault}'").select("faulty_key")
+        flagged = mark_rows(flagged, key, faulty, flag)
     is_text = dict(transactions.dtypes)["amount"] == "string"
     return flagged.withColumns(
         {
@@ -223,9 +242,11 @@ def _violation(rule: Rule, checks: Checks) -> str:
 def issues(flagged: DataFrame, checks: Checks) -> DataFrame:
     """One row per violation of one table."""
     found = ", ".join(_violation(rule, checks) for rule in checks.rules)
+    # Rules that did not fire leave an empty row to drop: compacting the array
+    # instead would take the whole pass out of generated code.
     return flagged.selectExpr(
-        f"{quote(checks.table)} AS `table`", f"inline(array_compact(array({found})))"
-    )
+        f"{quote(checks.table)} AS `table`", f"inline(array({found}))"
+    ).where("rule IS NOT NULL")
 
 
 def all_issues(*logs: DataFrame) -> DataFrame:
