@@ -40,3 +40,20 @@ def mark_rows(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
     return joined.selectExpr(
         *[f"`{c}`" for c in df.columns], f"coalesce(is_marked, false) AS {flag}"
     )
+
+
+def irregular_matches(fact: DataFrame, key: str, dimension: DataFrame) -> DataFrame:
+    """Keys of ``fact`` that match no row of ``dimension``, or several: ``odd_key``, ``matches``.
+
+    A fact that needs nothing from a dimension but the inner join's effect can be
+    weighed by this small frame instead of being shuffled to meet the dimension.
+    """
+    wanted = fact.selectExpr(f"{key} AS odd_key").where("odd_key IS NOT NULL").distinct()
+    known = dimension.selectExpr(f"{key} AS known_key").groupBy("known_key").agg(
+        F.expr("count(1) AS copies")
+    )
+    return (
+        wanted.join(known, F.expr("odd_key = known_key"), "left")
+        .selectExpr("odd_key", "coalesce(copies, 0) AS matches")
+        .where("matches <> 1")
+    )

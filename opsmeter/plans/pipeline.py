@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import SparkSession
 
+from opsmeter.operators.keys import repeated_keys
 from opsmeter.operators.staging import stage
 from opsmeter.plans import quality, sales, tickets
 from opsmeter.plans.sales import Star
@@ -23,12 +24,14 @@ def run_tickets(
 ) -> None:
     """CSV of raw tickets -> clean and rejected tickets and five KPI tables."""
     raw = read_tickets(spark, source, multi_line)
-    prepared = stage(tickets.prepare(raw))
+    deduplicated = stage(tickets.deduplicate(raw))
+    repeated = stage(repeated_keys(deduplicated, "ticket_id"))
+    prepared = tickets.flag_repeated_ids(deduplicated, repeated)
     clean = tickets.clean(prepared)
     save(clean, target, "tickets_clean", fmt)
     save(tickets.rejected(prepared), target, "tickets_rejected", fmt)
     reports = {
-        "kpi_overall": tickets.kpi_overall(raw, prepared),
+        "kpi_overall": tickets.kpi_overall(raw, deduplicated),
         "kpi_by_priority": tickets.kpi_by(clean, "priority"),
         "kpi_by_category": tickets.kpi_by(clean, "category"),
         "kpi_by_owner": tickets.kpi_by(clean, "owner_team"),

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from opsmeter.functions.numbers import hundredths, rounded_rate, rounded_ratio
 from opsmeter.functions.times import month_key
+from opsmeter.operators.keys import irregular_matches
+from opsmeter.operators.staging import stage
 
 TOP_PRODUCTS = 25
 
@@ -121,19 +123,37 @@ def returns_enriched(star: Star, orders: DataFrame | None = None) -> DataFrame:
 # --- KPI tables -------------------------------------------------------------
 
 
+def _matched_items(star: Star) -> DataFrame:
+    """Line values of the items as the inner join with the products leaves them.
+
+    Only the products' effect on the rows is needed, not their columns: an item of an
+    unknown product drops out, one of a product listed n times counts n times. Such
+    products are few; they are stored first, so that Spark broadcasts them and the
+    items stay in place however many products there are.
+    """
+    items = star.fact_order_items.where("product_id IS NOT NULL")
+    odd = stage(irregular_matches(items, "product_id", star.dim_products))
+    weighed = [
+        f"IF(matches IS NULL, {name}, CAST({name} * matches AS DECIMAL(18,2))) AS {name}"
+        for name in ("revenue", "cost", "gross_profit")
+    ]
+    return (
+        items.join(odd, F.expr("product_id = odd_key"), "left")
+        .where("coalesce(matches, 1) > 0")
+        .selectExpr("order_id", "matches", *LINE_VALUES)
+        .selectExpr("order_id", *weighed)
+    )
+
+
 def order_sales(star: Star, orders: DataFrame | None = None) -> DataFrame:
     """Sales per order: month, channel, customer, rep region and the summed lines.
 
     Orders without items, and items without product, are absent. The rows are
     left hash-partitioned by ``order_id``, so per-order grouping needs no shuffle.
+    Runs a job over the product ids.
     """
     orders = orders if orders is not None else orders_enriched(star)
-    per_order = (
-        star.fact_order_items.join(star.dim_products.select("product_id"), "product_id")
-        .selectExpr("order_id", *LINE_VALUES)
-        .groupBy("order_id")
-        .agg(*_sums("revenue", "cost", "gross_profit"))
-    )
+    per_order = _matched_items(star).groupBy("order_id").agg(*_sums("revenue", "cost", "gross_profit"))
     header = orders.select("order_id", "order_month", "channel", "customer_id", "rep_region")
     return per_order.join(header, "order_id")
 

@@ -40,12 +40,22 @@ def deduplicate(raw: DataFrame) -> DataFrame:
     return parsed.groupBy(*parsed.columns).agg(F.expr(f"bool_and({IN_ORDER}) AS is_valid_timeline"))
 
 
+def flag_repeated_ids(tickets: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """Add ``is_duplicate_ticket_id`` to deduplicated tickets; null ids are equal.
+
+    ``repeated`` may hand in the stored repeated ids of stored tickets. Spark then knows
+    their size beforehand and broadcasts them instead of moving the tickets.
+    """
+    if repeated is None:
+        repeated = repeated_keys(tickets, "ticket_id", counted="is_valid_timeline")
+    flagged = mark_rows(tickets, "ticket_id", repeated, "is_duplicate_ticket_id")
+    columns = [c for c in tickets.columns if c != "is_valid_timeline"]
+    return flagged.select(*columns, "is_duplicate_ticket_id", "is_valid_timeline")
+
+
 def prepare(raw: DataFrame) -> DataFrame:
     """Deduplicated tickets with ``is_duplicate_ticket_id`` and ``is_valid_timeline``."""
-    tickets = deduplicate(raw)
-    repeated = repeated_keys(tickets, "ticket_id", counted="is_valid_timeline")
-    flagged = mark_rows(tickets, "ticket_id", repeated, "is_duplicate_ticket_id")
-    return flagged.select(*raw.columns, "is_duplicate_ticket_id", "is_valid_timeline")
+    return flag_repeated_ids(deduplicate(raw))
 
 
 def rejected(prepared: DataFrame) -> DataFrame:

@@ -333,22 +333,22 @@ def _with(ctes: list[str], select: str) -> str:
     return f"WITH {body}\n{select}"
 
 
-def _half_up(part: str, whole: str, digits: int) -> str:
+def half_up(part: str, whole: str, digits: int) -> str:
     """``part / whole`` of whole numbers, rounded half away from zero, as a double."""
     unit = 10**digits
     size = f"((abs({part}) * {2 * unit} + ({whole})) // (({whole}) * 2))"
     return f"(sign({part}) * CAST({size} AS DOUBLE) / {unit}::DOUBLE)"
 
 
-def _cents(amount: str) -> str:
+def cents(amount: str) -> str:
     return f"CAST({amount} * 100 AS HUGEINT)"
 
 
-_MARGIN = _half_up(_cents("sum(gross_profit)"), _cents("sum(revenue)"), 4)
+_MARGIN = half_up(cents("sum(gross_profit)"), cents("sum(revenue)"), 4)
 _MONEY = """CAST(sum(revenue) AS DOUBLE) AS revenue,
             CAST(sum(gross_profit) AS DOUBLE) AS gross_profit"""
 _ORDERS = "count(DISTINCT order_id)"
-_AOV = _half_up(_cents("sum(revenue)"), f"{_ORDERS} * 100", 2)
+_AOV = half_up(cents("sum(revenue)"), f"{_ORDERS} * 100", 2)
 
 
 def _mean_hours(micros: str) -> str:
@@ -385,7 +385,7 @@ def _sales_kpi(key: str, name: str) -> str:
 
 _MONTHLY = f"""
     SELECT m.*, coalesce(r.returned, 0) AS returned_orders,
-           {_half_up("coalesce(r.returned, 0)", "m.orders", 4)} AS return_rate
+           {half_up("coalesce(r.returned, 0)", "m.orders", 4)} AS return_rate
     FROM (SELECT order_month, {_ORDERS} AS orders, count(DISTINCT customer_id) AS customers,
                  {_MONEY}, {_MARGIN} AS gross_margin_rate, {_AOV} AS aov
           FROM v_items GROUP BY order_month) m
@@ -536,7 +536,7 @@ SQL = {
     "kpi_returns_by_channel": _with(
         _VIEWS,
         f"""SELECT o.order_month, o.channel, o.orders, coalesce(r.returned, 0) AS returned_orders,
-                   {_half_up("coalesce(r.returned, 0)", "o.orders", 4)} AS return_rate
+                   {half_up("coalesce(r.returned, 0)", "o.orders", 4)} AS return_rate
             FROM (SELECT order_month, channel, {_ORDERS} AS orders FROM v_orders
                   GROUP BY order_month, channel) o
             LEFT JOIN (SELECT order_month, channel, {_ORDERS} AS returned FROM v_returns
@@ -551,7 +551,7 @@ SQL = {
     "customer_cohorts": _with(
         _VIEWS,
         f"""SELECT a.cohort_month, a.activity_month, s.cohort_customers, a.active_customers,
-                   {_half_up("a.active_customers", "s.cohort_customers", 4)} AS retention_rate
+                   {half_up("a.active_customers", "s.cohort_customers", 4)} AS retention_rate
             FROM (SELECT f.first_month AS cohort_month, o.order_month AS activity_month,
                          count(DISTINCT o.customer_id) AS active_customers
                   FROM v_orders o

@@ -1,0 +1,141 @@
+import csv
+import glob
+from datetime import datetime
+
+import pytest
+
+from opsmeter.plans import pipeline
+from opsmeter.sources.star import read_star
+from opsmeter.sources.text import MISSING_WORDS, missing_to_null, read_csv, read_records, with_row_positions
+from testbed import frames
+from tests.test_sales import DATA, DDL
+
+
+def lines(folder):
+    out = []
+    for path in sorted(glob.glob(f"{folder}/part-*.csv")):
+        with open(path, newline="", encoding="utf-8") as f:
+            out += list(csv.DictReader(f))
+    return out
+
+
+def write_csv(path, header, rows):
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        csv.writer(f).writerows([header, *rows])
+    return str(path)
+
+
+def test_csv_reading(spark, tmp_path):
+    path = write_csv(
+        tmp_path / "a.csv",
+        ["﻿id", "text"],
+        [(1, 'say "hi", twice'), ("NA", ""), (" NA", "  "), ("null", "xä"), ("", "keep")],
+    )
+    got = [tuple(r) for r in missing_to_null(read_csv(spark, path)).collect()]
+    assert got == [("1", 'say "hi", twice'), (None, None), (" NA", "  "), (None, "xä"), (None, "keep")]
+    assert len(MISSING_WORDS) == 19
+
+
+def test_row_positions_over_many_splits(spark, tmp_path):
+    for part in range(3):
+        write_csv(tmp_path / f"part{part}.csv", ["n"], [(part * 10_000 + i,) for i in range(10_000)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        frame = with_row_positions(read_csv(spark, str(tmp_path)))
+        assert read_csv(spark, str(tmp_path)).rdd.getNumPartitions() > 10
+        assert frame.where("row_id <> n").count() == 0 and frame.count() == 30_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_tickets_run_twice_gives_the_same(spark, folder, tmp_path):
+    raw = frames.tickets_raw(spark, folder)
+    raw.coalesce(3).write.option("header", True).csv(str(tmp_path / "raw"))
+    results = []
+    for _ in range(2):
+        pipeline.run_tickets(spark, str(tmp_path / "raw"), str(tmp_path / "out"), "csv")
+        results.append({
+            name: sorted(map(str, lines(tmp_path / "out" / name)))
+            for name in ["tickets_clean", "tickets_rejected", "kpi_overall", "kpi_by_priority",
+                         "kpi_by_category", "kpi_by_owner", "kpi_bottlenecks"]
+        })
+    assert results[0] == results[1]
+    assert [len(v) for v in results[0].values()] == [1468, 32, 1, 4, 5, 4, 4]
+    overall = lines(tmp_path / "out" / "kpi_overall")[0]
+    assert overall["rows_raw"] == "1515" and overall["rows_valid_timeline"] == "1468"
+
+
+def test_quality_run(spark, folder, tmp_path):
+    for name, frame in [("c", frames.customers_raw(spark, folder)), ("t", frames.transactions_raw(spark, folder))]:
+        # null and empty cells look alike in the file, as they do in the inputs
+        frame.drop("row_id").write.option("header", True).csv(str(tmp_path / name))
+    pipeline.run_quality(
+        spark, str(tmp_path / "c"), str(tmp_path / "t"), str(tmp_path / "out"), datetime(2002, 1, 1), "csv"
+    )
+    card = lines(tmp_path / "out" / "dq_summary")
+    assert [r["table"] for r in card] == ["OVERALL", "customers", "transactions"]
+    log = lines(tmp_path / "out" / "dq_issues")
+    assert len(log) == int(card[0]["issue_count"]) and list(card[0])[:2] == ["table", "rows"]
+    assert len(lines(tmp_path / "out" / "dq_record_status")) == 1650
+    assert len(lines(tmp_path / "out" / "dq_failure_rates")) == 19
+    assert len(lines(tmp_path / "out" / "dq_top_rules")) == 10
+    assert [r["severity"] for r in lines(tmp_path / "out" / "dq_issues_by_severity")][0] == "high"
+
+
+def test_missing_ids_are_named_by_their_line(spark, tmp_path):
+    people = write_csv(
+        tmp_path / "people.csv",
+        ["customer_id", "email", "signup_date", "country", "status"],
+        [("C1", "a@b.c", "2020-01-01", "US", "Active"), ("NA", "a@b.c", "2020-01-01", "US", "Active")],
+    )
+    payments = write_csv(
+        tmp_path / "payments.csv",
+        ["transaction_id", "customer_id", "transaction_date", "amount", "currency", "channel"],
+        [("T1", "C1", "2020-01-01", "1", "USD", "Web"), ("T2", "C1", "2020-01-01", "1", "USD", "Web"),
+         ("", "C1", "2020-01-01", "1", "USD", "Web")],
+    )
+    assert read_records(spark, people).columns[0] == "row_id"
+    pipeline.run_quality(spark, people, payments, str(tmp_path / "out"), datetime(2021, 1, 1), "csv")
+    log = lines(tmp_path / "out" / "dq_issues")
+    assert [(r["table"], r["record_id"], r["rule"]) for r in log] == [
+        ("customers", "row_1", "not_null"),
+        ("transactions", "row_2", "not_null"),
+    ]
+
+
+SALES_TABLES = ["kpi_monthly", "kpi_by_region", "kpi_by_channel", "kpi_top_products", "kpi_returns_by_reason",
+                "kpi_returns_by_channel", "customer_first_order", "customer_cohorts"]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_sales_run(spark, tmp_path, fmt):
+    for name, ddl in DDL.items():
+        if fmt == "csv":
+            columns = [c.split()[0] for c in ddl.replace("DECIMAL(18,2)", "D").split(",")]
+            write_csv(tmp_path / f"{name}.csv", columns, DATA[name])
+        else:
+            spark.createDataFrame(DATA[name], ddl).write.parquet(str(tmp_path / name))
+    star = read_star(spark, str(tmp_path), fmt)
+    out = str(tmp_path / "out")
+    for _ in range(2):  # a second run replaces the first
+        pipeline.run_sales(star, out, "parquet")
+        pipeline.sanity_checks(star, out, "parquet")
+    sizes = {name: spark.read.parquet(f"{out}/{name}").count() for name in SALES_TABLES}
+    assert sizes == {"kpi_monthly": 4, "kpi_by_region": 2, "kpi_by_channel": 2, "kpi_top_products": 2,
+                     "kpi_returns_by_reason": 3, "kpi_returns_by_channel": 6, "customer_first_order": 3,
+                     "customer_cohorts": 5}
+    assert spark.sql("SELECT count(*) FROM v_order_items_enriched").collect()[0][0] == 9
+    assert spark.sql("SELECT count(DISTINCT return_month) FROM v_returns_enriched").collect()[0][0] == 2
+    assert spark.table("v_orders_enriched").count() == 8
+
+
+def test_results_as_catalog_tables(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS sales_src")
+    spark.sql("CREATE DATABASE IF NOT EXISTS sales_out")
+    for name, ddl in DDL.items():
+        spark.createDataFrame(DATA[name], ddl).write.mode("overwrite").saveAsTable(f"sales_src.{name}")
+    star = read_star(spark, "sales_src", "table")
+    pipeline.run_sales(star, "sales_out", "table")
+    pipeline.run_sales(star, "sales_out", "table")
+    assert spark.table("sales_out.kpi_monthly").count() == 4
