@@ -4,23 +4,23 @@ from __future__ import annotations
 
 from opsmeter.functions.text import quote, stripped
 
-# Texts that read as a number.
-DECIMAL_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Fixed value: the spellings of infinity that read as a number.
 INFINITY_SHAPE = r"(?i)^[+-]?inf(inity)?$"
 
 
 def parse_number(value: str) -> str:
     """Double of a text; null when the text is neither a number nor a spelled infinity.
 
-    A number too large for a double is null, as is ``nan``.
+    A number too large for a double is null, as is ``nan``. Spark also reads Java's
+    suffixed and hexadecimal literals (``1d``, ``0x1p3``), which are no numbers here.
     """
-    text = stripped(value)
-    number = f"try_cast({text} AS DOUBLE)"
+    number = f"try_cast({value} AS DOUBLE)"
+    java_only = " OR ".join(f"contains({value}, '{letter}')" for letter in "dDfFxX")
     return f"""CASE
-        WHEN {text} RLIKE {quote(DECIMAL_SHAPE)}
-             THEN IF(abs({number}) < CAST('Infinity' AS DOUBLE), {number}, NULL)
-        WHEN {text} RLIKE {quote(INFINITY_SHAPE)} THEN {number}
-        END"""
+        WHEN {number} IS NULL OR isnan({number}) THEN NULL
+        WHEN abs({number}) = CAST('Infinity' AS DOUBLE) OR {java_only}
+             THEN IF({stripped(value)} RLIKE {quote(INFINITY_SHAPE)}, {number}, NULL)
+        ELSE {number} END"""
 
 
 def known_number(value: str) -> str:
@@ -37,11 +37,6 @@ def at_least_one(count: str) -> str:
     return f"greatest({count}, 1)"
 
 
-def hundredths(amount: str) -> str:
-    """A two-digit decimal as a whole number of hundredths, in a double."""
-    return f"CAST(CAST({amount} * 100 AS DECIMAL(38,0)) AS DOUBLE)"
-
-
 def rounded_ratio(part: str, whole: str, digits: int) -> str:
     """``part / whole`` rounded half up, null for a zero whole.
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsmeter.functions.numbers import hundredths, rounded_rate, rounded_ratio
+from opsmeter.functions.numbers import rounded_rate, rounded_ratio
 from opsmeter.functions.times import month_key
 from opsmeter.operators.keys import irregular_matches
 from opsmeter.operators.staging import stage
@@ -33,16 +33,17 @@ class Star:
     fact_returns: DataFrame
 
 
-# Line values, each rounded on its own before any sum.
-LINE_VALUES = [
-    "CAST(round(quantity * unit_price, 2) AS DECIMAL(18,2)) AS revenue",
-    "CAST(round(quantity * unit_cost, 2) AS DECIMAL(18,2)) AS cost",
-    "CAST(round(quantity * unit_price - quantity * unit_cost, 2) AS DECIMAL(18,2)) AS gross_profit",
-]
+# Line values, each rounded half up on its own before any sum (by the cast).
+LINE_VALUES = {
+    "revenue": "CAST(quantity * unit_price AS DECIMAL(18,2))",
+    "cost": "CAST(quantity * unit_cost AS DECIMAL(18,2))",
+    "gross_profit": "CAST(quantity * unit_price - quantity * unit_cost AS DECIMAL(18,2))",
+}
 
-# Report columns over summed money; doubles at the edge.
-MONEY = ["CAST(revenue AS DOUBLE) AS revenue", "CAST(gross_profit AS DOUBLE) AS gross_profit"]
-MARGIN = f"{rounded_rate(hundredths('gross_profit'), hundredths('revenue'), 4)} AS gross_margin_rate"
+# The KPIs sum whole cents: exact in any order, and much cheaper than decimals.
+LINE_CENTS = {f"{name}_cents": f"CAST({v} * 100 AS BIGINT)" for name, v in LINE_VALUES.items()}
+MONEY = ["revenue_cents / 100D AS revenue", "gross_profit_cents / 100D AS gross_profit"]
+MARGIN = f"{rounded_rate('gross_profit_cents', 'revenue_cents', 4)} AS gross_margin_rate"
 RETURN_RATE = f"{rounded_rate('returned_orders', 'orders', 4)} AS return_rate"
 
 
@@ -95,7 +96,7 @@ def order_items_enriched(star: Star, orders: DataFrame | None = None) -> DataFra
             "quantity",
             "unit_price",
             "unit_cost",
-            *LINE_VALUES,
+            *[f"{value} AS {name}" for name, value in LINE_VALUES.items()],
         )
     )
 
@@ -133,31 +134,30 @@ def _matched_items(star: Star) -> DataFrame:
     """
     items = star.fact_order_items.where("product_id IS NOT NULL")
     odd = stage(irregular_matches(items, "product_id", star.dim_products))
-    weighed = [
-        f"IF(matches IS NULL, {name}, CAST({name} * matches AS DECIMAL(18,2))) AS {name}"
-        for name in ("revenue", "cost", "gross_profit")
-    ]
+    weighed = [f"{cents} * coalesce(matches, 1) AS {name}" for name, cents in LINE_CENTS.items()]
     return (
         items.join(odd, F.expr("product_id = odd_key"), "left")
         .where("coalesce(matches, 1) > 0")
-        .selectExpr("order_id", "matches", *LINE_VALUES)
         .selectExpr("order_id", *weighed)
     )
 
 
 def order_sales(star: Star, orders: DataFrame | None = None) -> DataFrame:
-    """Sales per order: month, channel, customer, rep region and the summed lines.
+    """Sales per order: month, channel, customer, rep region and the summed cents.
 
     Orders without items, and items without product, are absent. The rows are
     left hash-partitioned by ``order_id``, so per-order grouping needs no shuffle.
     Runs a job over the product ids.
     """
     orders = orders if orders is not None else orders_enriched(star)
-    per_order = _matched_items(star).groupBy("order_id").agg(*_sums("revenue", "cost", "gross_profit"))
+    per_order = _matched_items(star).groupBy("order_id").agg(*_sums(*LINE_CENTS))
     header = orders.select("order_id", "order_month", "channel", "customer_id", "rep_region")
     return per_order.join(header, "order_id")
 
 
+SUMMED = ["revenue_cents", "gross_profit_cents"]
+
+
 def _sums(*names: str) -> list[Column]:
     return [F.expr(f"sum({name}) AS {name}") for name in names]
 
@@ -181,7 +181,7 @@ def kpi_monthly(sales: DataFrame, returns: DataFrame) -> DataFrame:
     # first stands for the order, so one distinct count is left, that of customers.
     months = (
         sales.groupBy("order_id", "order_month", "customer_id")
-        .agg(*_sums("revenue", "gross_profit"))
+        .agg(*_sums(*SUMMED))
         .selectExpr(
             "*",
             """row_number() OVER (PARTITION BY order_id, order_month ORDER BY customer_id) = 1
@@ -191,7 +191,7 @@ def kpi_monthly(sales: DataFrame, returns: DataFrame) -> DataFrame:
         .agg(
             F.expr("count_if(stands_for_order) AS orders"),
             F.expr("count(DISTINCT customer_id) AS customers"),
-            *_sums("revenue", "gross_profit"),
+            *_sums(*SUMMED),
         )
     )
     return _with_returns(months, returns, "order_month").selectExpr(
@@ -200,7 +200,7 @@ def kpi_monthly(sales: DataFrame, returns: DataFrame) -> DataFrame:
         "customers",
         *MONEY,
         MARGIN,
-        f"{rounded_rate(hundredths('revenue'), '(orders * 100)', 2)} AS aov",
+        f"{rounded_rate('revenue_cents', '(orders * 100)', 2)} AS aov",
         "returned_orders",
         RETURN_RATE,
     )
@@ -210,15 +210,15 @@ def _kpi_by(sales: DataFrame, key: str) -> DataFrame:
     # grouped by order first, each (order, key) pair counts once
     return (
         sales.groupBy("order_id", key)
-        .agg(*_sums("revenue", "gross_profit"))
+        .agg(*_sums(*SUMMED))
         .groupBy(key)
-        .agg(F.expr("count(order_id) AS orders"), *_sums("revenue", "gross_profit"))
+        .agg(F.expr("count(order_id) AS orders"), *_sums(*SUMMED))
         .selectExpr(
             key,
             "orders",
             *MONEY,
             MARGIN,
-            f"{rounded_ratio(hundredths('revenue'), '(orders * 100)', 2)} AS aov",
+            f"{rounded_ratio('revenue_cents', '(orders * 100)', 2)} AS aov",
         )
     )
 
@@ -242,17 +242,22 @@ def kpi_top_products(
     """
     orders = orders if orders is not None else orders_enriched(star)
     per_product = (
-        star.fact_order_items.selectExpr("order_id", "product_id", "quantity AS units", *LINE_VALUES)
+        star.fact_order_items.selectExpr(
+            "order_id",
+            "product_id",
+            "quantity AS units",
+            *[f"{LINE_CENTS[name]} AS {name}" for name in SUMMED],
+        )
         .join(orders.select("order_id"), "order_id")
         .groupBy("product_id")
-        .agg(*_sums("units", "revenue", "gross_profit"))
+        .agg(*_sums("units", *SUMMED))
     )
     names = star.dim_products.select("product_id", "product_name", "category")
     return (
         per_product.join(names, "product_id")
         .groupBy("product_id", "product_name", "category")
-        .agg(*_sums("units", "revenue", "gross_profit"))
-        .orderBy(F.desc("revenue"), "product_id", "product_name", "category")
+        .agg(*_sums("units", *SUMMED))
+        .orderBy(F.desc("revenue_cents"), "product_id", "product_name", "category")
         .limit(count)
         .selectExpr("product_id", "product_name", "category", "units", *MONEY, MARGIN)
     )
