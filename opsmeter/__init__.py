@@ -6,6 +6,6 @@ Three families of jobs, each a set of functions from DataFrames to DataFrames:
 * ``opsmeter.plans.quality``  - rule checks over two tables, violation log, scorecard
 * ``opsmeter.plans.sales``    - star schema views, KPI tables, customer cohorts
 
-``opsmeter.plans.pipeline`` reads the inputs of a family, runs its jobs and
+``opsmeter.plans.runs`` reads the inputs of a family, runs its jobs and
 rewrites its output tables.
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 from datetime import datetime
 
-from opsmeter.plans import pipeline
+from opsmeter.plans import runs
 from opsmeter.session import build_session
 from opsmeter.sources.star import read_star
 
@@ -29,17 +29,17 @@ def main() -> None:
 
     spark = build_session()
     if args.job == "tickets":
-        pipeline.run_tickets(spark, args.source, args.target, args.format)
+        runs.run_tickets(spark, args.source, args.target, args.format)
     elif args.job == "quality":
         # one moment for the whole run
         as_of = args.as_of or datetime.now()
-        pipeline.run_quality(
+        runs.run_quality(
             spark, args.customers, args.transactions, args.target, as_of, args.format
         )
     else:
         star = read_star(spark, args.source, args.source_format)
-        pipeline.run_sales(star, args.target, args.format)
-        pipeline.sanity_checks(star, args.target, args.format)
+        runs.run_sales(star, args.target, args.format)
+        runs.sanity_checks(star, args.target, args.format)
     spark.stop()
 
 

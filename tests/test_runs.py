@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from opsmeter.plans import pipeline
+from opsmeter.plans import runs
 from opsmeter.sources.star import read_star
 from opsmeter.sources.text import MISSING_WORDS, missing_to_null, read_csv, read_records, with_row_positions
 from testbed import frames
@@ -54,7 +54,7 @@ def test_tickets_run_twice_gives_the_same(spark, folder, tmp_path):
     raw.coalesce(3).write.option("header", True).csv(str(tmp_path / "raw"))
     results = []
     for _ in range(2):
-        pipeline.run_tickets(spark, str(tmp_path / "raw"), str(tmp_path / "out"), "csv")
+        runs.run_tickets(spark, str(tmp_path / "raw"), str(tmp_path / "out"), "csv")
         results.append({
             name: sorted(map(str, lines(tmp_path / "out" / name)))
             for name in ["tickets_clean", "tickets_rejected", "kpi_overall", "kpi_by_priority",
@@ -70,7 +70,7 @@ def test_quality_run(spark, folder, tmp_path):
     for name, frame in [("c", frames.customers_raw(spark, folder)), ("t", frames.transactions_raw(spark, folder))]:
         # null and empty cells look alike in the file, as they do in the inputs
         frame.drop("row_id").write.option("header", True).csv(str(tmp_path / name))
-    pipeline.run_quality(
+    runs.run_quality(
         spark, str(tmp_path / "c"), str(tmp_path / "t"), str(tmp_path / "out"), datetime(2002, 1, 1), "csv"
     )
     card = lines(tmp_path / "out" / "dq_summary")
@@ -96,7 +96,7 @@ def test_missing_ids_are_named_by_their_line(spark, tmp_path):
          ("", "C1", "2020-01-01", "1", "USD", "Web")],
     )
     assert read_records(spark, people).columns[0] == "row_id"
-    pipeline.run_quality(spark, people, payments, str(tmp_path / "out"), datetime(2021, 1, 1), "csv")
+    runs.run_quality(spark, people, payments, str(tmp_path / "out"), datetime(2021, 1, 1), "csv")
     log = lines(tmp_path / "out" / "dq_issues")
     assert [(r["table"], r["record_id"], r["rule"]) for r in log] == [
         ("customers", "row_1", "not_null"),
@@ -119,8 +119,8 @@ def test_sales_run(spark, tmp_path, fmt):
     star = read_star(spark, str(tmp_path), fmt)
     out = str(tmp_path / "out")
     for _ in range(2):  # a second run replaces the first
-        pipeline.run_sales(star, out, "parquet")
-        pipeline.sanity_checks(star, out, "parquet")
+        runs.run_sales(star, out, "parquet")
+        runs.sanity_checks(star, out, "parquet")
     sizes = {name: spark.read.parquet(f"{out}/{name}").count() for name in SALES_TABLES}
     assert sizes == {"kpi_monthly": 4, "kpi_by_region": 2, "kpi_by_channel": 2, "kpi_top_products": 2,
                      "kpi_returns_by_reason": 3, "kpi_returns_by_channel": 6, "customer_first_order": 3,
@@ -136,6 +136,6 @@ def test_results_as_catalog_tables(spark, tmp_path):
     for name, ddl in DDL.items():
         spark.createDataFrame(DATA[name], ddl).write.mode("overwrite").saveAsTable(f"sales_src.{name}")
     star = read_star(spark, "sales_src", "table")
-    pipeline.run_sales(star, "sales_out", "table")
-    pipeline.run_sales(star, "sales_out", "table")
+    runs.run_sales(star, "sales_out", "table")
+    runs.run_sales(star, "sales_out", "table")
     assert spark.table("sales_out.kpi_monthly").count() == 4
