@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_area: ContextVar[str | None] = ContextVar("staging_area", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
@@ -24,12 +29,29 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def staging_area(spark: SparkSession) -> Iterator[str]:
+    """Everything staged inside the ``with`` block goes to one folder, removed at its end.
+
+    Results must be written before that; frames over the staged tables end with it.
+    """
+    folder = f"{shared_folder(spark)}/opsmeter-{uuid4()}"
+    token = _area.set(folder)
+    try:
+        yield folder
+    finally:
+        _area.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so that several consumers share one run.
 
     Runs a job. The copy outlives lost executors, and its size is known to the planner.
+    Outside a ``staging_area`` it stays in the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/opsmeter-{uuid4()}"
+    path = f"{_area.get() or shared_folder(spark)}/staged-{uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,6 +136,7 @@ def positive(column: str, severity: str) -> Rule:
 
 
 def customer_checks(as_of: datetime) -> Checks:
+    """The rules of the customer table, their severities and required columns."""
     return Checks(
         "customers",
         key="customer_id",
@@ -153,6 +155,7 @@ def customer_checks(as_of: datetime) -> Checks:
 
 
 def transaction_checks(as_of: datetime) -> Checks:
+    """The rules of the transaction table, their severities and required columns."""
     return Checks(
         "transactions",
         key="transaction_id",
@@ -249,12 +252,9 @@ def issues(flagged: DataFrame, checks: Checks) -> DataFrame:
     ).where("rule IS NOT NULL")
 
 
-def all_issues(*logs: DataFrame) -> DataFrame:
-    """The logs of several tables as one."""
-    combined = logs[0]
-    for log in logs[1:]:
-        combined = combined.unionByName(log)
-    return combined
+def combined(*results: DataFrame) -> DataFrame:
+    """The logs, record states or failure rates of several tables as one."""
+    return reduce(DataFrame.unionByName, results)
 
 
 def top_rules(log: DataFrame, count: int = 10) -> DataFrame:
@@ -373,7 +373,4 @@ def scorecard(*summaries: DataFrame) -> DataFrame:
 
 
 def _stacked(summaries: tuple[DataFrame, ...]) -> DataFrame:
-    stacked = summaries[0]
-    for summary in summaries[1:]:
-        stacked = stacked.unionByName(summary, allowMissingColumns=True)
-    return stacked
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), summaries)

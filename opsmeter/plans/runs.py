@@ -1,7 +1,7 @@
 """The three runs: read the inputs, compute, rewrite the output tables.
 
 What several outputs need is stored once in the shared folder (``stage``), so the
-big shuffles of a run happen once. ``fmt`` is a file format for ``target`` as a
+big shuffles of a run happen once; the run removes it at its end. ``fmt`` is a file format for ``target`` as a
 folder, or ``table`` for ``target`` as a database.
 """
 
@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 
 from opsmeter.operators.keys import repeated_keys
-from opsmeter.operators.staging import stage
+from opsmeter.operators.staging import stage, staging_area
 from opsmeter.plans import quality, sales, tickets
 from opsmeter.plans.sales import Star
 from opsmeter.sources.sinks import save, save_report
@@ -23,22 +23,23 @@ def run_tickets(
     spark: SparkSession, source: str, target: str, fmt: str = "parquet", multi_line: bool = False
 ) -> None:
     """CSV of raw tickets -> clean and rejected tickets and five KPI tables."""
-    raw = read_tickets(spark, source, multi_line)
-    deduplicated = stage(tickets.deduplicate(raw))
-    repeated = stage(repeated_keys(deduplicated, "ticket_id"))
-    prepared = tickets.flag_repeated_ids(deduplicated, repeated)
-    clean = tickets.clean(prepared)
-    save(clean, target, "tickets_clean", fmt)
-    save(tickets.rejected(prepared), target, "tickets_rejected", fmt)
-    reports = {
-        "kpi_overall": tickets.kpi_overall(raw, deduplicated),
-        "kpi_by_priority": tickets.kpi_by(clean, "priority"),
-        "kpi_by_category": tickets.kpi_by(clean, "category"),
-        "kpi_by_owner": tickets.kpi_by(clean, "owner_team"),
-        "kpi_bottlenecks": tickets.bottlenecks(clean),
-    }
-    for name, report in reports.items():
-        save_report(report, target, name, fmt)
+    with staging_area(spark):
+        raw = read_tickets(spark, source, multi_line)
+        deduplicated = stage(tickets.deduplicate(raw))
+        repeated = stage(repeated_keys(deduplicated, "ticket_id"))
+        prepared = tickets.flag_repeated_ids(deduplicated, repeated)
+        save(tickets.clean(prepared), target, "tickets_clean", fmt)
+        save(tickets.rejected(prepared), target, "tickets_rejected", fmt)
+        clean = tickets.clean(deduplicated)  # the KPIs do without the flag
+        reports = {
+            "kpi_overall": tickets.kpi_overall(raw, deduplicated),
+            "kpi_by_priority": tickets.kpi_by(clean, "priority"),
+            "kpi_by_category": tickets.kpi_by(clean, "category"),
+            "kpi_by_owner": tickets.kpi_by(clean, "owner_team"),
+            "kpi_bottlenecks": tickets.bottlenecks(clean),
+        }
+        for name, report in reports.items():
+            save_report(report, target, name, fmt)
 
 
 def run_quality(
@@ -51,22 +52,23 @@ def run_quality(
     multi_line: bool = False,
 ) -> None:
     """CSVs of customers and transactions -> violation log, scorecard, record status, breakdowns."""
-    people = stage(read_records(spark, customers, multi_line))
-    payments = stage(read_records(spark, transactions, multi_line))
-    checked = [
-        (stage(quality.flag_customers(people)), quality.customer_checks(as_of)),
-        (stage(quality.flag_transactions(payments, people)), quality.transaction_checks(as_of)),
-    ]
-    log = quality.all_issues(*[quality.issues(*table) for table in checked])
-    status = quality.all_issues(*[quality.record_status(*table) for table in checked])
-    rates = quality.all_issues(*[quality.failure_rates(*table) for table in checked])
-    card = quality.scorecard(*[quality.table_summary(*table) for table in checked])
-    save(log, target, "dq_issues", fmt)
-    save(status, target, "dq_record_status", fmt)
-    save_report(card, target, "dq_summary", fmt)
-    save_report(rates, target, "dq_failure_rates", fmt)
-    save_report(quality.top_rules(log), target, "dq_top_rules", fmt)
-    save_report(quality.issues_by_severity(log), target, "dq_issues_by_severity", fmt)
+    with staging_area(spark):
+        people = stage(read_records(spark, customers, multi_line))
+        payments = stage(read_records(spark, transactions, multi_line))
+        checked = [
+            (stage(quality.flag_customers(people)), quality.customer_checks(as_of)),
+            (stage(quality.flag_transactions(payments, people)), quality.transaction_checks(as_of)),
+        ]
+        log = quality.combined(*[quality.issues(*table) for table in checked])
+        status = quality.combined(*[quality.record_status(*table) for table in checked])
+        rates = quality.combined(*[quality.failure_rates(*table) for table in checked])
+        card = quality.scorecard(*[quality.table_summary(*table) for table in checked])
+        save(log, target, "dq_issues", fmt)
+        save(status, target, "dq_record_status", fmt)
+        save_report(card, target, "dq_summary", fmt)
+        save_report(rates, target, "dq_failure_rates", fmt)
+        save_report(quality.top_rules(log), target, "dq_top_rules", fmt)
+        save_report(quality.issues_by_severity(log), target, "dq_issues_by_severity", fmt)
 
 
 def register_views(star: Star) -> None:
@@ -80,21 +82,22 @@ def register_views(star: Star) -> None:
 def run_sales(star: Star, target: str, fmt: str = "parquet") -> None:
     """Star schema -> views, six KPI tables and two cohort tables."""
     register_views(star)
-    orders = stage(sales.orders_enriched(star))
-    returns = stage(sales.returns_enriched(star, orders))
-    per_order = stage(sales.order_sales(star, orders))
-    save(sales.customer_first_order(orders), target, "customer_first_order", fmt)
-    reports = {
-        "kpi_monthly": sales.kpi_monthly(per_order, returns).orderBy("order_month"),
-        "kpi_by_region": sales.kpi_by_region(per_order).orderBy("region"),
-        "kpi_by_channel": sales.kpi_by_channel(per_order).orderBy("channel"),
-        "kpi_top_products": sales.kpi_top_products(star, orders),
-        "kpi_returns_by_reason": sales.kpi_returns_by_reason(returns),
-        "kpi_returns_by_channel": sales.kpi_returns_by_channel(orders, returns),
-        "customer_cohorts": sales.customer_cohorts(orders),
-    }
-    for name, report in reports.items():
-        save_report(report, target, name, fmt)
+    with staging_area(star.fact_orders.sparkSession):
+        orders = stage(sales.orders_enriched(star))
+        returns = stage(sales.returns_enriched(star, orders))
+        per_order = stage(sales.order_sales(star, orders))
+        save(sales.customer_first_order(orders), target, "customer_first_order", fmt)
+        reports = {
+            "kpi_monthly": sales.kpi_monthly(per_order, returns).orderBy("order_month"),
+            "kpi_by_region": sales.kpi_by_region(per_order).orderBy("region"),
+            "kpi_by_channel": sales.kpi_by_channel(per_order).orderBy("channel"),
+            "kpi_top_products": sales.kpi_top_products(star, orders),
+            "kpi_returns_by_reason": sales.kpi_returns_by_reason(returns),
+            "kpi_returns_by_channel": sales.kpi_returns_by_channel(orders, returns),
+            "customer_cohorts": sales.customer_cohorts(orders),
+        }
+        for name, report in reports.items():
+            save_report(report, target, name, fmt)
 
 
 def sanity_checks(star: Star, target: str, fmt: str = "parquet") -> None:

@@ -9,6 +9,7 @@ which shuffles one row per order instead of one per item.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -328,12 +329,10 @@ def schema_row_counts(star: Star) -> DataFrame:
         "fact_order_items",
         "fact_returns",
     ]
-    counts = None
-    for name in names:
-        one = getattr(star, name).agg(F.expr("count(1) AS rows"))
-        one = one.selectExpr(f"'{name}' AS table_name", "rows")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    return reduce(
+        DataFrame.unionByName,
+        [getattr(star, name).selectExpr(f"'{name}' AS table_name", "count(1) AS `rows`") for name in names],
+    )
 
 
 def order_date_range(star: Star) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from opsmeter.operators.keys import mark_rows, repeated_keys, unmatched_keys
 from opsmeter.operators.median import weighted_median
-from opsmeter.operators.staging import shared_folder, stage
+from opsmeter.operators.staging import shared_folder, stage, staging_area
 from tests.conftest import executed_plan
 
 
@@ -73,3 +73,14 @@ def test_stage_writes_to_the_shared_folder(spark):
     assert copy.count() == 5
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert all(shared_folder(spark) in f for f in copy.inputFiles())
+
+
+def test_staging_area_is_removed(spark):
+    import os
+
+    with staging_area(spark) as area:
+        copy = stage(spark.range(5))
+        assert copy.count() == 5 and all(area in f for f in copy.inputFiles())
+        assert os.path.isdir(area)
+    assert not os.path.exists(area)
+    assert "opsmeter-" not in stage(spark.range(1)).inputFiles()[0]

@@ -118,7 +118,7 @@ def test_summary_and_breakdowns(people, payments):
     total = quality.overall(quality.table_summary(*one), quality.table_summary(*two)).collect()[0]
     assert tuple(total) == tuple(card[0])[:7]
 
-    log = quality.all_issues(quality.issues(*one), quality.issues(*two))
+    log = quality.combined(quality.issues(*one), quality.issues(*two))
     assert [tuple(r) for r in quality.top_rules(log, 3).collect()] == [
         ("transactions", "not_null", 8),
         ("customers", "allowed_values", 5),
@@ -136,7 +136,7 @@ def test_empty_tables(people, payments):
     nobody, nothing = people.limit(0), payments.limit(0)
     one = quality.flag_customers(nobody), CUSTOMERS
     two = quality.flag_transactions(nothing, nobody), TRANSACTIONS
-    assert quality.all_issues(quality.issues(*one), quality.issues(*two)).count() == 0
+    assert quality.combined(quality.issues(*one), quality.issues(*two)).count() == 0
     card = quality.scorecard(quality.table_summary(*one), quality.table_summary(*two)).collect()
     assert [(r.rows, r.issue_count, r.issue_rate, r.quality_score) for r in card] == [(0, 0, 0.0, 100.0)] * 3
     assert all(r.duplicate_rate is None and r.completeness_overall is None for r in card)
