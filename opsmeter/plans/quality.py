@@ -101,7 +101,8 @@ def valid_date(column: str, severity: str, blank_is_invalid: bool) -> Rule:
 
 
 def not_future(column: str, severity: str, as_of: datetime) -> Rule:
-    fires = f"coalesce({column}_parsed > TIMESTAMP_NTZ '{as_of.isoformat(' ')}', false)"
+    moment = as_of.replace(tzinfo=None).isoformat(" ")
+    fires = f"coalesce({column}_parsed > TIMESTAMP_NTZ '{moment}', false)"
     return Rule(
         column, "not_future", severity, fires, _shows(f"future {column}", text_or_nan(column))
     )

@@ -143,17 +143,26 @@ def _matched_items(star: Star) -> DataFrame:
     )
 
 
-def order_sales(star: Star, orders: DataFrame | None = None) -> DataFrame:
+def order_sales(
+    star: Star, orders: DataFrame | None = None, unique_orders: bool = False
+) -> DataFrame:
     """Sales per order: month, channel, customer, rep region and the summed cents.
 
-    Orders without items, and items without product, are absent. The rows are
-    left hash-partitioned by ``order_id``, so per-order grouping needs no shuffle.
-    Runs a job over the product ids.
+    Orders without items, and items without product, are absent. The rows are left
+    hash-partitioned by ``order_id``. Runs a job over the product ids.
+
+    ``unique_orders`` states that no order id occurs twice among the orders. Otherwise
+    copies of an order are collapsed first, so that they never meet in one task.
     """
     orders = orders if orders is not None else orders_enriched(star)
     per_order = _matched_items(star).groupBy("order_id").agg(*_sums(*LINE_CENTS))
     header = orders.select("order_id", "order_month", "channel", "customer_id", "rep_region")
-    return per_order.join(header, "order_id")
+    if unique_orders:
+        return per_order.join(header, "order_id")
+    distinct = header.groupBy(*header.columns).agg(F.expr("count(1) AS copies"))
+    return per_order.join(distinct, "order_id").selectExpr(
+        *header.columns, *[f"{name} * copies AS {name}" for name in LINE_CENTS]
+    )
 
 
 SUMMED = ["revenue_cents", "gross_profit_cents"]
@@ -173,27 +182,20 @@ def _with_returns(kpi: DataFrame, returns: DataFrame, *keys: str) -> DataFrame:
     return joined.selectExpr(*kpi.columns, "coalesce(returned, 0) AS returned_orders")
 
 
-def kpi_monthly(sales: DataFrame, returns: DataFrame) -> DataFrame:
+def _order_count(unique_orders: bool) -> Column:
+    return F.expr("count(1) AS orders" if unique_orders else "count(DISTINCT order_id) AS orders")
+
+
+def kpi_monthly(sales: DataFrame, returns: DataFrame, unique_orders: bool = False) -> DataFrame:
     """Orders, customers, money and returns per order month.
 
-    ``sales`` is ``order_sales``, ``returns`` is ``returns_enriched``.
+    ``sales`` is ``order_sales``, ``returns`` is ``returns_enriched``. ``unique_orders``
+    as there: without it the orders are a second distinct count.
     """
-    # One row per (order, month, customer), numbered within the order's month: the
-    # first stands for the order, so one distinct count is left, that of customers.
-    months = (
-        sales.groupBy("order_id", "order_month", "customer_id")
-        .agg(*_sums(*SUMMED))
-        .selectExpr(
-            "*",
-            """row_number() OVER (PARTITION BY order_id, order_month ORDER BY customer_id) = 1
-               AS stands_for_order""",
-        )
-        .groupBy("order_month")
-        .agg(
-            F.expr("count_if(stands_for_order) AS orders"),
-            F.expr("count(DISTINCT customer_id) AS customers"),
-            *_sums(*SUMMED),
-        )
+    months = sales.groupBy("order_month").agg(
+        _order_count(unique_orders),
+        F.expr("count(DISTINCT customer_id) AS customers"),
+        *_sums(*SUMMED),
     )
     return _with_returns(months, returns, "order_month").selectExpr(
         "order_month",
@@ -207,13 +209,10 @@ def kpi_monthly(sales: DataFrame, returns: DataFrame) -> DataFrame:
     )
 
 
-def _kpi_by(sales: DataFrame, key: str) -> DataFrame:
-    # grouped by order first, each (order, key) pair counts once
+def _kpi_by(sales: DataFrame, key: str, unique_orders: bool) -> DataFrame:
     return (
-        sales.groupBy("order_id", key)
-        .agg(*_sums(*SUMMED))
-        .groupBy(key)
-        .agg(F.expr("count(order_id) AS orders"), *_sums(*SUMMED))
+        sales.groupBy(key)
+        .agg(_order_count(unique_orders), *_sums(*SUMMED))
         .selectExpr(
             key,
             "orders",
@@ -224,13 +223,13 @@ def _kpi_by(sales: DataFrame, key: str) -> DataFrame:
     )
 
 
-def kpi_by_region(sales: DataFrame) -> DataFrame:
+def kpi_by_region(sales: DataFrame, unique_orders: bool = False) -> DataFrame:
     """Sales per region of the rep."""
-    return _kpi_by(sales, "rep_region").withColumnRenamed("rep_region", "region")
+    return _kpi_by(sales, "rep_region", unique_orders).withColumnRenamed("rep_region", "region")
 
 
-def kpi_by_channel(sales: DataFrame) -> DataFrame:
-    return _kpi_by(sales, "channel")
+def kpi_by_channel(sales: DataFrame, unique_orders: bool = False) -> DataFrame:
+    return _kpi_by(sales, "channel", unique_orders)
 
 
 def kpi_top_products(

@@ -31,6 +31,9 @@ MISSING_WORDS = [
     "null",
 ]
 
+# input splits whose offsets may be broadcast, about 200 MB
+BROADCAST_SPLITS = 1_000_000
+
 
 def missing_to_null(df: DataFrame) -> DataFrame:
     """Null for every missing-value word in the text columns."""
@@ -72,8 +75,11 @@ def with_row_positions(df: DataFrame, name: str = "row_id") -> DataFrame:
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - first_place AS shift""",
         )
     )
-    # one row per input split, some hundred bytes for each 128 MB read
-    numbered = placed.join(F.broadcast(splits), ["split_file", "split_start"])
+    # One row of some hundred bytes for each 128 MB read: worth a hint beyond Spark's
+    # threshold as long as it stays small; past that Spark chooses the join.
+    if splits.count() <= BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
+    numbered = placed.join(splits, ["split_file", "split_start"])
     return numbered.selectExpr(f"place + shift AS {name}", *[f"`{c}`" for c in df.columns])
 
 

@@ -257,6 +257,34 @@ def test_scans_read_needed_columns_only(fixture_star):
     assert scans and all("l_extendedprice" not in line.split("ReadSchema")[1] for line in scans)
 
 
+def test_unique_orders_give_the_same(fixture_star):
+    returns = sales.returns_enriched(fixture_star)
+    by_flag = []
+    for unique in (False, True):
+        per_order = sales.order_sales(fixture_star, unique_orders=unique)
+        by_flag.append([
+            sorted(map(str, kpi.collect()))
+            for kpi in (sales.kpi_monthly(per_order, returns, unique), sales.kpi_by_region(per_order, unique),
+                        sales.kpi_by_channel(per_order, unique))
+        ])
+    assert by_flag[0] == by_flag[1]
+
+
+def test_copies_of_an_order_collapse_before_the_join(spark, star):
+    copies = spark.range(30_000).selectExpr(
+        "IF(id % 3 = 0, 'O1', concat('O', id)) AS order_id", "'C1' AS customer_id", "'R1' AS rep_id",
+        "'2024-01-05' AS order_date", "'Web' AS channel", "0.1D AS discount_rate",
+    )
+    hot = sales.Star(**{**star.__dict__, "fact_orders": copies})
+    per_order = sales.order_sales(hot)
+    assert per_order.where("order_id = 'O1'").count() == 1
+    brute = sales.order_items_enriched(hot).agg({"revenue": "sum"}).collect()[0][0]
+    kpi = sales.kpi_by_channel(per_order).collect()[0]
+    assert kpi.revenue == float(brute) and kpi.orders == 5  # O1, O2, O5, O7 and O8 have items
+    monthly = sales.kpi_monthly(per_order, sales.returns_enriched(hot)).collect()[0]
+    assert (monthly.orders, monthly.customers, monthly.revenue) == (kpi.orders, 1, kpi.revenue)
+
+
 def test_hot_order_and_product(spark, star):
     """A third of the items belong to one order, another third are one product."""
     items = spark.range(30_000).selectExpr(
