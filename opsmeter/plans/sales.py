@@ -51,19 +51,24 @@ RETURN_RATE = f"{rounded_rate('returned_orders', 'orders', 4)} AS return_rate"
 # --- enriched views ---------------------------------------------------------
 
 
+def _orders_with_rep(star: Star) -> DataFrame:
+    reps = star.dim_reps.selectExpr("rep_id", "rep_name", "region AS rep_region")
+    orders = star.fact_orders.join(reps, "rep_id")
+    return orders.selectExpr("*", f"{month_key('order_date')} AS order_month")
+
+
 def orders_enriched(star: Star) -> DataFrame:
     """One row per order with its customer and rep."""
     customers = star.dim_customers.selectExpr(
         "customer_id", "customer_name", "segment", "region AS customer_region"
     )
-    reps = star.dim_reps.selectExpr("rep_id", "rep_name", "region AS rep_region")
     return (
-        star.fact_orders.join(reps, "rep_id")
+        _orders_with_rep(star)
         .join(customers, "customer_id")
         .selectExpr(
             "order_id",
             "order_date",
-            f"{month_key('order_date')} AS order_month",
+            "order_month",
             "channel",
             "discount_rate",
             "customer_id",
@@ -154,15 +159,16 @@ def order_sales(
     ``unique_orders`` states that no order id occurs twice among the orders. Otherwise
     copies of an order are collapsed first, so that they never meet in one task.
     """
-    orders = orders if orders is not None else orders_enriched(star)
+    header = ["order_id", "order_month", "channel", "customer_id", "rep_region"]
+    headers = (orders if orders is not None else _orders_with_rep(star)).select(*header)
+    cents = list(LINE_CENTS)
+    if not unique_orders:
+        headers = headers.groupBy(*header).agg(F.expr("count(1) AS copies"))
+        cents = [f"{name} * copies AS {name}" for name in LINE_CENTS]
+    if orders is None:
+        headers = headers.join(star.dim_customers.select("customer_id"), "customer_id")
     per_order = _matched_items(star).groupBy("order_id").agg(*_sums(*LINE_CENTS))
-    header = orders.select("order_id", "order_month", "channel", "customer_id", "rep_region")
-    if unique_orders:
-        return per_order.join(header, "order_id")
-    distinct = header.groupBy(*header.columns).agg(F.expr("count(1) AS copies"))
-    return per_order.join(distinct, "order_id").selectExpr(
-        *header.columns, *[f"{name} * copies AS {name}" for name in LINE_CENTS]
-    )
+    return per_order.join(headers, "order_id").selectExpr(*header, *cents)
 
 
 SUMMED = ["revenue_cents", "gross_profit_cents"]
@@ -283,7 +289,18 @@ def kpi_returns_by_channel(orders: DataFrame, returns: DataFrame) -> DataFrame:
 # --- cohorts ----------------------------------------------------------------
 
 
+def customer_months(star: Star) -> DataFrame:
+    """The months in which each customer ordered: ``customer_id``, ``order_month``.
+
+    Distinct before the customers join, so a customer with a large share of the orders
+    meets it as one row per month. ``orders_enriched`` serves the cohorts as well.
+    """
+    active = _orders_with_rep(star).select("customer_id", "order_month").distinct()
+    return active.join(star.dim_customers.select("customer_id"), "customer_id", "left_semi")
+
+
 def customer_first_order(orders: DataFrame) -> DataFrame:
+    """First order month per customer, from ``customer_months`` or ``orders_enriched``."""
     return orders.groupBy("customer_id").agg(F.expr("min(order_month) AS first_order_month"))
 
 
