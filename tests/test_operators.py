@@ -1,5 +1,6 @@
 import random
 import statistics
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from opsmeter.operators.keys import mark_rows, repeated_keys, unmatched_keys
 from opsmeter.operators.median import weighted_median
 from opsmeter.operators.staging import shared_folder, stage, staging_area
+from opsmeter.plans import sales
 from tests.conftest import executed_plan
 
 
@@ -27,8 +29,9 @@ def test_repeated_and_unmatched_keys_treat_null_as_a_key(rows):
     ]
 
 
-def test_hot_key_is_split_when_marking(spark):
-    """A key with a third of the rows must not end up in one task."""
+@contextmanager
+def small_skew_limits(spark):
+    """No broadcasts, and partitions counting as skewed from 200 KB."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -42,17 +45,52 @@ def test_hot_key_is_split_when_marking(spark):
     for name, value in settings.items():
         spark.conf.set(name, value)
     try:
-        table = spark.range(0, 200_000, 1, 8).selectExpr(
-            "IF(id % 3 = 0, 'hot', concat('k', id)) AS k", "sha2(CAST(id AS STRING), 256) AS payload"
-        )
-        marked = mark_rows(table, "k", stage(repeated_keys(table, "k")), "twice")
-        assert marked.where("twice").count() == 66_667
-        assert "skew=true" in executed_plan(marked.groupBy("twice").agg(F.max("payload")))
+        yield
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def test_hot_key_is_split_when_marking(spark):
+    """A key with a third of the rows must not end up in one task."""
+    table = spark.range(0, 200_000, 1, 8).selectExpr(
+        "IF(id % 3 = 0, 'hot', concat('k', id)) AS k", "sha2(CAST(id AS STRING), 256) AS payload"
+    )
+    with small_skew_limits(spark):
+        marked = mark_rows(table, "k", stage(repeated_keys(table, "k")), "twice")
+        assert marked.where("twice").count() == 66_667
+        assert "skew=true" in executed_plan(marked.groupBy("twice").agg(F.max("payload")))
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_hot_customer_is_split_in_sales(spark, unique):
+    """A customer with a third of the orders is split where the orders meet the customers."""
+    orders = spark.range(0, 300_000, 1, 8).selectExpr(
+        "sha2(CAST(id AS STRING), 256) AS order_id", "IF(id % 3 = 0, 0, id) AS customer_id",
+        "1 AS rep_id", "'2024-01-01' AS order_date", "'Web' AS channel", "0D AS discount_rate",
+    )
+    customers = spark.range(300_000).selectExpr(
+        "id AS customer_id", "'n' AS customer_name", "'s' AS segment", "'r' AS region"
+    )
+    items = orders.selectExpr(
+        "order_id AS order_item_id", "order_id", "1 AS product_id", "1 AS quantity",
+        "CAST(2 AS DECIMAL(18,2)) AS unit_price", "CAST(1 AS DECIMAL(18,2)) AS unit_cost",
+    )
+    one = spark.range(1, 2)
+    star = sales.Star(
+        customers,
+        one.selectExpr("id AS product_id", "'p' AS product_name", "'c' AS category"),
+        one.selectExpr("id AS rep_id", "'r' AS rep_name", "'w' AS region"),
+        orders,
+        items,
+        one.selectExpr("'x' AS return_id", "'x' AS order_id", "'x' AS return_date", "'x' AS reason"),
+    )
+    with small_skew_limits(spark):
+        kpi = sales.kpi_by_channel(sales.order_sales(star, unique_orders=unique), unique)
+        assert "SortMergeJoin(skew=true) [customer_id" in executed_plan(kpi)
+        assert kpi.collect()[0].orders == 300_000
+
+
 @pytest.mark.parametrize("count", [1, 2, 7, 100, 101])
 def test_median_of_random_values(spark, count):
     chance = random.Random(count)
