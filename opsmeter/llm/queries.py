@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsmeter.llm import counts, dedup, packing, pieces, quality, secrets, sharding
+from opsmeter.llm import counts, dedup, embeddings, jaccard, packing, pieces, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similarity_components(_table(spark, folder, "documents"))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, folder, "embeddings"), threshold=0.95)
+
+
 def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -51,6 +59,8 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sharding": op5_sharding,
