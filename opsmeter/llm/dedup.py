@@ -16,6 +16,10 @@ STATE_SETTINGS = {
     # write changes only; snapshots follow in the background
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+# The number of state partitions is fixed when a state is first used, so it follows the rows
+# logged then and not the session's shuffles; each RocksDB instance has files of its own.
+STATE_PARTITIONS_CONF = "spark.sql.streaming.internal.stateStore.partitions"
+ROWS_PER_STATE = 250_000
 # parts into which the copies of one digest are dealt while their bytes are compared
 SALTS = 32
 
@@ -57,7 +61,8 @@ class DedupState:
     def add(self, digests: DataFrame) -> None:
         """Log ``digests`` (``SCHEMA``) and run the stream until it has seen them all."""
         digests.write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/log")
-        with _settings(self.spark, STATE_SETTINGS):
+        states = max(4, -(-self.log.count() // ROWS_PER_STATE))
+        with _settings(self.spark, STATE_SETTINGS | {STATE_PARTITIONS_CONF: str(states)}):
             stream = self.spark.readStream.schema(self.SCHEMA).parquet(f"{self.folder}/log")
             grouped = stream.groupBy("digest", "size").agg(
                 F.max(F.struct("id", "locator")).alias("kept"), F.count(F.lit(1)).alias("copies")
