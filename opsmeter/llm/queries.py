@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsmeter.llm import counts, dedup, embeddings, jaccard, packing, pieces, quality, secrets, sharding
+from opsmeter.llm import counts, dedup, embeddings, jaccard, lattice, packing, pieces, quality, secrets, sharding
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.digests(sharding.shuffled(_table(spark, folder, "documents"), shards=24))
 
 
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return lattice.document_scores(_table(spark, folder, "documents"), path)
+
+
 def op7_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digests(secrets.secret_spans(_table(spark, folder, "documents")))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sharding": op5_sharding,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_secret_scans": op7_secret_scans,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
