@@ -21,7 +21,7 @@ STATE_SETTINGS = {
 STATE_PARTITIONS_CONF = "spark.sql.streaming.internal.stateStore.partitions"
 ROWS_PER_STATE = 250_000
 # parts into which the copies of one digest are dealt while their bytes are compared
-SALTS = 32
+SALTS = 8
 
 
 @contextmanager
@@ -113,6 +113,8 @@ def exact_groups(
 
     hits = stored(state.groups().where("group_size > 1"), "hits")
     dealt = hits.select("digest", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # hits grow with the input: no broadcast, whatever this input's size
+    dealt = dealt.hint("merge")
     suspects = rows.withColumn("salt", F.expr(f"cast(pmod(xxhash64(id), {SALTS}) AS INT)"))
     variants = stored(
         suspects.join(dealt, ["digest", "size", "salt"], "left_semi")
