@@ -331,6 +331,16 @@ def similarity_components(
     )
 
 
+def without_near_copies(
+    docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, or null, unchanged."""
+    placed = stored(similarity_components(docs, settings, doc_id, text), "components")
+    gone = placed.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    # ids to drop grow with the input: no broadcast, whatever this input's size
+    return docs.join(gone.hint("merge"), F.col(f"`{doc_id}`").cast("bigint") == F.col("gone_id"), "left_anti")
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

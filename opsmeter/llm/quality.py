@@ -125,6 +125,23 @@ def fit(rows: DataFrame, known: DataFrame, settings: Settings) -> np.ndarray:
     return np.frombuffer(row["weights"]) if row else np.zeros(1 << settings.bits)
 
 
+def _model(rows: DataFrame, labels: DataFrame, settings: Settings, folds: int, doc_id: str):
+    """The broadcast weights, learnt from the labels of rows that are not held out."""
+    known = labels.selectExpr(f"cast(`{doc_id}` AS BIGINT) AS doc_id", "quality AS label").where(
+        f"label IN (0, 1) AND {remainder('doc_id', folds)} <> 0"
+    )
+    weights = fit(rows, known.withColumn("order", F.expr("xxhash64(doc_id, 17)")), settings)
+    return rows.sparkSession.sparkContext.broadcast(weights)
+
+
+def _scores(texts: pa.Array, weights: np.ndarray, settings: Settings) -> np.ndarray:
+    found = [np.zeros(0)]
+    for start, stop in pieces_of(texts, BATCH_BYTES):
+        places, values, bounds = features(texts.slice(start, stop - start), settings)
+        found.append(sigmoid(np.add.reduceat(weights[places] * values, bounds[:-1])))
+    return np.concatenate(found)
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -153,19 +170,11 @@ def quality_scores(
         f"{remainder(doc_id, folds)} = 0 AS held_out",
         f"{utf8(text)} AS text",
     )
-    known = labels.selectExpr(f"cast(`{doc_id}` AS BIGINT) AS doc_id", "quality AS label").where(
-        f"label IN (0, 1) AND {remainder('doc_id', folds)} <> 0"
-    )
-    weights = fit(rows, known.withColumn("order", F.expr("xxhash64(doc_id, 17)")), settings)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = _model(rows, labels, settings, folds, doc_id)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for start, stop in pieces_of(batch.column(2), BATCH_BYTES):
-                places, values, bounds = features(batch.column(2).slice(start, stop - start), settings)
-                found.append(sigmoid(np.add.reduceat(shared.value[places] * values, bounds[:-1])))
-            scores = np.concatenate(found) if found else np.zeros(0)
+            scores = _scores(batch.column(2), shared.value, settings)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(scores),
@@ -175,3 +184,30 @@ def quality_scores(
             )
 
     return rows.mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def accepted(
+    docs: DataFrame,
+    labels: DataFrame,
+    settings: Settings | None = None,
+    threshold: float = 0.3,
+    folds: int = 5,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` or more, unchanged; as ``quality_scores``."""
+    settings = settings or Settings()
+    configure(docs.sparkSession)
+    rows = docs.selectExpr(f"cast(`{doc_id}` AS BIGINT) AS doc_id", f"{utf8(text)} AS text")
+    shared = _model(rows, labels, settings, folds, doc_id)
+    names = docs.columns
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = _scores(batch.column(len(names)), shared.value, settings)
+            yield batch.filter(pa.array(scores >= threshold)).select(names)
+
+    scored_text = "quality_text"
+    while scored_text in names:
+        scored_text += "_"
+    return docs.selectExpr("*", f"{utf8(text)} AS `{scored_text}`").mapInArrow(choose, docs.schema)
