@@ -22,6 +22,10 @@ def main() -> None:
     sales_job = jobs.add_parser("sales")
     sales_job.add_argument("source")
     sales_job.add_argument("--source-format", default="parquet")
+    for job in (ticket_job, quality_job):
+        job.add_argument(
+            "--single-line", action="store_true", help="no quoted line breaks: large files are split"
+        )
     for job in (ticket_job, quality_job, sales_job):
         job.add_argument("target")
         job.add_argument("--format", default="csv")
@@ -29,12 +33,18 @@ def main() -> None:
 
     spark = build_session()
     if args.job == "tickets":
-        runs.run_tickets(spark, args.source, args.target, args.format)
+        runs.run_tickets(spark, args.source, args.target, args.format, not args.single_line)
     elif args.job == "quality":
         # one moment for the whole run
         as_of = args.as_of or datetime.now()
         runs.run_quality(
-            spark, args.customers, args.transactions, args.target, as_of, args.format
+            spark,
+            args.customers,
+            args.transactions,
+            args.target,
+            as_of,
+            args.format,
+            not args.single_line,
         )
     else:
         star = read_star(spark, args.source, args.source_format)

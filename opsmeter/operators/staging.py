@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -16,17 +15,34 @@ _area: ContextVar[str | None] = ContextVar("staging_area", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``.
+    """The folder the session names in ``spark.checkpoint.dir``, else one in the warehouse.
 
-    Only a local session may go without one; it gets a fresh temporary folder.
+    Both are shared by all executors; the session's settings stay as they are.
     """
-    folder = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="opsmeter-"))
-    return spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get(CHECKPOINT_CONF, None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staging"
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def session_area(spark: SparkSession) -> str:
+    """The folder of everything the application stages outside a ``staging_area``.
+
+    ``clear`` removes it, and so does the end of the application.
+    """
+    folder = f"{shared_folder(spark)}/opsmeter-{spark.sparkContext.applicationId}"
+    files, path = _path(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what the application staged; frames over it end with it."""
+    files, path = _path(spark, session_area(spark))
+    files.delete(path, True)
 
 
 @contextmanager
@@ -41,17 +57,16 @@ def staging_area(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _area.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _path(spark, folder)
+        files.delete(path, True)
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so that several consumers share one run.
 
     Runs a job. The copy outlives lost executors, and its size is known to the planner.
-    Outside a ``staging_area`` it stays in the shared folder.
     """
     spark = df.sparkSession
-    path = f"{_area.get() or shared_folder(spark)}/staged-{uuid4()}"
+    path = f"{_area.get() or session_area(spark)}/staged-{uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

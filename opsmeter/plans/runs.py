@@ -20,7 +20,7 @@ from opsmeter.sources.text import read_records, read_tickets
 
 
 def run_tickets(
-    spark: SparkSession, source: str, target: str, fmt: str = "parquet", multi_line: bool = False
+    spark: SparkSession, source: str, target: str, fmt: str = "parquet", multi_line: bool = True
 ) -> None:
     """CSV of raw tickets -> clean and rejected tickets and five KPI tables."""
     with staging_area(spark):
@@ -49,7 +49,7 @@ def run_quality(
     target: str,
     as_of: datetime,
     fmt: str = "parquet",
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> None:
     """CSVs of customers and transactions -> violation log, scorecard, record status, breakdowns."""
     with staging_area(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from opsmeter.functions.text import quote
 from opsmeter.operators.staging import stage
@@ -31,8 +32,8 @@ MISSING_WORDS = [
     "null",
 ]
 
-# input splits whose offsets may be broadcast, about 200 MB
-BROADCAST_SPLITS = 1_000_000
+# the whole text of a record whose cells do not fit the header
+RECORD = "_malformed_record"
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:
@@ -44,51 +45,95 @@ def missing_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def _is_cut(columns: int) -> str:
+    """A malformed record that has too many cells, or a quote that is still open at its end.
+
+    One with too few cells is complete: the missing ones are null.
+    """
+    outside_quotes = f"regexp_replace({RECORD}, '\"([^\"]|\"\")*\"', '')"
+    cells = f"length({outside_quotes}) - length(replace({outside_quotes}, ',', '')) + 1"
+    return f"({cells} > {columns} OR contains({outside_quotes}, '\"'))"
+
+
+def scan_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``read_csv`` with the column ``RECORD`` left in."""
+
+    def reader():
+        return spark.read.options(header=True, escape='"', multiLine=multi_line)
+
+    # the first header gives the names; every other file's header must be the same
+    header = reader().csv(path).schema
+    rows = (
+        reader()
+        .schema(StructType([*header.fields, StructField(RECORD, StringType())]))
+        .options(enforceSchema=False, columnPruning=False, columnNameOfCorruptRecord=RECORD)
+        .csv(path)
+    )
+    # naming a real column too: Spark refuses scans that read nothing but the record
+    shown = f"left(coalesce({RECORD}, `{header.names[0]}`), 200)"
+    fails = f"raise_error(concat('CSV record with a wrong number of cells or an open quote: ', {shown}))"
+    return rows.where(
+        f"CASE WHEN {RECORD} IS NULL THEN true WHEN {_is_cut(len(header.fields))} THEN {fails} ELSE true END"
+    )
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns of a CSV with header as text; quotes inside quotes are doubled.
 
-    ``multi_line`` allows line breaks inside quotes and gives up splitting files.
+    Quoted cells may hold line breaks. ``multi_line=False`` says that none does, which
+    lets Spark split large files; a record that a line break cuts then fails the job. So
+    does a record with more cells than the header, and a file of a folder with another
+    header than the first. Records with fewer cells end in nulls.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    return reader.csv(path)
+    return scan_csv(spark, path, multi_line).drop(RECORD)
 
 
 def with_row_positions(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows of a file scan from 0, in order of file name and place in the file.
 
-    ``df`` must be the scan itself. A first job counts the rows of every input split;
-    the numbering is then local to the split, so no row moves.
+    The scan runs once: its rows are stored with the split they came from and their
+    running number in it, so what follows cannot see other splits than the rows did. The
+    rows before a split are summed from that copy, within each file and over the files,
+    and come back to the rows by a number for the split. A row without it would fail.
     """
-    placed = df.selectExpr(
-        "*",
-        "_metadata.file_path AS split_file",
-        "_metadata.file_block_start AS split_start",
-        "monotonically_increasing_id() AS place",
+    rows = stage(
+        df.selectExpr(
+            "*",
+            "_metadata.file_path AS split_file",
+            "_metadata.file_block_start AS split_start",
+            "xxhash64(_metadata.file_path, _metadata.file_block_start) AS split_id",
+            "monotonically_increasing_id() AS place",
+        )
     )
     splits = stage(
-        placed.groupBy("split_file", "split_start")
-        .agg(F.expr("count(1) AS size"), F.expr("min(place) AS first_place"))
-        .selectExpr(
-            "split_file",
-            "split_start",
-            """coalesce(sum(size) OVER (ORDER BY split_file, split_start
-               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - first_place AS shift""",
+        rows.groupBy("split_id", "split_file", "split_start").agg(
+            F.expr("count(1) AS size"), F.expr("min(place) AS first_place")
         )
     )
-    # One row of some hundred bytes for each 128 MB read: worth a hint beyond Spark's
-    # threshold as long as it stays small; past that Spark chooses the join.
-    if splits.count() <= BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    numbered = placed.join(splits, ["split_file", "split_start"])
-    return numbered.selectExpr(f"place + shift AS {name}", *[f"`{c}`" for c in df.columns])
+    if not splits.groupBy("split_id").count().where("count > 1").isEmpty():
+        raise ValueError("two splits share a number")
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    files = (
+        splits.groupBy("split_file")
+        .agg(F.expr("sum(size) AS size"))
+        .selectExpr("split_file", f"coalesce(sum(size) OVER (ORDER BY split_file {earlier}), 0) AS in_files")
+    )
+    inside = f"sum(size) OVER (PARTITION BY split_file ORDER BY split_start {earlier})"
+    shifts = splits.join(files, "split_file").selectExpr(
+        "split_id AS of_split", f"in_files + coalesce({inside}, 0) - first_place AS shift"
+    )
+    return rows.join(stage(shifts), F.expr("split_id = of_split"), "left").selectExpr(
+        f"IF(shift IS NULL, raise_error('a split without position'), place + shift) AS {name}",
+        *[f"`{c}`" for c in df.columns],
+    )
 
 
-def read_records(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A raw table for the quality checks: text columns and ``row_id``, the row's position."""
     return missing_to_null(with_row_positions(read_csv(spark, path, multi_line)))
 
 
-def read_tickets(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_tickets(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Raw tickets; a target that is not a number is null."""
     tickets = missing_to_null(read_csv(spark, path, multi_line))
     return tickets.withColumn("sla_target_hours", F.expr("try_cast(sla_target_hours AS DOUBLE)"))

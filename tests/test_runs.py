@@ -36,17 +36,44 @@ def test_csv_reading(spark, tmp_path):
     assert len(MISSING_WORDS) == 19
 
 
-def test_row_positions_over_many_splits(spark, tmp_path):
+def test_row_positions_whatever_the_splits(spark, tmp_path):
     for part in range(3):
         write_csv(tmp_path / f"part{part}.csv", ["n"], [(part * 10_000 + i,) for i in range(10_000)])
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
     try:
-        frame = with_row_positions(read_csv(spark, str(tmp_path)))
-        assert read_csv(spark, str(tmp_path)).rdd.getNumPartitions() > 10
-        assert frame.where("row_id <> n").count() == 0 and frame.count() == 30_000
+        spark.conf.set(name, "7000")
+        plain = read_csv(spark, str(tmp_path), multi_line=False)
+        assert plain.rdd.getNumPartitions() > 10
+        frame = with_row_positions(plain)
+        for size in ("3000", "50000", before):  # another layout by the time of the action
+            spark.conf.set(name, size)
+            assert frame.where("row_id <> n").count() == 0 and frame.count() == 30_000
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "strategy=broadcast" not in plan  # offsets are stored
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set(name, before)
+
+
+def test_quoted_line_breaks_and_odd_records(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", ["a", "b"], [("x\ny", 1), ("q,\"z", 2)])
+    assert [tuple(r) for r in read_csv(spark, path).collect()] == [("x\ny", "1"), ('q,"z', "2")]
+    with pytest.raises(Exception, match="open quote"):
+        read_csv(spark, path, multi_line=False).collect()
+    short = write_csv(tmp_path / "short.csv", ["a", "b"], [(1,), (2, 3)])
+    assert [tuple(r) for r in read_csv(spark, short).collect()] == [("1", None), ("2", "3")]
+    for mode in (True, False):
+        long = write_csv(tmp_path / "long.csv", ["a", "b"], [(1, 2), (1, "2,2", 3)])
+        with pytest.raises(Exception, match="wrong number of cells"):
+            read_csv(spark, long, mode).select("a").collect()
+
+
+def test_headers_of_a_folder_must_agree(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    write_csv(tmp_path / "f" / "1.csv", ["a", "b"], [(1, 2)])
+    write_csv(tmp_path / "f" / "2.csv", ["b", "a"], [(3, 4)])
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path / "f")).collect()
 
 
 def test_tickets_run_twice_gives_the_same(spark, folder, tmp_path):
