@@ -8,7 +8,7 @@ column expression, and a row carries its violations as an array.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,7 +32,6 @@ from opsmeter.functions.text import (
 )
 from opsmeter.functions.times import parse_timestamp
 from opsmeter.operators.keys import mark_rows, repeated_keys, unmatched_keys
-from opsmeter.operators.staging import stage
 
 # Fixed values of the rule set.
 ALLOWED_COUNTRIES = ["US", "CA", "MX", "GB", "DE", "IN"]
@@ -101,7 +100,9 @@ def valid_date(column: str, severity: str, blank_is_invalid: bool) -> Rule:
 
 
 def not_future(column: str, severity: str, as_of: datetime) -> Rule:
-    moment = as_of.replace(tzinfo=None).isoformat(" ")
+    # like the times in the tables: a moment with an offset is taken to UTC
+    utc = as_of.astimezone(timezone.utc) if as_of.tzinfo else as_of
+    moment = utc.replace(tzinfo=None).isoformat(" ")
     fires = f"coalesce({column}_parsed > TIMESTAMP_NTZ '{moment}', false)"
     return Rule(
         column, "not_future", severity, fires, _shows(f"future {column}", text_or_nan(column))
@@ -187,29 +188,42 @@ def transaction_checks(as_of: datetime) -> Checks:
 # --- rows with what the rules need -------------------------------------------
 
 
-def flag_customers(customers: DataFrame) -> DataFrame:
+def faulty_customer_keys(customers: DataFrame) -> DataFrame:
+    """Keys for ``flag_customers``: few, and worth storing, so that their size is known."""
+    return repeated_keys(customers, "customer_id")
+
+
+def flag_customers(customers: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """Add the parsed date and the repeated-key flag. Needs ``row_id`` beside the raw columns.
 
-    Runs a job over the key column, see ``flag_transactions``.
+    ``repeated`` may hand in the stored ``faulty_customer_keys``.
     """
-    repeated = stage(repeated_keys(customers, "customer_id"))
+    repeated = repeated if repeated is not None else faulty_customer_keys(customers)
     flagged = mark_rows(customers, "customer_id", repeated, REPEATED)
     return flagged.selectExpr("*", f"{parse_timestamp('signup_date')} AS signup_date_parsed")
 
 
-def flag_transactions(transactions: DataFrame, customers: DataFrame) -> DataFrame:
-    """Add the parsed date, the number of ``amount``, and both key flags.
+def faulty_transaction_keys(transactions: DataFrame, customers: DataFrame) -> DataFrame:
+    """``fault, faulty_key``: repeated transactions and unknown customers; worth storing.
 
-    Runs a job over the key columns and stores the offending keys. Their size is then
-    known when Spark plans the join back: few keys are broadcast and no row moves.
+    Their size is then known when Spark plans the join back: few keys are broadcast and
+    no row moves.
     """
     repeated = repeated_keys(transactions, "transaction_id")
     orphans = unmatched_keys(transactions, "customer_id", customers, "customer_id")
-    keys = stage(
-        repeated.selectExpr("'repeated' AS fault", "transaction_id AS faulty_key").union(
-            orphans.selectExpr("'orphaned' AS fault", "customer_id AS faulty_key")
-        )
+    return repeated.selectExpr("'repeated' AS fault", "transaction_id AS faulty_key").union(
+        orphans.selectExpr("'orphaned' AS fault", "customer_id AS faulty_key")
     )
+
+
+def flag_transactions(
+    transactions: DataFrame, customers: DataFrame, keys: DataFrame | None = None
+) -> DataFrame:
+    """Add the parsed date, the number of ``amount``, and both key flags.
+
+    ``keys`` may hand in the stored ``faulty_transaction_keys``.
+    """
+    keys = keys if keys is not None else faulty_transaction_keys(transactions, customers)
     flagged = transactions
     for key, fault, flag in [
         ("transaction_id", "repeated", REPEATED),
@@ -258,18 +272,6 @@ def combined(*results: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, results)
 
 
-def top_rules(log: DataFrame, count: int = 10) -> DataFrame:
-    """Rules with the most violations; ties by table and rule."""
-    sizes = log.groupBy("table", "rule").agg(F.expr("count(1) AS size"))
-    return sizes.orderBy(F.desc("size"), "table", "rule").limit(count)
-
-
-def issues_by_severity(log: DataFrame) -> DataFrame:
-    """Violations per table and severity, the most severe first."""
-    sizes = log.groupBy("table", "severity", "severity_rank").agg(F.expr("count(1) AS issues"))
-    return sizes.orderBy(F.desc("severity_rank"), "table")
-
-
 def record_status(flagged: DataFrame, checks: Checks) -> DataFrame:
     """Every record as ``clean`` or ``failed``, with its number of violations."""
     fired = " + ".join(f"CAST({rule.fires} AS INT)" for rule in checks.rules)
@@ -281,14 +283,24 @@ def record_status(flagged: DataFrame, checks: Checks) -> DataFrame:
     ).selectExpr("*", "IF(violations > 0, 'failed', 'clean') AS status")
 
 
-def _failures(checks: Checks) -> list[str]:
-    """How often each rule fires, for one aggregate over the flagged rows."""
-    return [f"count_if({rule.fires}) AS failed_{i}" for i, rule in enumerate(checks.rules)]
+# --- counts of one pass ------------------------------------------------------
+
+
+def counts(flagged: DataFrame, checks: Checks) -> DataFrame:
+    """One row: rows, failures of each rule, repeated keys, filled cells per required column.
+
+    Scorecard, failure rates, top rules and severities all follow from it.
+    """
+    return flagged.selectExpr(
+        "count(1) AS `rows`",
+        *[f"count_if({rule.fires}) AS failed_{i}" for i, rule in enumerate(checks.rules)],
+        f"count_if({REPEATED}) AS repeated",
+        *[f"count_if(NOT {is_blank(c)}) AS filled_{c}" for c in checks.required],
+    )
 
 
-def failure_rates(flagged: DataFrame, checks: Checks) -> DataFrame:
+def failure_rates(counted: DataFrame, checks: Checks) -> DataFrame:
     """Failed records and failure rate of every rule, those that never fired included."""
-    counted = flagged.selectExpr("count(1) AS `rows`", *_failures(checks))
     per_rule = ", ".join(
         f"""named_struct('column', {quote(rule.column)}, 'rule', {quote(rule.name)},
                          'severity', {quote(rule.severity)}, 'failed_records', failed_{i})"""
@@ -299,21 +311,33 @@ def failure_rates(flagged: DataFrame, checks: Checks) -> DataFrame:
     ).selectExpr("*", f"{share('failed_records', at_least_one('`rows`'))} AS failure_rate")
 
 
+def top_rules(rates: DataFrame, count: int = 10) -> DataFrame:
+    """Rules with the most violations, from ``failure_rates``; ties by table and rule."""
+    sizes = rates.groupBy("table", "rule").agg(F.expr("sum(failed_records) AS size"))
+    return sizes.where("size > 0").orderBy(F.desc("size"), "table", "rule").limit(count)
+
+
+def issues_by_severity(rates: DataFrame) -> DataFrame:
+    """Violations per table and severity, from ``failure_rates``, the most severe first."""
+    ranks = ", ".join(f"{quote(name)}, {rank}" for name, rank in SEVERITY_RANK.items())
+    sizes = (
+        rates.where("failed_records > 0")
+        .selectExpr("*", f"coalesce(element_at(map({ranks}), severity), 0) AS severity_rank")
+        .groupBy("table", "severity", "severity_rank")
+        .agg(F.expr("sum(failed_records) AS issues"))
+    )
+    return sizes.orderBy(F.desc("severity_rank"), "table")
+
+
 # --- scorecard ---------------------------------------------------------------
 
 
-def table_summary(flagged: DataFrame, checks: Checks) -> DataFrame:
-    """One row: size, violations, duplicate share, completeness per column, score 0-100.
+def table_summary(counted: DataFrame, checks: Checks) -> DataFrame:
+    """One row from ``counts``: size, violations, duplicate share, completeness, score 0-100.
 
     Rates of a table without rows are null, its score is 100.
     """
     filled = {c: f"completeness_{c}" for c in checks.required}
-    counted = flagged.selectExpr(
-        "count(1) AS `rows`",
-        *_failures(checks),
-        f"count_if({REPEATED}) AS repeated",
-        *[f"count_if(NOT {is_blank(c)}) AS filled_{c}" for c in checks.required],
-    )
     rates = counted.selectExpr(
         "`rows`",
         " + ".join(f"failed_{i}" for i in range(len(checks.rules))) + " AS issue_count",

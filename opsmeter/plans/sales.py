@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from opsmeter.functions.numbers import rounded_rate, rounded_ratio
 from opsmeter.functions.times import month_key
 from opsmeter.operators.keys import irregular_matches
-from opsmeter.operators.staging import stage
 
 TOP_PRODUCTS = 25
 
@@ -130,31 +129,42 @@ def returns_enriched(star: Star, orders: DataFrame | None = None) -> DataFrame:
 # --- KPI tables -------------------------------------------------------------
 
 
-def _matched_items(star: Star) -> DataFrame:
-    """Line values of the items as the inner join with the products leaves them.
+def odd_products(star: Star) -> DataFrame:
+    """Products of items that the dimension lacks or lists several times; few, worth storing."""
+    items = star.fact_order_items.where("product_id IS NOT NULL")
+    return irregular_matches(items, "product_id", star.dim_products)
+
+
+def odd_orders(star: Star, orders: DataFrame) -> DataFrame:
+    """Orders of items that ``orders_enriched`` lacks or has several times; few, worth storing."""
+    return irregular_matches(star.fact_order_items, "order_id", orders)
+
+
+def _weighed(items: DataFrame, key: str, odd: DataFrame, values: dict[str, str], *keep: str) -> DataFrame:
+    """The items as an inner join by ``key`` leaves them, without the join's other columns.
 
-    Only the products' effect on the rows is needed, not their columns: an item of an
-    unknown product drops out, one of a product listed n times counts n times. Such
-    products are few; they are stored first, so that Spark broadcasts them and the
-    items stay in place however many products there are.
+    An item without match drops out, one with n matches counts n times. Spark broadcasts the
+    odd keys while they are few, so the items stay in place however many keys there are.
     """
-    items = star.fact_order_items.where("product_id IS NOT NULL")
-    odd = stage(irregular_matches(items, "product_id", star.dim_products))
-    weighed = [f"{cents} * coalesce(matches, 1) AS {name}" for name, cents in LINE_CENTS.items()]
+    weighed = [f"{value} * coalesce(matches, 1) AS {name}" for name, value in values.items()]
     return (
-        items.join(odd, F.expr("product_id = odd_key"), "left")
+        items.where(f"{key} IS NOT NULL")
+        .join(odd, F.expr(f"{key} = odd_key"), "left")
         .where("coalesce(matches, 1) > 0")
-        .selectExpr("order_id", *weighed)
+        .selectExpr(*keep, *weighed)
     )
 
 
 def order_sales(
-    star: Star, orders: DataFrame | None = None, unique_orders: bool = False
+    star: Star,
+    orders: DataFrame | None = None,
+    unique_orders: bool = False,
+    odd: DataFrame | None = None,
 ) -> DataFrame:
     """Sales per order: month, channel, customer, rep region and the summed cents.
 
     Orders without items, and items without product, are absent. The rows are left
-    hash-partitioned by ``order_id``. Runs a job over the product ids.
+    hash-partitioned by ``order_id``. ``odd`` may hand in the stored ``odd_products``.
 
     ``unique_orders`` states that no order id occurs twice among the orders. Otherwise
     copies of an order are collapsed first, so that they never meet in one task.
@@ -167,7 +177,9 @@ def order_sales(
         cents = [f"{name} * copies AS {name}" for name in LINE_CENTS]
     if orders is None:
         headers = headers.join(star.dim_customers.select("customer_id"), "customer_id")
-    per_order = _matched_items(star).groupBy("order_id").agg(*_sums(*LINE_CENTS))
+    odd = odd if odd is not None else odd_products(star)
+    items = _weighed(star.fact_order_items, "product_id", odd, LINE_CENTS, "order_id")
+    per_order = items.groupBy("order_id").agg(*_sums(*LINE_CENTS))
     return per_order.join(headers, "order_id").selectExpr(*header, *cents)
 
 
@@ -195,13 +207,18 @@ def _order_count(unique_orders: bool) -> Column:
 def kpi_monthly(sales: DataFrame, returns: DataFrame, unique_orders: bool = False) -> DataFrame:
     """Orders, customers, money and returns per order month.
 
-    ``sales`` is ``order_sales``, ``returns`` is ``returns_enriched``. ``unique_orders``
-    as there: without it the orders are a second distinct count.
+    ``sales`` is ``order_sales``, ``returns`` is ``returns_enriched``. Two distinct counts
+    would make Spark copy every row. Here an order counts with its first row of a month, which
+    is found where ``order_sales`` left the rows, by order; then the orders move once,
+    to one row per customer and month. ``unique_orders`` as there: every row is a first one.
     """
-    months = sales.groupBy("order_month").agg(
-        _order_count(unique_orders),
-        F.expr("count(DISTINCT customer_id) AS customers"),
-        *_sums(*SUMMED),
+    first = "1"
+    if not unique_orders:
+        first = "IF(row_number() OVER (PARTITION BY order_id, order_month ORDER BY order_id) = 1, 1, 0)"
+    marked = sales.selectExpr("order_month", "customer_id", f"{first} AS first_row", *SUMMED)
+    per_customer = marked.groupBy("order_month", "customer_id").agg(*_sums("first_row", *SUMMED))
+    months = per_customer.groupBy("order_month").agg(
+        F.expr("sum(first_row) AS orders"), F.expr("count(customer_id) AS customers"), *_sums(*SUMMED)
     )
     return _with_returns(months, returns, "order_month").selectExpr(
         "order_month",
@@ -239,25 +256,19 @@ def kpi_by_channel(sales: DataFrame, unique_orders: bool = False) -> DataFrame:
 
 
 def kpi_top_products(
-    star: Star, orders: DataFrame | None = None, count: int = TOP_PRODUCTS
+    star: Star, orders: DataFrame | None = None, count: int = TOP_PRODUCTS, odd: DataFrame | None = None
 ) -> DataFrame:
     """Products with the most revenue; ties by product id.
 
-    Items are summed per product before the product join, so a best seller never
-    meets the join as more than one row.
+    Items are weighed by the few odd orders, not shuffled to meet the orders, and summed per
+    product in place first, so a best seller never meets the product join as more than
+    one row. ``odd`` may hand in the stored ``odd_orders``.
     """
-    orders = orders if orders is not None else orders_enriched(star)
-    per_product = (
-        star.fact_order_items.selectExpr(
-            "order_id",
-            "product_id",
-            "quantity AS units",
-            *[f"{LINE_CENTS[name]} AS {name}" for name in SUMMED],
-        )
-        .join(orders.select("order_id"), "order_id")
-        .groupBy("product_id")
-        .agg(*_sums("units", *SUMMED))
-    )
+    if odd is None:
+        odd = odd_orders(star, orders if orders is not None else orders_enriched(star))
+    values = {"units": "quantity", **{name: LINE_CENTS[name] for name in SUMMED}}
+    items = _weighed(star.fact_order_items, "order_id", odd, values, "product_id")
+    per_product = items.groupBy("product_id").agg(*_sums("units", *SUMMED))
     names = star.dim_products.select("product_id", "product_name", "category")
     return (
         per_product.join(names, "product_id")
@@ -274,11 +285,15 @@ def kpi_returns_by_reason(returns: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("returns"), "reason")
 
 
-def kpi_returns_by_channel(orders: DataFrame, returns: DataFrame) -> DataFrame:
-    """Orders, returned orders and return rate per order month and channel."""
-    placed = orders.groupBy("order_month", "channel").agg(
-        F.expr("count(DISTINCT order_id) AS orders")
-    )
+def kpi_returns_by_channel(
+    orders: DataFrame, returns: DataFrame, unique_orders: bool = False
+) -> DataFrame:
+    """Orders, returned orders and return rate per order month and channel.
+
+    With ``unique_orders`` the orders are counted where they are; else their ids move once.
+    """
+    counted = "count(order_id)" if unique_orders else "count(DISTINCT order_id)"
+    placed = orders.groupBy("order_month", "channel").agg(F.expr(f"{counted} AS orders"))
     return (
         _with_returns(placed, returns, "order_month", "channel")
         .selectExpr("*", RETURN_RATE)

@@ -13,7 +13,6 @@ from opsmeter.functions.numbers import at_least_one, first_largest, share
 from opsmeter.functions.times import MICROS_PER_HOUR, as_hours, micros_between, parse_timestamp
 from opsmeter.operators.keys import mark_rows, repeated_keys
 from opsmeter.operators.median import weighted_median
-from opsmeter.operators.staging import stage
 
 TIMES = ["created_at", "intake_at", "triage_at", "work_at", "resolved_at"]
 
@@ -31,13 +30,17 @@ MISSES_TARGET = f"coalesce({CYCLE} > sla_target_hours * {MICROS_PER_HOUR}L, fals
 
 
 def deduplicate(raw: DataFrame) -> DataFrame:
-    """Read the times, drop rows equal in every column, and tell whether the times are in order.
+    """Read the times, drop rows equal in every column, and add what that pass knows.
 
-    Unreadable times are equal. The order test rides along as an aggregate: as a filter
+    ``is_valid_timeline`` says whether the times are in order, ``copies`` how many raw rows a
+    ticket stands for. Unreadable times are equal. Both are aggregates: as a filter
     on the grouping columns Spark would repeat the parsing for it below the shuffle.
     """
-    parsed = raw.withColumns({c: F.expr(parse_timestamp(c)) for c in TIMES})
-    return parsed.groupBy(*parsed.columns).agg(F.expr(f"bool_and({IN_ORDER}) AS is_valid_timeline"))
+    kinds = dict(raw.dtypes)
+    parsed = raw.withColumns({c: F.expr(parse_timestamp(c, kinds[c] == "string")) for c in TIMES})
+    return parsed.groupBy(*parsed.columns).agg(
+        F.expr(f"bool_and({IN_ORDER}) AS is_valid_timeline"), F.expr("count(1) AS copies")
+    )
 
 
 def flag_repeated_ids(tickets: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
@@ -49,7 +52,7 @@ def flag_repeated_ids(tickets: DataFrame, repeated: DataFrame | None = None) ->
     if repeated is None:
         repeated = repeated_keys(tickets, "ticket_id", counted="is_valid_timeline")
     flagged = mark_rows(tickets, "ticket_id", repeated, "is_duplicate_ticket_id")
-    columns = [c for c in tickets.columns if c != "is_valid_timeline"]
+    columns = [c for c in tickets.columns if c not in ("is_valid_timeline", "copies")]
     return flagged.select(*columns, "is_duplicate_ticket_id", "is_valid_timeline")
 
 
@@ -73,31 +76,36 @@ def clean(prepared: DataFrame) -> DataFrame:
     )
 
 
-def kpi_overall(raw: DataFrame, prepared: DataFrame) -> DataFrame:
-    """One row over all tickets. Runs a job that stores the tickets per cycle time.
+def cycle_counts(deduplicated: DataFrame) -> DataFrame:
+    """Tickets, those that miss their target, and raw rows per cycle time; null if not valid.
 
-    ``prepared`` needs ``is_valid_timeline`` only, so ``deduplicate(raw)`` serves as
-    well as ``prepare(raw)``.
+    All that ``kpi_overall`` needs, in one pass; it reads this several times, so store it.
     """
-    cycles = stage(
-        prepared.selectExpr(
-            f"IF(is_valid_timeline, {CYCLE}, NULL) AS cycle_micros", f"{MISSES_TARGET} AS missed"
+    return (
+        deduplicated.selectExpr(
+            f"IF(is_valid_timeline, {CYCLE}, NULL) AS cycle_micros", f"{MISSES_TARGET} AS missed", "copies"
         )
         .groupBy("cycle_micros")
-        .agg(F.expr("count(1) AS tickets"), F.expr("count_if(missed) AS missed"))
+        .agg(
+            F.expr("count(1) AS tickets"),
+            F.expr("count_if(missed) AS missed"),
+            F.expr("sum(copies) AS raw_rows"),
+        )
     )
+
+
+def kpi_overall(cycles: DataFrame) -> DataFrame:
+    """One row over all tickets, from ``cycle_counts``."""
     totals = cycles.agg(
+        F.expr("coalesce(sum(raw_rows), 0) AS rows_raw"),
         F.expr("coalesce(sum(tickets), 0) AS kept"),
         F.expr("coalesce(sum(tickets) FILTER (WHERE cycle_micros IS NOT NULL), 0) AS valid"),
         F.expr("sum(missed) FILTER (WHERE cycle_micros IS NOT NULL) AS missed"),
         # bigint sums overflow beyond some 10^8 tickets of 20 hours
         F.expr("sum(CAST(cycle_micros AS DECIMAL(20,0)) * tickets) AS micros"),
     )
-    return totals.withColumns(
-        {
-            "rows_raw": raw.agg(F.expr("count(1) AS rows")).scalar(),
-            "middle": weighted_median(cycles, "cycle_micros", "tickets").scalar(),
-        }
+    return totals.withColumn(
+        "middle", weighted_median(cycles, "cycle_micros", "tickets").scalar()
     ).selectExpr(
         "rows_raw",
         "kept AS rows_after_drop_duplicates",
@@ -111,16 +119,40 @@ def kpi_overall(raw: DataFrame, prepared: DataFrame) -> DataFrame:
     )
 
 
-def _per_key(clean_tickets: DataFrame, key: str) -> DataFrame:
+KEYS = ["priority", "category", "owner_team"]
+
+
+def measures(deduplicated: DataFrame) -> DataFrame:
+    """Sums over valid tickets per priority, category, owner team and longest stage.
+
+    A small table of which every KPI per group is a roll-up: the durations are
+    computed once, in one pass.
+    """
     return (
-        clean_tickets.where(f"{key} IS NOT NULL")
-        .groupBy(key)
+        deduplicated.where("is_valid_timeline")
+        .selectExpr(
+            *KEYS,
+            f"{first_largest(STAGES)} AS bottleneck_stage",
+            "ticket_id",
+            f"{CYCLE} AS cycle_micros",
+            f"{MISSES_TARGET} AS missed",
+        )
+        .groupBy(*KEYS, "bottleneck_stage")
         .agg(
             F.expr("count(ticket_id) AS tickets"),
             F.expr("count(1) AS measured"),
-            F.expr(f"sum(CAST({CYCLE} AS DECIMAL(20,0))) AS micros"),
-            F.expr("count_if(sla_breached) AS missed"),
+            F.expr("sum(CAST(cycle_micros AS DECIMAL(20,0))) AS micros"),
+            F.expr("count_if(missed) AS missed"),
         )
+    )
+
+
+def _per_key(sums: DataFrame, key: str) -> DataFrame:
+    totals = [F.expr(f"sum({c}) AS {c}") for c in ("tickets", "measured", "micros", "missed")]
+    return (
+        sums.where(f"{key} IS NOT NULL")
+        .groupBy(key)
+        .agg(*totals)
         .selectExpr(
             key,
             "tickets",
@@ -130,20 +162,20 @@ def _per_key(clean_tickets: DataFrame, key: str) -> DataFrame:
     )
 
 
-def kpi_by(clean_tickets: DataFrame, key: str) -> DataFrame:
-    """Tickets, mean cycle time and miss rate per priority, category, owner team, ...
+def kpi_by(sums: DataFrame, key: str) -> DataFrame:
+    """Tickets, mean cycle time and miss rate per one of ``KEYS``, from ``measures``.
 
     Tickets without the key are left out. Worst miss rate first.
     """
-    return _per_key(clean_tickets, key).orderBy(
+    return _per_key(sums, key).orderBy(
         F.desc("sla_breach_rate"), F.desc("avg_cycle_time_hours"), key
     )
 
 
-def bottlenecks(clean_tickets: DataFrame) -> DataFrame:
+def bottlenecks(sums: DataFrame) -> DataFrame:
     """Tickets and mean whole cycle time per longest stage, most frequent first."""
     return (
-        _per_key(clean_tickets, "bottleneck_stage")
+        _per_key(sums, "bottleneck_stage")
         .drop("sla_breach_rate")
         .orderBy(F.desc("tickets"), "bottleneck_stage")
     )

@@ -8,6 +8,8 @@ CSV_OPTIONS = {
     "header": "true",
     "escape": '"',
     "emptyValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
 }
 

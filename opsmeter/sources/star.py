@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from opsmeter.plans.sales import Star
 from opsmeter.sources.text import missing_to_null, read_csv
 
+# wide enough to hold what sources write; only line values are rounded, after multiplying
+EXACT = "DECIMAL(18,6)"
+
 # table -> its columns; a type makes the source's column a number of that type
 COLUMNS = {
     "dim_reps": {"rep_id": None, "rep_name": None, "region": None},
@@ -15,7 +20,7 @@ COLUMNS = {
         "product_id": None,
         "product_name": None,
         "category": None,
-        "unit_cost": "DECIMAL(18,2)",
+        "unit_cost": EXACT,
     },
     "fact_orders": {
         "order_id": None,
@@ -29,30 +34,49 @@ COLUMNS = {
         "order_item_id": None,
         "order_id": None,
         "product_id": None,
-        "quantity": "INT",
-        "unit_price": "DECIMAL(18,2)",
-        "unit_cost": "DECIMAL(18,2)",
+        "quantity": EXACT,
+        "unit_price": EXACT,
+        "unit_cost": EXACT,
     },
     "fact_returns": {"return_id": None, "order_id": None, "return_date": None, "reason": None},
 }
 
 
 def _typed(df: DataFrame, columns: dict[str, str | None]) -> DataFrame:
+    """The columns of a table; numbers that cannot be read are null."""
     return df.selectExpr(
-        *[f"CAST({c} AS {kind}) AS {c}" if kind else c for c, kind in columns.items()]
+        *[f"try_cast({c} AS {kind}) AS {c}" if kind else c for c, kind in columns.items()]
     )
 
 
+def unreadable_numbers(spark: SparkSession, folder: str, fmt: str = "parquet") -> DataFrame:
+    """``table_name, column_name, rows``: how many cells of each number column are no number."""
+    counts = []
+    for name, columns in COLUMNS.items():
+        numbers = {c: kind for c, kind in columns.items() if kind}
+        if not numbers:
+            continue
+        bad = ", ".join(
+            f"""named_struct('column_name', '{c}', 'rows',
+                count_if({c} IS NOT NULL AND try_cast({c} AS {kind}) IS NULL))"""
+            for c, kind in numbers.items()
+        )
+        raw = _raw(spark, folder, fmt, name)
+        counts.append(
+            raw.selectExpr(f"array({bad}) AS counts").selectExpr(f"'{name}' AS table_name", "inline(counts)")
+        )
+    return reduce(DataFrame.union, counts)
+
+
+def _raw(spark: SparkSession, folder: str, fmt: str, name: str) -> DataFrame:
+    if fmt == "table":
+        return spark.table(f"{folder}.{name}")
+    if fmt == "csv":
+        return missing_to_null(read_csv(spark, f"{folder}/{name}.csv"))
+    return spark.read.format(fmt).load(f"{folder}/{name}")
+
+
 def read_star(spark: SparkSession, folder: str, fmt: str = "parquet") -> Star:
     """``folder/<table>`` in a file format, or ``folder`` as a database with ``fmt="table"``."""
 
-    def read(name: str) -> DataFrame:
-        if fmt == "table":
-            df = spark.table(f"{folder}.{name}")
-        elif fmt == "csv":
-            df = missing_to_null(read_csv(spark, f"{folder}/{name}.csv"))
-        else:
-            df = spark.read.format(fmt).load(f"{folder}/{name}")
-        return _typed(df, COLUMNS[name])
-
-    return Star(**{name: read(name) for name in COLUMNS})
+    return Star(**{name: _typed(_raw(spark, folder, fmt, name), c) for name, c in COLUMNS.items()})

@@ -36,7 +36,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def tickets_raw(spark: SparkSession, folder: str) -> DataFrame:
+def tickets_raw(spark: SparkSession, folder: str, keep_copy: bool = False) -> DataFrame:
     orders = table(spark, folder, "orders")
     customer = table(spark, folder, "customer").selectExpr(
         "c_custkey AS o_custkey", "c_mktsegment"
@@ -69,7 +69,8 @@ def tickets_raw(spark: SparkSession, folder: str) -> DataFrame:
     )
     # exact copies of some rows, without scanning twice
     copies = F.when(F.col("k") % 101 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return tickets.withColumn("copy", F.explode(copies)).drop("k", "copy")
+    copied = tickets.withColumn("copy", F.explode(copies)).drop("k")
+    return copied if keep_copy else copied.drop("copy")
 
 
 def customers_raw(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +130,6 @@ def star(spark: SparkSession, folder: str) -> Star:
     )
     customers = (
         table(spark, folder, "customer")
-        .where("c_custkey % 40 <> 39")
         .join(places, F.expr("c_nationkey = n_nationkey"))
         .selectExpr(
             "c_custkey AS customer_id", "c_name AS customer_name", "c_mktsegment AS segment", "region"
@@ -137,7 +137,6 @@ def star(spark: SparkSession, folder: str) -> Star:
     )
     reps = (
         table(spark, folder, "supplier")
-        .where("s_suppkey < 10")
         .join(places, F.expr("s_nationkey = n_nationkey"))
         .selectExpr("s_suppkey AS rep_id", "s_name AS rep_name", "region")
     )
@@ -153,13 +152,16 @@ def star(spark: SparkSession, folder: str) -> Star:
                AS unit_cost""",
         )
     )
+    # representatives are numbered from 0; one number more is nobody's
+    reps_and_one = table(spark, folder, "supplier").agg(F.expr("count(1) + 1 AS n")).scalar()
     orders = (
         table(spark, folder, "orders")
         .withColumnRenamed("o_orderkey", "k")
+        .withColumn("numbers", reps_and_one)
         .selectExpr(
             "k AS order_id",
-            "o_custkey AS customer_id",
-            "k % 10 AS rep_id",
+            "IF(k % 40 = 39, o_custkey + 1000000000, o_custkey) AS customer_id",
+            "k % numbers AS rep_id",
             "substr(CAST(o_orderdate AS STRING), 1, 10) AS order_date",
             """CASE WHEN k % 20 < 11 THEN 'Web' WHEN k % 20 < 18 THEN 'Sales'
                ELSE 'Partner' END AS channel""",
@@ -170,7 +172,6 @@ def star(spark: SparkSession, folder: str) -> Star:
     items = (
         table(spark, folder, "lineitem")
         .selectExpr("l_orderkey AS order_id", "l_linenumber", "l_partkey AS product_id")
-        .distinct()
         .join(products.select("product_id", "list_price", "unit_cost"), "product_id")
         .selectExpr(
             "concat_ws('-', order_id, l_linenumber, product_id) AS order_item_id",

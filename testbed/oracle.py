@@ -251,13 +251,11 @@ CTES = {
         SELECT c_custkey AS customer_id, c_name AS customer_name, c_mktsegment AS segment,
                r_name AS region
         FROM customer JOIN nation ON n_nationkey = c_nationkey
-        JOIN region ON r_regionkey = n_regionkey
-        WHERE c_custkey % 40 <> 39""",
+        JOIN region ON r_regionkey = n_regionkey""",
     "fx_dim_reps": """
         SELECT s_suppkey AS rep_id, s_name AS rep_name, r_name AS region
         FROM supplier JOIN nation ON n_nationkey = s_nationkey
-        JOIN region ON r_regionkey = n_regionkey
-        WHERE s_suppkey < 10""",
+        JOIN region ON r_regionkey = n_regionkey""",
     "fx_dim_products": """
         SELECT product_id, product_name, category, list_price,
                -- whole cents, half a cent rounds up
@@ -266,14 +264,17 @@ CTES = {
         FROM (SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category,
                      CAST(p_retailprice AS DECIMAL(18,2)) AS list_price FROM part)""",
     "fx_fact_orders": """
-        SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderkey % 10 AS rep_id,
+        SELECT o_orderkey AS order_id,
+               CASE WHEN o_orderkey % 40 = 39 THEN o_custkey + 1000000000 ELSE o_custkey END
+                   AS customer_id,
+               o_orderkey % (SELECT count(*) + 1 FROM supplier) AS rep_id,
                strftime(o_orderdate, '%Y-%m-%d') AS order_date,
                CASE WHEN o_orderkey % 20 < 11 THEN 'Web' WHEN o_orderkey % 20 < 18 THEN 'Sales'
                     ELSE 'Partner' END AS channel,
                (o_orderkey % 19)::DOUBLE / 100 AS discount_rate
         FROM orders""",
     "fx_fact_order_items": """
-        SELECT DISTINCT l.l_orderkey || '-' || l.l_linenumber || '-' || l.l_partkey
+        SELECT l.l_orderkey || '-' || l.l_linenumber || '-' || l.l_partkey
                    AS order_item_id,
                l.l_orderkey AS order_id, l.l_partkey AS product_id,
                CAST(l.l_partkey % 5 + 1 AS INTEGER) AS quantity,
@@ -333,6 +334,29 @@ def _with(ctes: list[str], select: str) -> str:
     return f"WITH {body}\n{select}"
 
 
+def _from_files(sql: str) -> str:
+    """The query over tables read from files, where ``row_id`` is the place in the files."""
+    for key in ("c", "k"):
+        sql = sql.replace(
+            f"SELECT {key} AS row_id", f"SELECT row_number() OVER (ORDER BY {key}) - 1 AS row_id"
+        )
+    return sql
+
+
+# tickets written as text: see files.tickets
+_NUMBER = "CAST(substr(ticket_id, 2) AS BIGINT)"
+_FILE_TICKETS = f"""
+    SELECT DISTINCT ticket_id, created_at,
+           CASE WHEN {_NUMBER} % 2 = 0 AND {_NUMBER} % 101 = 0 THEN NULL ELSE intake_at END
+               AS intake_at,
+           triage_at, work_at, resolved_at,
+           CASE {_NUMBER} % 10
+               WHEN 3 THEN 'say "' || category || '",' || chr(10) || category
+               WHEN 4 THEN NULL ELSE category END AS category,
+           priority, channel, owner_team, CAST(sla_target_hours AS DOUBLE) AS sla_target_hours
+    FROM fx_tickets"""
+
+
 def half_up(part: str, whole: str, digits: int) -> str:
     """``part / whole`` of whole numbers, rounded half away from zero, as a double."""
     unit = 10**digits
@@ -443,6 +467,8 @@ _FAILURE_RATES = f"""
                FROM log GROUP BY ALL) f
       ON f.tab = r.tab AND f.col = r.col AND f.rule = r.rule"""
 
+CTES["file_tickets"] = _FILE_TICKETS
+
 SQL = {
     # tickets
     "ticket_duplicate_flags": _with(
@@ -591,4 +617,25 @@ SQL = {
     "kpi_top10_products": _with(
         _VIEWS, f"SELECT * FROM ({_TOP_PRODUCTS}) ORDER BY revenue DESC, product_id LIMIT 10"
     ),
+    # through files, result tables and views
+    "csv_ticket_prepared": _with(
+        [*_TICKETS[:2], "file_tickets"],
+        f"""SELECT {_TICKET_COLUMNS} FROM (
+                SELECT *, count(*) OVER (PARTITION BY ticket_id) > 1 AS is_duplicate_ticket_id,
+                       coalesce(created_at <= intake_at AND intake_at <= triage_at
+                                AND triage_at <= work_at AND work_at <= resolved_at, false)
+                           AS is_valid_timeline
+                FROM file_tickets)""",
+    ),
+    "csv_dq_issues": _from_files(_with(_LOG, f"SELECT {_ISSUE_COLUMNS} FROM log")),
+    "csv_dq_record_status": _from_files(_with(_LOG, _RECORD_STATUS)),
+    "csv_kpi_by_channel": _with(_VIEWS, _sales_kpi("channel", "channel")),
+    "csv_kpi_monthly": _with(_VIEWS, _MONTHLY),
+    "saved_kpi_by_region": _with(_VIEWS, _sales_kpi("rep_region", "region")),
+    "saved_kpi_by_region_csv": _with(_VIEWS, _sales_kpi("rep_region", "region")),
+    "view_orders_by_segment": _with(
+        _VIEWS,
+        """SELECT o.segment, count(DISTINCT o.order_id) AS orders, count(r.return_id) AS returns
+           FROM v_orders o LEFT JOIN v_returns r ON r.order_id = o.order_id GROUP BY o.segment""",
+    ),
 }

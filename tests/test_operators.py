@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsmeter.operators.keys import mark_rows, repeated_keys, unmatched_keys
 from opsmeter.operators.median import weighted_median
-from opsmeter.operators.staging import shared_folder, stage, staging_area
+from opsmeter.operators.staging import clear, session_area, shared_folder, stage, staging_area
 from opsmeter.plans import sales
 from tests.conftest import executed_plan
 
@@ -122,4 +122,22 @@ def test_staging_area_is_removed(spark):
         assert copy.count() == 5 and all(area in f for f in copy.inputFiles())
         assert os.path.isdir(area)
     assert not os.path.exists(area)
-    assert "opsmeter-" not in stage(spark.range(1)).inputFiles()[0]
+
+
+def test_everything_staged_can_be_removed(spark, folder):
+    """Also what registered queries stage, and without changing the session's settings."""
+    import os
+
+    import __spark_entry__
+
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.checkpoint.dir", None)
+    for name in ("dq_overall", "ticket_kpi_overall", "kpi_by_region", "csv_dq_issues"):
+        __spark_entry__.queries()[name](spark, folder).count()
+    area = session_area(spark).removeprefix("file:")
+    assert os.listdir(area)
+    clear(spark)
+    assert not os.path.exists(area)
+    assert before == (
+        dict(spark.sparkContext.getConf().getAll()),
+        spark.conf.get("spark.checkpoint.dir", None),
+    )

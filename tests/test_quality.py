@@ -1,7 +1,8 @@
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
+from opsmeter.operators.staging import stage
 from opsmeter.plans import quality
 from testbed import frames
 from tests.conftest import executed_plan
@@ -98,37 +99,42 @@ def test_transaction_rules(payments, people):
     ])
 
 
+def counted(table):
+    flagged, checks = table
+    return quality.counts(flagged, checks), checks
+
+
 def test_summary_and_breakdowns(people, payments):
     one = quality.flag_customers(people), CUSTOMERS
     two = quality.flag_transactions(payments, people), TRANSACTIONS
-    summary = quality.table_summary(*one).collect()[0].asDict()
+    summary = quality.table_summary(*counted(one)).collect()[0].asDict()
     assert summary["rows"] == 6 and summary["issue_count"] == 20
     assert summary["duplicate_rate"] == 4 / 6
     assert summary["completeness_customer_id"] == 3 / 6
     assert summary["completeness_email"] == 4 / 6
     assert summary["quality_score"] == 0.0  # more than 1.67 violations per row
-    second = quality.table_summary(*two).collect()[0]
+    second = quality.table_summary(*counted(two)).collect()[0]
     assert second.completeness_amount == 5 / 7  # measured after reading the number
-    card = quality.scorecard(quality.table_summary(*one), quality.table_summary(*two)).collect()
+    card = quality.scorecard(quality.table_summary(*counted(one)), quality.table_summary(*counted(two))).collect()
     assert [r["table"] for r in card] == ["OVERALL", "customers", "transactions"]
     assert card[0].rows == 13 and card[0].issue_count == 41 and card[0].issue_rate == 41 / 13
     assert card[0].duplicate_rate == (4 / 6 + 2 / 7) / 2
     assert card[0].completeness_customer_id is None and card[1].completeness_channel is None
     assert card[2].completeness_customer_id == 5 / 7
-    total = quality.overall(quality.table_summary(*one), quality.table_summary(*two)).collect()[0]
+    total = quality.overall(quality.table_summary(*counted(one)), quality.table_summary(*counted(two))).collect()[0]
     assert tuple(total) == tuple(card[0])[:7]
 
-    log = quality.combined(quality.issues(*one), quality.issues(*two))
-    assert [tuple(r) for r in quality.top_rules(log, 3).collect()] == [
+    rates = quality.combined(quality.failure_rates(*counted(one)), quality.failure_rates(*counted(two)))
+    assert [tuple(r) for r in quality.top_rules(rates, 3).collect()] == [
         ("transactions", "not_null", 8),
         ("customers", "allowed_values", 5),
         ("customers", "not_null", 5),
     ]
-    ranks = quality.issues_by_severity(log).collect()
+    ranks = quality.issues_by_severity(rates).collect()
     assert sum(r.issues for r in ranks) == 41 and ranks[0].severity_rank == 3
     status = {r.row_id: (r.violations, r.status) for r in quality.record_status(*one).collect()}
     assert status[0] == (0, "clean") and status[5] == (3, "failed")
-    rates = {(r.column, r.rule): r.failure_rate for r in quality.failure_rates(*two).collect()}
+    rates = {(r.column, r.rule): r.failure_rate for r in quality.failure_rates(*counted(two)).collect()}
     assert len(rates) == 11 and rates["amount", "positive"] == 3 / 7
 
 
@@ -137,19 +143,20 @@ def test_empty_tables(people, payments):
     one = quality.flag_customers(nobody), CUSTOMERS
     two = quality.flag_transactions(nothing, nobody), TRANSACTIONS
     assert quality.combined(quality.issues(*one), quality.issues(*two)).count() == 0
-    card = quality.scorecard(quality.table_summary(*one), quality.table_summary(*two)).collect()
+    card = quality.scorecard(quality.table_summary(*counted(one)), quality.table_summary(*counted(two))).collect()
     assert [(r.rows, r.issue_count, r.issue_rate, r.quality_score) for r in card] == [(0, 0, 0.0, 100.0)] * 3
     assert all(r.duplicate_rate is None and r.completeness_overall is None for r in card)
     # one empty table: its missing rates make the overall mean missing too
-    full = quality.table_summary(quality.flag_customers(people), CUSTOMERS)
-    mixed = quality.overall(full, quality.table_summary(*two)).collect()[0]
+    full = quality.table_summary(*counted((quality.flag_customers(people), CUSTOMERS)))
+    mixed = quality.overall(full, quality.table_summary(*counted(two))).collect()[0]
     assert mixed.duplicate_rate is None and mixed.quality_score == 50.0
 
 
 def test_log_is_one_pass_in_generated_code(spark, folder):
-    flagged = quality.flag_transactions(
-        frames.transactions_raw(spark, folder), frames.customers_raw(spark, folder)
-    )
+    payments, people = frames.transactions_raw(spark, folder), frames.customers_raw(spark, folder)
+    # stored keys: their size is known, so they are broadcast
+    keys = stage(quality.faulty_transaction_keys(payments, people))
+    flagged = quality.flag_transactions(payments, people, keys)
     plan = executed_plan(quality.issues(flagged, TRANSACTIONS))
     final = plan.split("Initial Plan")[0]
     assert ") Generate inline" in final
@@ -165,7 +172,24 @@ def test_hot_customer(spark):
         "'2023-01-01' AS transaction_date", "'1' AS amount", "'USD' AS currency", "'Web' AS channel",
     )
     people = spark.createDataFrame([(0, "C1", "a@b.c", "2023-01-01", "US", "Active")], PEOPLE)
-    rates = quality.failure_rates(quality.flag_transactions(payments, people), TRANSACTIONS).collect()
+    flagged = quality.flag_transactions(payments, people)
+    rates = quality.failure_rates(*counted((flagged, TRANSACTIONS))).collect()
     failed = {(r.column, r.rule): r.failed_records for r in rates}
     assert failed["customer_id", "fk_exists"] == 20_000
     assert failed["customer_id", "not_null"] == 10_000
+
+
+def test_as_of_and_dates_with_offsets(spark):
+    """Moments with an offset are compared in UTC."""
+    five_hours_east = timezone(timedelta(hours=5))
+    people = spark.createDataFrame(
+        [
+            (0, "C1", "a@b.c", "2023-01-01 10:00:00+05:00", "US", "Active"),  # 05:00 UTC
+            (1, "C2", "a@b.c", "2023-01-01 10:00:00", "US", "Active"),
+            (2, "C3", "a@b.c", "2023-01-01T04:59:59Z", "US", "Active"),
+        ],
+        PEOPLE,
+    )
+    checks = quality.customer_checks(datetime(2023, 1, 1, 9, 59, 59, tzinfo=five_hours_east))
+    found = quality.issues(quality.flag_customers(people), checks).collect()
+    assert sorted((r.record_id, r.rule) for r in found) == [("C1", "not_future"), ("C2", "not_future")]

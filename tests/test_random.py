@@ -63,12 +63,12 @@ def test_tickets(spark, seed):
     assert {tuple(r)[:11]: tuple(r)[13:] for r in clean.collect()} == {r: measures(r) for r in valid}
 
     cycles = [measures(r)[0] for r in valid]
-    overall = tickets.kpi_overall(raw, prepared).collect()[0]
+    overall = tickets.kpi_overall(tickets.cycle_counts(tickets.deduplicate(raw))).collect()[0]
     assert tuple(overall)[:5] == (500, len(unique), 500 - len(unique), len(valid), len(unique) - len(valid))
     assert overall.avg_cycle_time_hours == pytest.approx(statistics.mean(cycles))
     assert overall.median_cycle_time_hours == pytest.approx(statistics.median(cycles))
     low = [r for r in valid if r[7] == "Low"]
-    got = {r.priority: r for r in tickets.kpi_by(clean, "priority").collect()}
+    got = {r.priority: r for r in tickets.kpi_by(tickets.measures(tickets.deduplicate(raw)), "priority").collect()}
     assert set(got) == {"Low", "High"} and got["Low"].tickets == sum(r[0] is not None for r in low)
     assert got["Low"].sla_breach_rate == pytest.approx(statistics.mean(measures(r)[5] for r in low))
 
@@ -153,9 +153,10 @@ def test_quality(spark, seed):
     two = quality.flag_transactions(payments, people), TRANSACTIONS
     ours = quality.combined(quality.issues(*one), quality.issues(*two)).collect()
     assert Counter((r[0], r.record_id, r.column, r.rule, r.details) for r in ours) == Counter(log)
-    card = quality.scorecard(quality.table_summary(*one), quality.table_summary(*two)).collect()
+    counted = [(quality.counts(*table), table[1]) for table in (one, two)]
+    card = quality.scorecard(*[quality.table_summary(*table) for table in counted]).collect()
     assert card[0].issue_count == len(log)
-    rates = quality.combined(quality.failure_rates(*one), quality.failure_rates(*two)).collect()
+    rates = quality.combined(*[quality.failure_rates(*table) for table in counted]).collect()
     counts = Counter((table, column, rule) for table, _, column, rule, _ in log)
     assert {(r.table, r.column, r.rule): r.failed_records for r in rates if r.failed_records} == dict(counts)
     status = quality.combined(quality.record_status(*one), quality.record_status(*two))

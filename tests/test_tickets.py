@@ -67,8 +67,8 @@ def test_clean(raw):
 
 
 def test_kpis(raw):
-    prepared = tickets.prepare(raw)
-    overall = tickets.kpi_overall(raw, prepared).collect()[0].asDict()
+    once = tickets.deduplicate(raw)
+    overall = tickets.kpi_overall(tickets.cycle_counts(once)).collect()[0].asDict()
     cycles = [2.0, 24.0, (24 * 3_600_000_000 + 1) / 3.6e9, 7.0, 4.0, 5.0]
     assert overall == {
         "rows_raw": 11,
@@ -81,23 +81,23 @@ def test_kpis(raw):
         "median_cycle_time_hours": 6.0,
         "sla_breach_rate": 1 / 6,
     }
-    clean = tickets.clean(prepared)
-    by_priority = [tuple(r) for r in tickets.kpi_by(clean, "priority").collect()]
+    sums = tickets.measures(once)
+    by_priority = [tuple(r) for r in tickets.kpi_by(sums, "priority").collect()]
     assert by_priority == [  # a missing priority is no group, a missing id does not count
         ("High", 3, pytest.approx(sum(cycles[:3]) / 3), 1 / 3),
         ("Low", 0, 4.5, 0.0),
     ]
-    stages = [tuple(r) for r in tickets.bottlenecks(clean).collect()]
+    stages = [tuple(r) for r in tickets.bottlenecks(sums).collect()]
     assert [s[:2] for s in stages] == [("review", 2), ("intake", 1), ("triage", 1)]
-    assert len(tickets.top_bottlenecks(tickets.bottlenecks(clean), 2).collect()) == 2
+    assert len(tickets.top_bottlenecks(tickets.bottlenecks(sums), 2).collect()) == 2
 
 
 def test_empty_input(raw):
     nothing = raw.limit(0)
     prepared = tickets.prepare(nothing)
     assert tickets.clean(prepared).count() == tickets.rejected(prepared).count() == 0
-    assert tickets.kpi_by(tickets.clean(prepared), "priority").count() == 0
-    assert list(tickets.kpi_overall(nothing, prepared).collect()[0]) == [0, 0, 0, 0, 0, 0.0, None, None, None]
+    assert tickets.kpi_by(tickets.measures(tickets.deduplicate(nothing)), "priority").count() == 0
+    assert list(tickets.kpi_overall(tickets.cycle_counts(tickets.deduplicate(nothing))).collect()[0]) == [0, 0, 0, 0, 0, 0.0, None, None, None]
 
 
 def test_weighted_group_means_give_the_overall_figure(spark, folder):
@@ -105,7 +105,8 @@ def test_weighted_group_means_give_the_overall_figure(spark, folder):
     clean = tickets.clean(tickets.deduplicate(raw)).where("priority IS NOT NULL")
     overall = clean.selectExpr("avg(cycle_time_hours)", "avg(CAST(sla_breached AS INT))").collect()[0]
     for key in ("priority", "category", "owner_team"):
-        groups = tickets.kpi_by(clean, key).collect()
+        sums = tickets.measures(tickets.deduplicate(raw).where("priority IS NOT NULL"))
+        groups = tickets.kpi_by(sums, key).collect()
         size = sum(g.tickets for g in groups)
         assert sum(g.tickets * g.avg_cycle_time_hours for g in groups) / size == pytest.approx(overall[0])
         assert sum(g.tickets * g.sla_breach_rate for g in groups) / size == pytest.approx(overall[1])
