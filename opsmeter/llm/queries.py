@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from opsmeter.llm import counts, dedup, embeddings, jaccard, lattice, packing, pieces, quality, secrets, sharding
+from opsmeter.llm.sql import SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,15 +76,3 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
 }
-
-SQL = {
-    "op9_exact_dedup": """
-        SELECT doc_id,
-               max(doc_id) OVER same AS keep_id,
-               count(*) OVER same AS group_size,
-               doc_id = max(doc_id) OVER same AS kept,
-               sha256(coalesce(text, '')) AS text_sha256
-        FROM documents
-        WINDOW same AS (PARTITION BY coalesce(text, ''))
-    """,
-}

@@ -1,0 +1,426 @@
+"""Joins, classifier, language model and pipeline against brute force and held-out rows."""
+
+import itertools
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from opsmeter.llm import embeddings, jaccard, lattice, quality, queries
+from opsmeter.llm.components import connected
+
+SF = "/root/testdata/sf0.01"
+
+
+def roots(ids, links):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+# --- components ---
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 120, (90, 2))]
+    edges += [(1000 + i, 1001 + i) for i in range(60)] + [(500, 2000 + i) for i in range(40)]
+    frame = spark.createDataFrame([*edges, edges[0], (None, 3)], "a bigint, b bigint")
+    ids = {i for e in edges if e[0] != e[1] for i in e}
+    expected = roots(ids, edges)
+    assert {r.id: r.component_id for r in connected(frame).collect()} == expected
+
+
+def test_components_of_nothing(spark):
+    assert connected(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).collect() == []
+
+
+# --- n-gram Jaccard join ---
+
+
+def shingles(text, k):
+    words = (text or "").encode().lower().split()
+    if len(words) < k:
+        return frozenset([tuple(words)]) if words else frozenset()
+    return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+
+
+def similar_components(texts, k, percent):
+    sets = {d: shingles(t, k) for d, t in texts.items()}
+    links = []
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        if x and y:
+            both = len(x & y)
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                links.append((a, b))
+    return {d: len(s) for d, s in sets.items()}, roots(sets, links), links
+
+
+def test_jaccard_of_all_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sizes, expected, links = similar_components(texts, 4, 85)
+    assert links
+    rows = queries.op1_ngram_jaccard_join(spark, SF).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {
+        d: (sizes[d], expected[d]) for d in texts
+    }
+
+
+def family(rng, size, length, edit):
+    """A text, copies with random words replaced or dropped, and copies of those."""
+    base = [f"w{rng.integers(0, 5000)}" for _ in range(length)]
+    out = [base]
+    while len(out) < size:
+        source = out[int(rng.integers(0, len(out)))] if rng.random() < 0.4 else base
+        rate = rng.random() * edit
+        copy = [
+            w if rng.random() > rate else f"n{rng.integers(0, 300)}"
+            for w in source
+            if rng.random() > rate / 3
+        ]
+        out.append(copy)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_jaccard_of_families_of_copies(spark, seed):
+    """Many near copies around one text, on both sides of the threshold, with a shared passage."""
+    rng = np.random.default_rng(seed)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = family(rng, 60, 120, 0.12) + family(rng, 25, 40, 0.1)
+    texts += [f"{passage} {t}" for t in family(rng, 20, 60, 0.9)] + texts[:5]
+    texts = dict(enumerate(texts))
+    sizes, expected, links = similar_components(texts, 4, 85)
+    assert len(links) > 50
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = jaccard.similarity_components(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {
+        d: (sizes[d], expected[d]) for d in texts
+    }
+
+
+def test_jaccard_edge_cases(spark):
+    rows = [
+        (0, None), (1, ""), (2, " \n"), (3, "one two"), (4, "ONE  two"), (5, "one two three four"),
+        (6, "one two three four"), (None, "one two three four"), (7, "x " * 20_000), (8, "x " * 500),
+        (9, "a b c d e"), (9, "q r s t u"), (10, "q r s t u"),
+    ]
+    rows = [(*r, "clash", 5) for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, name string, n int")
+    found = jaccard.similarity_components(docs).collect()
+    assert len(found) == len(rows)
+    by = {r.doc_id: (r.n_shingles, r.component_id) for r in found}
+    assert by[0] == (0, 0) and by[1] == (0, 1) and by[2] == (0, 2)
+    assert by[3] == by[4] == (1, 3) and by[5] == by[6] == (1, 5) and by[None] == (1, None)
+    assert by[7] == by[8] == (1, 7)  # one shingle, repeated
+    assert {r.component_id for r in found if r.doc_id in (9, 10)} == {9}
+    kept = jaccard.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 5, 7, 9, 9]
+    assert jaccard.similarity_components(docs.limit(0)).collect() == []
+
+
+def test_prefix_bound_holds_for_every_order():
+    """Linked sets share as many prefix tokens as claimed, whatever the order."""
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        a = set(rng.permutation(80)[:n].tolist())
+        b = set(a)
+        for _ in range(int(rng.integers(0, 6))):
+            b.discard(int(rng.integers(0, 80)))
+            b.add(int(rng.integers(0, 80)))
+        if 100 * len(a & b) < 85 * len(a | b):
+            continue
+        order = {int(t): i for i, t in enumerate(rng.permutation(80))}
+        pa_, pb = (
+            set(sorted(x, key=order.get)[: jaccard.prefix_length(len(x), 85)]) for x in (a, b)
+        )
+        assert len(pa_ & pb) >= jaccard.needed_in_prefix(len(a), len(b), 85)
+
+
+def test_differences_from_a_centre_lose_no_link():
+    """Sets around a centre that link, not both with it, meet by the tokens ``difference`` names."""
+    rng = np.random.default_rng(6)
+    seen = 0
+    for _ in range(600):
+        n = int(rng.integers(8, 120))
+        centre = np.unique(rng.integers(0, 2**62, n, dtype=np.uint64))
+
+        def edited(x, rate, rng=rng):
+            kept = x[rng.random(len(x)) > rate * rng.random() * 1.3]
+            new = rng.integers(0, 2**62, int(rng.integers(0, max(2, rate * len(x)))), dtype=np.uint64)
+            return np.unique(np.concatenate((kept, new)))
+
+        def like(x, y):
+            both = jaccard._common(x, y)
+            return 100 * both >= 85 * (len(x) + len(y) - both)
+
+        far = edited(centre, 0.12)
+        sets = [far] + [edited(far, 0.06) for _ in range(4)] + [edited(centre, 0.1) for _ in range(3)]
+        sets = [x for x in sets if len(x)]
+        rows = [(x, like(x, centre), jaccard.difference(x, centre, like(x, centre), 85)) for x in sets]
+        for (x, x_linked, p), (y, y_linked, q) in itertools.combinations(rows, 2):
+            if p is None or q is None or (x_linked and y_linked) or not like(x, y):
+                continue
+            seen += not (x_linked and y_linked)
+            needed = (p[0] + q[0] - jaccard._allowed(len(x), len(y), 85)) // 2
+            removals = [len(centre) - (len(s) - len(f[1])) for s, f in ((x, p), (y, q))]
+            assert needed <= min(p[0], q[0])
+            assert len(np.intersect1d(p[1], q[1])) or (
+                min(removals) >= needed and len(np.intersect1d(p[2], q[2]))
+            )
+    assert seen > 100
+
+
+# --- embeddings ---
+
+
+def vectors(rng):
+    base = rng.normal(size=(30, 16))
+    out = [base[i % 30] + rng.normal(size=16) * rng.choice([0, 0.02, 0.08, 0.2]) for i in range(150)]
+    return [[float(np.float32(x)) for x in v] for v in out]
+
+
+@pytest.mark.parametrize("kind,tile", [("float", 40), ("double", 1000)])
+def test_near_vectors(spark, kind, tile):
+    data = vectors(np.random.default_rng(1))
+    data += [[1e30 * x for x in data[0]], [1e-30 * x for x in data[1]], data[2], data[2]]
+    u = np.array(data)
+    u = u / np.sqrt((u * u).sum(1, keepdims=True)) if kind == "double" else embeddings.unit(u.astype("f4"))
+    near = u @ u.T >= 0.95
+    odd = [None, [], [0.0] * 16, [1.0, None] + [0.0] * 14, [float("nan")] + [1.0] * 15,
+           [float("inf")] + [1.0] * 15, [1.0, 0.0]]
+    rows = list(enumerate(data)) + [(len(data) + i, v) for i, v in enumerate(odd)] + [(None, data[0])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], f"vec_id bigint, embedding array<{kind}>, dim int")
+    found = embeddings.near_duplicates(frame, tile=tile).collect()
+    assert len(found) == len(rows)
+    by = {r.vec_id: r for r in found}
+    n = len(data)
+    expected = roots(range(n), [(i, j) for i in range(n) for j in range(i) if near[i, j]])
+    assert near.sum() > 2 * n
+    for i in range(n):
+        assert (by[i].n_links, by[i].component_id, by[i].kept) == (
+            near[i].sum() - 1, expected[i], expected[i] == i
+        )
+    for i in range(n, n + len(odd)):
+        assert (by[i].n_links, by[i].component_id, by[i].kept) == (0, i, True)
+    assert (by[None].n_links, by[None].component_id, by[None].kept) == (0, None, True)
+    assert embeddings.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_error_bound_never_rules_out_a_link():
+    rng = np.random.default_rng(2)
+    for scale in (0.01, 0.05, 0.15):
+        a = embeddings.unit(rng.normal(size=(200, 24)) ** 3)
+        b = embeddings.unit(a + scale * rng.normal(size=a.shape) * rng.random((200, 1)))
+        i, j = embeddings.possible(embeddings.quantised(a), embeddings.quantised(b), 0.95)
+        assert set(zip(*np.nonzero(a @ b.T >= 0.95))) <= set(zip(i.tolist(), j.tolist()))
+
+
+# --- quality ---
+
+
+def test_quality_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = {r.doc_id: r for r in queries.op3_quality_classifier(spark, folder).collect()}
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [d for d in truth if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert all(rows[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d in rows)
+    assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows.values())
+    right = [rows[d].predicted == truth[d] for d in held]
+    good = [rows[d].predicted for d in held if truth[d] == 1]
+    bad = [1 - rows[d].predicted for d in held if truth[d] == 0]
+    assert np.mean(right) > 0.93 and np.mean(good) > 0.98 and np.mean(bad) > 0.6
+
+
+def test_quality_never_reads_held_out_labels(spark, folder):
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    held = "pmod(crc32(cast(cast(doc_id AS STRING) AS BINARY)), 5) = 0"
+    flipped = labels.selectExpr("doc_id", f"IF({held}, 1 - quality, quality) AS quality")
+    first, second = (
+        {r.doc_id: r.score for r in quality.quality_scores(docs, x).collect()} for x in (labels, flipped)
+    )
+    assert first == second
+
+
+def test_quality_edge_cases(spark):
+    docs = spark.createDataFrame(
+        [(1, None, 0.5), (2, "", 0.5), (3, "good words here", 0.5), (None, "bad", 0.5), (3, "good words here", 0.5)],
+        "doc_id bigint, text string, score double",
+    )
+    labels = spark.createDataFrame([(1, 1), (3, 1), (3, None), (99, 0), (2, 7)], "doc_id bigint, quality int")
+    rows = quality.quality_scores(docs, labels).collect()
+    assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
+    assert {r.score for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+    assert quality.quality_scores(docs.limit(0), labels).collect() == []
+    kept = quality.accepted(docs, labels.limit(0))
+    assert kept.schema == docs.schema and kept.count() == 5
+
+
+def test_ftrl_is_the_closed_form():
+    """Weights after each step equal the minimiser that the updates stand for."""
+    settings = quality.Settings(bits=4, alpha=0.3, l1=0.2, l2=0.7)
+    model, rng = quality.Ftrl(settings), np.random.default_rng(0)
+    z, n = np.zeros(16), np.zeros(16)
+    for _ in range(50):
+        at = np.unique(rng.integers(0, 16, 5))
+        x, y = rng.normal(size=len(at)), int(rng.integers(0, 2))
+        w = np.array([
+            0 if abs(z[i]) <= 0.2 else -(z[i] - np.sign(z[i]) * 0.2) / ((1 + np.sqrt(n[i])) / 0.3 + 0.7) for i in at
+        ])
+        g = (1 / (1 + np.exp(-w @ x)) - y) * x
+        for k, i in enumerate(at):
+            sigma = (np.sqrt(n[i] + g[k] ** 2) - np.sqrt(n[i])) / 0.3
+            z[i] += g[k] - sigma * w[k]
+            n[i] += g[k] ** 2
+        model.learn(at, x, y)
+        assert np.allclose(model.z, z) and np.allclose(model.n, n)
+
+
+def test_features_are_distinct_ngrams():
+    settings = quality.Settings(bits=20)
+    places, values, bounds = quality.features(pa.array(["a b a b", "", None, "A B"]), settings)
+    assert bounds.tolist() == [0, 5, 6, 7, 11]  # bias; a, b, "a b", "b a"; bias; bias; a, b, "a b"
+    assert places[5] == places[6] == 0 and values[5] == 1
+    assert np.isclose((values[1:5] ** 2).sum(), 1)
+    assert set(places[7:].tolist()) < set(places[:5].tolist())
+
+
+# --- language model ---
+
+PATH = queries.public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_scores_of_all_documents(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    tokens = {d: [*t.encode().lower().split(), None] for d, t in docs.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in docs}
+    counts = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
+    total, kinds = sum(counts.values()), len(counts)
+    rows = queries.op6_lm_scoring(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        words = tokens[r.doc_id]
+        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in words)
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(words), total)
+        assert r.n_known == sum(counts[w] > 0 for w in words)
+        assert r.base_score == pytest.approx(base) and r.score < 0
+
+
+def plain_marginal(vocabulary, word, logp):
+    """The sum over all segmentations, one by one."""
+    text = bytes([lattice.MARK]) + word
+    places = {}
+    for i, name in enumerate(vocabulary.names):
+        places.setdefault(name, i)
+
+    def total(start):
+        if start == len(text):
+            return 1.0
+        return sum(
+            math.exp(logp[places[text[start:end]]]) * total(end)
+            for end in range(start + 1, len(text) + 1)
+            if text[start:end] in places
+        )
+
+    return math.log(total(0))
+
+
+def test_forward_recursion_sums_all_segmentations():
+    vocabulary = lattice.vocabulary(PATH)
+    logp = vocabulary.given(lattice.Settings())
+    words = ["the", "nation", "é", "xqz!", "thandion", "\U0001f600", "a" * 12]
+    found = lattice.marginals(vocabulary, [w.encode() for w in words], logp)
+    for word, value in zip(words, found, strict=True):
+        assert value == pytest.approx(plain_marginal(vocabulary, word.encode(), logp))
+    assert np.exp(logp).sum() == pytest.approx(1)
+
+
+def test_expected_counts_spell_the_words():
+    vocabulary = lattice.vocabulary(PATH)
+    logp = vocabulary.given(lattice.Settings())
+    words = [b"nation", b"thing", b"ab"]
+    for own, raw in lattice.by_length(words):
+        counts = lattice.expected(vocabulary.arcs(raw), len(own), logp, vocabulary.size)
+        lengths = np.array([len(name) for name in vocabulary.names])
+        assert counts @ lengths == pytest.approx(raw.size)
+
+
+def test_word_probabilities_sum_to_at_most_one(spark):
+    """All words of up to two letters, known or not, and the end."""
+    texts = [(i, "aa ab b a") for i in range(40)]
+    letters = [bytes([a]) for a in range(33, 127)]
+    words = letters + [a + b for a in letters for b in letters]
+    words = sorted({w.lower().decode() for w in words})
+    probes = [(1000 + i, w) for i, w in enumerate(words)]
+    held = [p for p in probes if zlib.crc32(str(p[0]).encode()) % 10 == 0][:200]
+    docs = spark.createDataFrame(texts + held, "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in lattice.document_scores(docs, PATH).collect()}
+    end = next(r for r in rows.values() if r.n_tokens == 5)
+    share = end.train_tokens / 5 / end.train_tokens
+    assert sum(10 ** rows[i].score / (share * (1 - 1e-6)) for i, _ in held) <= 1.001
+
+
+def test_scoring_edge_cases(spark):
+    rows = [(1, None), (2, ""), (3, "known words known"), (4, "w" * 30_000), (None, "known"), (3, "known words known"),
+            (5, "\x00 \x1c é́ 漢字")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, block int, word string")
+    found = lattice.document_scores(docs, PATH).collect()
+    assert sorted(r.n_tokens for r in found) == sorted(len((t or "").encode().split()) + 1 for _, t in rows)
+    assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in found)
+    assert lattice.document_scores(docs.limit(0), PATH).collect() == []
+    only_held = docs.where("pmod(crc32(cast(cast(doc_id AS STRING) AS BINARY)), 10) = 0 AND doc_id IS NOT NULL")
+    assert all(math.isfinite(r.score) and r.n_known == 0 for r in lattice.document_scores(only_held, PATH).collect())
+
+
+# --- pipeline ---
+
+
+def test_pipeline(spark):
+    """Every stage against brute force on what its predecessor kept."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    assert [name for name, _ in pipeline.STAGES] == [
+        "quality_classifier", "exact_dedup", "ngram_jaccard_join", "secret_scans", "best_fit_packing",
+    ]
+    frames = [docs]
+    for _, stage in pipeline.STAGES:
+        frames.append(pipeline.stored(stage(spark, frames[-1], SF), "test"))
+    rows = [{r.doc_id: r for r in f.collect()} for f in frames[:-1]]
+    assert all(f.columns == columns for f in frames[:-1])
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scores = {r.doc_id: r.predicted for r in quality.quality_scores(docs, labels).collect()}
+    assert set(rows[1]) == {d for d, p in scores.items() if p}
+    last = {}
+    for d, r in rows[1].items():
+        last[r.text] = max(d, last.get(r.text, -1))
+    assert set(rows[2]) == set(last.values())
+    _, groups, _ = similar_components({d: r.text for d, r in rows[2].items()}, 5, 80)
+    assert set(rows[3]) == set(groups.values()) and len(rows[3]) < len(rows[2])
+    assert set(rows[4]) == set(rows[3])
+    changed = [d for d in rows[4] if rows[4][d].text != rows[3][d].text]
+    assert changed and all("[" in rows[4][d].text for d in changed)
+    assert all(r.n_chars == len(r.text) for r in rows[4].values())
+    packed = frames[-1].collect()
+    assert {r.doc_id for r in packed} == set(rows[4])
+    fill = Counter()
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
+    whole = sorted(map(tuple, packed))
+    assert sorted(map(tuple, pipeline.run(spark, SF).collect())) == whole
