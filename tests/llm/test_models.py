@@ -94,13 +94,13 @@ def family(rng, size, length, edit):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_jaccard_of_families_of_copies(spark, seed):
     """Many near copies around one text, on both sides of the threshold, with a shared passage."""
     rng = np.random.default_rng(seed)
     passage = " ".join(f"p{i}" for i in range(30))
-    texts = family(rng, 60, 120, 0.12) + family(rng, 25, 40, 0.1)
-    texts += [f"{passage} {t}" for t in family(rng, 20, 60, 0.9)] + texts[:5]
+    texts = family(rng, 60, 120, 0.06) + family(rng, 25, 40, 0.05)
+    texts += [f"{passage} {t}" for t in family(rng, 20, 60, 0.3)] + texts[:5]
     texts = dict(enumerate(texts))
     sizes, expected, links = similar_components(texts, 4, 85)
     assert len(links) > 50
