@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from uuid import uuid4
 
 import numpy as np
@@ -21,9 +23,17 @@ BATCH_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes for the frames planned from here on."""
+    """Bound Arrow batches by bytes for the frames planned from here on.
+
+    Python workers also learn where this package lies, should it not be installed.
+    """
     for name, value in BATCH_SETTINGS.items():
         spark.conf.set(name, value)
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
 def shared_folder(spark: SparkSession) -> str:
