@@ -37,7 +37,6 @@ class Settings:
     words: int = 4
     percent: int = 85
     orders: int = 3
-    star_rounds: int = 1
 
 
 def shingle_sets(texts: pa.Array, length: int) -> list[np.ndarray]:
@@ -200,13 +199,15 @@ def _filter_bits(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.view(np.uint64), 5) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """``name, text`` of the sets in ``needed (name, rep)``, read from the document ``rep``.
+def _texts(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``name, text`` of the sets in ``pairs (a, b)``, read from the documents that stand for them.
 
-    A filter of fixed size, made from all needed ids, spares most other texts the way into
+    A filter of fixed size, made from all their ids, spares most other texts the way into
     the join; the join then decides.
     """
     spark = rows.sparkSession
+    names = pairs.selectExpr("a AS name").union(pairs.selectExpr("b AS name")).distinct()
+    needed = stored(names.join(classes.select("name", "rep"), "name"), "needed")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, np.uint64)
@@ -226,12 +227,14 @@ def _texts(rows: DataFrame, needed: DataFrame) -> DataFrame:
     return stored(found, "texts")
 
 
-def _verified(
-    pairs: DataFrame, rows: DataFrame, classes: DataFrame, levels, settings: Settings
-) -> DataFrame:
-    """The ``pairs (a, b)`` of set names that link, judged from the sets' texts."""
-    names = pairs.selectExpr("a AS name").union(pairs.selectExpr("b AS name")).distinct()
-    texts = _texts(rows, stored(names.join(classes.select("name", "rep"), "name"), "needed"))
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    left = texts.selectExpr("name AS a", "text AS left_text")
+    right = texts.selectExpr("name AS b", "text AS right_text")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text")
+
+
+def _judged(judge, settings: Settings):
+    """Apply ``judge(names, left sets, right sets)`` to pairs with texts, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,17 +242,95 @@ def _verified(
                 some = batch.slice(start, stop - start)
                 left, right = (shingle_sets(some.column(i), settings.words) for i in (2, 3))
                 names = zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
-                keep = [
-                    # an id listed with several texts brings all of them; only the named sets count
-                    set_key(x) == a and set_key(y) == b and similar(x, y, levels.value, settings)
-                    for (a, b), x, y in zip(names, left, right, strict=True)
-                ]
-                yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield judge(list(names), left, right)
 
-    left = texts.selectExpr("name AS a", "text AS left_text")
-    right = texts.selectExpr("name AS b", "text AS right_text")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left_text", "right_text")
-    return stored(both.mapInArrow(run, "a bigint, b bigint"), "links")
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, levels, settings: Settings) -> DataFrame:
+    """The ``pairs (a, b)`` of set names that link, judged from the sets' texts."""
+
+    def judge(names, left, right):
+        keep = [
+            # an id listed with several texts brings all of them; only the named sets count
+            (a, b)
+            for (a, b), x, y in zip(names, left, right, strict=True)
+            if set_key(x) == a and set_key(y) == b and similar(x, y, levels.value, settings)
+        ]
+        columns = list(zip(*keep, strict=True)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    both = _with_texts(pairs, texts)
+    return stored(both.mapInArrow(_judged(judge, settings), "a bigint, b bigint"), "links")
+
+
+def _allowed(n, m, percent: int):
+    """How much linked sets of ``n`` and ``m`` differ at most: tokens in just one of them."""
+    return n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
+
+
+def _partner_sizes(n: int, percent: int) -> np.ndarray:
+    return np.arange(least_overlap(n, percent), 100 * n // percent + 1)
+
+
+def difference(own: np.ndarray, centre: np.ndarray, linked: bool, percent: int) -> tuple | None:
+    """How a set differs from its centre: ``(tokens, added, removed)``, or None if too much.
+
+    ``tokens`` is the size ``d`` of the difference, ``added`` all tokens that the centre lacks.
+    Sets ``x`` and ``y`` with one centre differ by ``d_x + d_y`` less twice what their
+    differences share. If ``x`` does not link with the centre, ``x`` and ``y`` can only link
+    if the differences share ``k = (d_x + d_y - allowed) / 2`` tokens: an added one,
+    or else ``k`` removed ones. ``removed`` is then the part of them, in a seeded order, of
+    which one must be shared: all but the least ``k``, less one.
+
+    None where no such ``k`` is certain, and for sets that are not near their centre.
+    """
+    added = np.setdiff1d(own, centre, assume_unique=True)
+    removed = np.setdiff1d(centre, own, assume_unique=True)
+    d, n, m = len(added) + len(removed), len(own), len(centre)
+    sizes = _partner_sizes(n, percent)
+    if d > 3 * _allowed(n, m, percent):
+        return None
+    if linked:
+        least = int((2 * percent * d / (100 + percent) - 1) // 2)
+    else:
+        if (_allowed(n, sizes, percent) - np.abs(sizes - m)).max() >= d:
+            return None
+        least = d - int(_allowed(n, sizes, percent).max())
+    kept = max(0, len(removed) - max(1, least) + 1)
+    first = removed[np.argsort(mix(removed, 200), kind="stable")[:kept]]
+    return d, added, first
+
+
+STARS = (
+    "name bigint, centre bigint, linked boolean, near boolean, n bigint, d bigint, "
+    "removals bigint, added array<bigint>, removed array<bigint>"
+)
+
+
+def _star_differences(pairs: DataFrame, texts: DataFrame, levels, settings: Settings) -> DataFrame:
+    """For pairs of a set and its centre whether they link, and how the set differs: ``STARS``."""
+
+    def judge(names, left, right):
+        rows = []
+        for (a, b), x, y in zip(names, left, right, strict=True):
+            if set_key(x) != a or set_key(y) != b:
+                continue
+            linked = similar(x, y, levels.value, settings)
+            found = difference(x, y, linked, settings.percent)
+            d, added, removed = found or (0, x[:0], x[:0])
+            removals = len(y) - (len(x) - len(added)) if found else 0
+            rows.append((a, b, linked, bool(found), len(x), d, removals,
+                         added.view(np.int64).tolist(), removed.view(np.int64).tolist()))
+        columns = list(zip(*rows, strict=True)) or [()] * 9
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(),
+                 pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            [part.split()[0] for part in STARS.split(", ")],
+        )
+
+    return stored(_with_texts(pairs, texts).mapInArrow(_judged(judge, settings), STARS), "stars")
 
 
 def similarity_components(
@@ -266,12 +347,13 @@ def similarity_components(
     tokens last that many documents share (counted over all rows in a table of fixed size)
     and differ by a seeded hash.
 
-    Equal sets are one vertex, named by hashes whose uniqueness is checked. To keep
-    groups of many near copies from making all their pairs, ``star_rounds`` rounds first
-    compare each set with the one it shares most prefix tokens with among the smallest
-    names of its tokens' lists, one pair a set. What links is one component; the join for
-    all pairs then meets sets of different components only, and lists within one component
-    vanish before it. Links inside a component cannot change the answer.
+    Equal sets are one vertex, named by hashes whose uniqueness is checked. Groups of many
+    near copies do not make all their pairs. Each set is first compared with one centre, the
+    set whose tokens' lists are longest among those it shares most prefix tokens with. What
+    links is one component, and only pairs of different components matter from there.
+    Of sets around one centre, pairs can link only if they differ from the centre alike
+    (``difference``), so they meet by such tokens; all other pairs meet by prefix tokens.
+    Links inside a component cannot change the answer.
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing.
     Rows with a null id link with nothing and get a null component. Rows that repeat an id
@@ -279,6 +361,7 @@ def similarity_components(
     no rows.
     """
     settings = settings or Settings()
+    percent = settings.percent
     spark = docs.sparkSession
     configure(spark)
     rows = _rows(docs, doc_id, text)
@@ -298,26 +381,24 @@ def similarity_components(
     if not classes.where("collided").isEmpty():
         raise ValueError("two sets share a 64-bit name")
 
-    postings = _postings(rows.where("doc_id IS NOT NULL"), levels, settings)
-    lists = _mixed(postings.withColumn("label", F.col("name")), 0, "postings")
-    links: list[DataFrame] = []
-    for step in range(settings.star_rounds):
-        candidates = stored(_stars(lists, settings.percent), "candidates")
-        links.append(_verified(candidates, rows, classes, levels, settings))
-        labels = connected(_union(links))
-        labelled = lists.select("token", "name", "n").join(
-            labels.withColumnRenamed("id", "name"), "name", "left"
-        )
-        labelled = labelled.select("token", "name", "n", F.coalesce("component_id", "name").alias("label"))
-        lists = _mixed(labelled, step + 1, "postings")
-    candidates = stored(_pairs(lists, settings.percent), "candidates")
-    links.append(_verified(candidates, rows, classes, levels, settings))
+    lists = _lists(_postings(rows.where("doc_id IS NOT NULL"), levels, settings))
+    centres = stored(_centres(lists, percent), "centres")
+    stars = _star_differences(centres, _texts(rows, centres, classes), levels, settings)
+    links = stars.where("linked").selectExpr("name AS a", "centre AS b")
+    labels = connected(links).withColumnRenamed("component_id", "label")
+
+    around = stars.where("near").selectExpr("name AS id", "centre AS hub")
+    hubs = stars.where("near").selectExpr("centre AS id").distinct()
+    hubs = hubs.join(around.select("id"), "id", "left_anti").selectExpr("id", "id AS hub")
+    marks = stored(around.union(hubs).join(labels, "id", "full_outer"), "marks")
+    candidates = stored(
+        _pairs(lists, marks, percent).union(_pairs_around(stars, labels, percent)).distinct(), "candidates"
+    )
+    links = links.union(_verified(candidates, _texts(rows, candidates, classes), levels, settings))
 
     reps = classes.select("name", "rep")
-    ends = (
-        _union(links)
-        .join(reps.select(F.col("name").alias("a"), F.col("rep").alias("rep_a")), "a")
-        .join(reps.select(F.col("name").alias("b"), F.col("rep").alias("rep_b")), "b")
+    ends = links.join(reps.select(F.col("name").alias("a"), F.col("rep").alias("rep_a")), "a").join(
+        reps.select(F.col("name").alias("b"), F.col("rep").alias("rep_b")), "b"
     )
     reached = connected(ends.selectExpr("rep_a AS a", "rep_b AS b")).withColumnRenamed("id", "rep")
     placed = stored(
@@ -341,11 +422,11 @@ def without_near_copies(
     return docs.join(gone.hint("merge"), F.col(f"`{doc_id}`").cast("bigint") == F.col("gone_id"), "left_anti")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.union(frame)
-    return out
+# --- candidates -----------------------------------------------------------------
+
+
+def _allowed_sql(n: str, m: str, percent: int) -> str:
+    return f"({n} + {m} - 2 * (({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}))"
 
 
 def _needed_sql(n: str, m: str, percent: int) -> str:
@@ -363,46 +444,101 @@ def _size_sql(n: str, m: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
-def _mixed(lists: DataFrame, seed: int, name: str) -> DataFrame:
-    """The rows of tokens whose sets are of several labels, each with its list's centre.
+def _lists(postings: DataFrame) -> DataFrame:
+    """The postings of tokens that several sets have, each with its list's centre.
 
-    The centre of a token's list is the set with the smallest seeded hash.
+    The centre of a list is the set whose tokens' lists are longest in all: near copies
+    have tokens of their own, what they were copied from has not, and so it is the centre
+    of nearly all their lists.
     """
-    centre = f"min(struct(xxhash64(name, {seed}) AS place, name, n, label)) OVER (PARTITION BY token)"
+    shared = stored(
+        postings.selectExpr(
+            "*", "min(name) OVER (PARTITION BY token) AS low", "max(name) OVER (PARTITION BY token) AS high",
+            "count(1) OVER (PARTITION BY token) AS size",
+        ).where("low < high").select("token", "name", "n", "size"),
+        "postings",
+    )
+    scores = shared.groupBy("name").agg(F.sum("size").alias("score"))
     return stored(
-        lists.selectExpr(
-            "token", "name", "n", "label", f"{centre} AS centre",
-            "min(label) OVER (PARTITION BY token) AS low",
-            "max(label) OVER (PARTITION BY token) AS high",
-        )
-        .where("low < high")
-        .select("token", "name", "n", "label", "centre"),
-        name,
+        shared.join(scores, "name").selectExpr(
+            "token", "name", "n",
+            "max(struct(score / n AS score, name, n)) OVER (PARTITION BY token) AS centre",
+        ).selectExpr("token", "name", "n", "centre.name AS centre", "centre.n AS centre_n"),
+        "lists",
     )
 
 
-def _stars(lists: DataFrame, percent: int) -> DataFrame:
+def _centres(lists: DataFrame, percent: int) -> DataFrame:
     """For each set the centre it shares most prefix tokens with, if enough: at most one pair."""
     counted = (
-        lists.where(f"label <> centre.label AND {_size_sql('n', 'centre.n', percent)}")
-        .selectExpr("name", "n", "centre.name AS other", "centre.n AS m")
-        .groupBy("name", "n", "other", "m")
+        lists.where(f"name <> centre AND {_size_sql('n', 'centre_n', percent)}")
+        .groupBy("name", "n", "centre", "centre_n")
         .agg(F.count(F.lit(1)).alias("tokens"))
-        .where(f"tokens >= {_needed_sql('n', 'm', percent)}")
+        .where(f"tokens >= {_needed_sql('n', 'centre_n', percent)}")
     )
-    best = counted.groupBy("name").agg(F.max(F.struct("tokens", "other")).alias("best"))
-    return best.selectExpr("name AS a", "best.other AS b")
-
-
-def _pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets of different labels whose prefixes share enough tokens."""
-    left = lists.selectExpr("token", "name AS a", "n", "label AS left_label")
-    right = lists.selectExpr("token", "name AS b", "n AS m", "label AS right_label")
+    best = counted.groupBy("name").agg(F.max(F.struct("tokens", "centre")).alias("best"))
+    return best.selectExpr("name AS a", "best.centre AS b")
+
+
+def _pairs(lists: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components and different centres whose prefixes share enough tokens."""
+    marked = lists.select("token", "name", "n").join(
+        marks.withColumnRenamed("id", "name"), "name", "left"
+    ).selectExpr("token", "name", "n", "coalesce(label, name) AS label", "hub")
+    # lists within one component, or around one centre, make no pairs
+    mixed = stored(
+        marked.selectExpr(
+            "*", "min(label) OVER (PARTITION BY token) AS low", "max(label) OVER (PARTITION BY token) AS high",
+            "min(coalesce(hub, name)) OVER (PARTITION BY token) AS low_hub",
+            "max(coalesce(hub, name)) OVER (PARTITION BY token) AS high_hub",
+        )
+        .where("low < high AND low_hub < high_hub")
+        .select("token", "name", "n", "label", "hub"),
+        "mixed",
+    )
+    left = mixed.selectExpr("token", "name AS a", "n", "label", "hub")
+    right = mixed.selectExpr("token", "name AS b", "n AS m", "label AS right_label", "hub AS right_hub")
     return (
         left.join(right, "token")
-        .where(f"a < b AND left_label <> right_label AND {_size_sql('n', 'm', percent)}")
+        .where(
+            f"""a < b AND label <> right_label AND coalesce(hub <> right_hub, true)
+                AND {_size_sql('n', 'm', percent)}"""
+        )
         .groupBy("a", "b", "n", "m")
         .agg(F.count(F.lit(1)).alias("tokens"))
         .where(f"tokens >= {_needed_sql('n', 'm', percent)}")
         .select("a", "b")
     )
+
+
+def _pairs_around(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components around one centre whose differences share enough."""
+    near = stars.where("near").join(labels.withColumnRenamed("id", "name"), "name", "left")
+    tokens = near.selectExpr(
+        "centre", "name", "n", "d", "removals", "coalesce(label, name) AS label",
+        "explode(concat(transform(added, t -> struct(t AS token, true AS is_added)),"
+        " transform(removed, t -> struct(t AS token, false AS is_added)))) AS t",
+    ).selectExpr("centre", "t.token", "t.is_added", "name", "n", "d", "removals", "label")
+    mixed = stored(
+        tokens.selectExpr(
+            "*", "min(label) OVER (PARTITION BY centre, token) AS low",
+            "max(label) OVER (PARTITION BY centre, token) AS high",
+        ).where("low < high").drop("low", "high"),
+        "differences",
+    )
+    left = mixed.withColumnRenamed("name", "a")
+    right = mixed.selectExpr(
+        "centre", "token", "name AS b", "n AS m", "d AS e", "removals AS right_removals",
+        "label AS right_label",
+    )
+    needed = f"(d + e - {_allowed_sql('n', 'm', percent)}) div 2"
+    return (
+        left.join(right, ["centre", "token"])
+        .where(
+            f"""a < b AND label <> right_label AND {_size_sql('n', 'm', percent)}
+                AND {needed} <= least(d, e)
+                AND (is_added OR least(removals, right_removals) >= {needed})"""
+        )
+        .select("a", "b")
+        .distinct()
+    )
