@@ -27,7 +27,9 @@ from opsmeter.llm.components import connected
 BATCH_BYTES = 1 << 20
 # counters of how often tokens occur, and bits of the filter of ids whose texts are needed
 COUNTER_BITS = 20
-FILTER_BITS = 24
+FILTER_BITS = 26
+# sets around one centre from which it pays to know how each of them differs from it
+CROWD = 32
 
 
 @dataclass(frozen=True)
@@ -195,8 +197,10 @@ def _postings(rows: DataFrame, levels, settings: Settings) -> DataFrame:
     return rows.mapInArrow(run, "token bigint, name bigint, n int")
 
 
-def _filter_bits(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(np.uint64), 5) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit that stand for each id in the filter."""
+    place = (mix(ids.view(np.uint64), 5) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return place >> 3, np.left_shift(1, place & 7).astype(np.uint8)
 
 
 def _texts(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -210,17 +214,20 @@ def _texts(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     needed = stored(names.join(classes.select("name", "rep"), "name"), "needed")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, np.uint64)
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
         for batch in batches:
-            bits[_filter_bits(batch.column(0).to_numpy())] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([sketch.packed(bits)], pa.binary())], ["counts"])
+            at, bit = _filter_bits(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at, bit)
+        yield pa.RecordBatch.from_arrays([pa.array([sketch.packed(bits)], pa.binary())], ["table"])
 
-    bits = sketch.summed(needed.select("rep").mapInArrow(mark, "counts binary"), 1 << FILTER_BITS)
-    shared = spark.sparkContext.broadcast(bits > 0)
+    parts = needed.select("rep").mapInArrow(mark, "table binary")
+    bits = sketch.combined(parts, np.zeros(1 << (FILTER_BITS - 3), np.uint8), np.bitwise_or)
+    shared = spark.sparkContext.broadcast(bits)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value[_filter_bits(batch.column(0).to_numpy())]))
+            at, bit = _filter_bits(batch.column(0).to_numpy())
+            yield batch.filter(pa.array((shared.value[at] & bit) > 0))
 
     chosen = rows.where("doc_id IS NOT NULL").mapInArrow(choose, "doc_id bigint, text string")
     found = chosen.join(needed, F.col("doc_id") == F.col("rep")).select("name", "text")
@@ -366,7 +373,8 @@ def similarity_components(
     configure(spark)
     rows = _rows(docs, doc_id, text)
     named = stored(_name_sets(rows, settings), "sets")
-    counts = sketch.summed(named.where("counts IS NOT NULL").select("counts"), 1 << COUNTER_BITS)
+    parts = named.where("counts IS NOT NULL").select("counts")
+    counts = sketch.combined(parts, np.zeros(1 << COUNTER_BITS, np.uint64), np.add)
     levels = spark.sparkContext.broadcast(levels_of(counts))
     sets = named.where("counts IS NULL").drop("counts")
     classes = stored(
@@ -469,14 +477,24 @@ def _lists(postings: DataFrame) -> DataFrame:
 
 
 def _centres(lists: DataFrame, percent: int) -> DataFrame:
-    """For each set the centre it shares most prefix tokens with, if enough: at most one pair."""
-    counted = (
+    """For each set the centre it shares most prefix tokens with: at most one pair a set.
+
+    Pairs that share too few tokens to link are left out, unless ``CROWD`` sets or more share
+    tokens with that centre: then knowing how a set differs spares it all their pairs.
+    """
+    counted = stored(
         lists.where(f"name <> centre AND {_size_sql('n', 'centre_n', percent)}")
         .groupBy("name", "n", "centre", "centre_n")
-        .agg(F.count(F.lit(1)).alias("tokens"))
-        .where(f"tokens >= {_needed_sql('n', 'centre_n', percent)}")
+        .agg(F.count(F.lit(1)).alias("tokens")),
+        "counted",
+    )
+    crowds = counted.groupBy("centre").count().where(f"count >= {CROWD}").select("centre")
+    enough = counted.where(f"tokens >= {_needed_sql('n', 'centre_n', percent)}")
+    best = (
+        enough.union(counted.join(crowds, "centre", "left_semi").select(counted.columns))
+        .groupBy("name")
+        .agg(F.max(F.struct("tokens", "centre")).alias("best"))
     )
-    best = counted.groupBy("name").agg(F.max(F.struct("tokens", "centre")).alias("best"))
     return best.selectExpr("name AS a", "best.centre AS b")
 
 

@@ -1,4 +1,4 @@
-"""Fixed-size tables of counters filled by all tasks and summed in two levels."""
+"""Tables of fixed size, counters or bits, filled by all tasks and put together in two levels."""
 
 from __future__ import annotations
 
@@ -9,30 +9,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SUMMING_TASKS = 32
+TASKS = 32
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Counters as bytes; most are small, so they compress well."""
-    return zlib.compress(counts.astype("<u8").tobytes(), 1)
+def packed(table: np.ndarray) -> bytes:
+    """The table as bytes; most entries are small or zero, so they compress well."""
+    return zlib.compress(table.tobytes(), 1)
 
 
-def summed(parts: DataFrame, size: int) -> np.ndarray:
-    """The sum of tables of ``size`` counters, one compressed table per row of ``parts``.
+def combined(parts: DataFrame, empty: np.ndarray, combine: np.ufunc) -> np.ndarray:
+    """All rows of ``parts (table)``, packed tables like ``empty``, combined by a numpy function.
 
-    Each of ``SUMMING_TASKS`` tasks adds up its rows one by one, and one task adds
-    their results: no task holds more than two tables, and one reaches the driver.
+    Each of ``TASKS`` tasks takes in its rows one by one, and one task their results: no
+    task holds more than two tables, and one reaches the driver.
     """
+    size, kind = len(empty), empty.dtype
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(size, np.uint64), False
+        total, seen = np.zeros(size, kind), False
         for batch in batches:
             for value in batch.column(0):
-                total += np.frombuffer(zlib.decompress(value.as_py()), "<u8")
+                combine(total, np.frombuffer(zlib.decompress(value.as_buffer()), kind), out=total)
                 seen = True
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], ["counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], ["table"])
 
-    level = parts.repartition(SUMMING_TASKS).mapInArrow(add, "counts binary")
-    row = level.repartition(1).mapInArrow(add, "counts binary").first()
-    return np.frombuffer(zlib.decompress(row["counts"]), "<u8") if row else np.zeros(size, np.uint64)
+    level = parts.repartition(TASKS).mapInArrow(add, "table binary")
+    row = level.repartition(1).mapInArrow(add, "table binary").first()
+    return np.frombuffer(zlib.decompress(row["table"]), kind) if row else empty
