@@ -530,13 +530,17 @@ def _pairs(lists: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_around(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components around one centre whose differences share enough."""
+    """Pairs of different components around one centre whose differences share enough.
+
+    All shared added tokens are counted. A pair without any must share ``needed`` removed ones,
+    and so at least some among the emitted ones, as for prefixes.
+    """
     near = stars.where("near").join(labels.withColumnRenamed("id", "name"), "name", "left")
     tokens = near.selectExpr(
-        "centre", "name", "n", "d", "removals", "coalesce(label, name) AS label",
+        "centre", "name", "n", "d", "removals", "size(removed) AS kept", "coalesce(label, name) AS label",
         "explode(concat(transform(added, t -> struct(t AS token, true AS is_added)),"
         " transform(removed, t -> struct(t AS token, false AS is_added)))) AS t",
-    ).selectExpr("centre", "t.token", "t.is_added", "name", "n", "d", "removals", "label")
+    ).selectExpr("centre", "t.token", "t.is_added", "name", "n", "d", "removals", "kept", "label")
     mixed = stored(
         tokens.selectExpr(
             "*", "min(label) OVER (PARTITION BY centre, token) AS low",
@@ -547,16 +551,24 @@ def _pairs_around(stars: DataFrame, labels: DataFrame, percent: int) -> DataFram
     left = mixed.withColumnRenamed("name", "a")
     right = mixed.selectExpr(
         "centre", "token", "name AS b", "n AS m", "d AS e", "removals AS right_removals",
-        "label AS right_label",
+        "kept AS right_kept", "label AS right_label",
     )
     needed = f"(d + e - {_allowed_sql('n', 'm', percent)}) div 2"
-    return (
+    sizes = ["a", "b", "n", "m", "d", "e", "removals", "right_removals", "kept", "right_kept"]
+    shared = (
         left.join(right, ["centre", "token"])
         .where(
             f"""a < b AND label <> right_label AND {_size_sql('n', 'm', percent)}
                 AND {needed} <= least(d, e)
                 AND (is_added OR least(removals, right_removals) >= {needed})"""
         )
-        .select("a", "b")
-        .distinct()
+        .groupBy(*sizes)
+        .agg(
+            F.expr("count_if(is_added) AS same_added"), F.expr("count_if(NOT is_added) AS same_removed")
+        )
     )
+    return shared.where(
+        f"""CASE WHEN same_added > 0 THEN same_added + least(removals, right_removals) >= {needed}
+            ELSE same_removed >= least(kept - (removals - {needed}),
+                                       right_kept - (right_removals - {needed})) END"""
+    ).select("a", "b")
