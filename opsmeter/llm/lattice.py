@@ -17,6 +17,8 @@ BATCH_BYTES = 1 << 20
 BLOCK_WORDS = 300_000
 # rows that a task gathers before it deals them out to the blocks
 DEALT_ROWS = 400_000
+# words whose lattices are summed together: many of one length make numpy's steps worth it
+WORD_BATCH = 50_000
 
 MARK = 0xFF  # stands for the piece mark; no byte of UTF-8 has this value
 _FILTER = 20
@@ -179,6 +181,19 @@ def marginals(vocabulary: Vocabulary, words: list[bytes], logp: np.ndarray) -> n
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Arrow batches put together to about ``rows`` rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 _vocabularies: dict[str, Vocabulary] = {}
 
 
@@ -278,8 +293,8 @@ def _learnt_weights(words: DataFrame, path: str, settings: Settings) -> np.ndarr
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = vocabulary(path)
             counts = np.zeros(own.size)
-            for batch in batches:
-                some = [w.encode() for w in batch.column(0).to_pylist()]
+            for table in gathered(batches, WORD_BATCH):
+                some = [w.encode() for w in table.column(0).to_pylist()]
                 for rows, raw in by_length(some):
                     counts += expected(own.arcs(raw), len(rows), shared.value, own.size)
             yield pa.RecordBatch.from_arrays(
@@ -383,14 +398,14 @@ def document_scores(
                 ["block", "numbers", "known", "logs"],
             )
 
-        for batch in batches:
-            names = batch.column(0).dictionary_encode()
+        for table in gathered(batches, WORD_BATCH):
+            names = table.column(0).combine_chunks().dictionary_encode()
             distinct = [w.encode() for w in names.dictionary.to_pylist()]
             logs = marginals(own, distinct, shared.value)[names.indices.to_numpy()]
-            known = batch.column(3).to_numpy().astype(np.float64)
+            known = table.column(3).to_numpy().astype(np.float64)
             if total:
                 logs = np.logaddexp(log_known(known), logs + np.log(unseen))
-            held.append((batch.column(1).to_numpy(), batch.column(2).to_numpy(), known, logs))
+            held.append((table.column(1).to_numpy(), table.column(2).to_numpy(), known, logs))
             size += len(logs)
             if size >= DEALT_ROWS:
                 yield deal()
