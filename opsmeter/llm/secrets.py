@@ -101,7 +101,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``key, extra``: the weak spans of each text that lie within ``scope`` of a complement.
 
     An interval join: strong parts go to the cells of ``scope`` code points that their
-    surroundings touch, weak parts to the cell of their start and of their end, and
+    surroundings touch, weak parts to all cells from their start's to their end's, and
     parts meet by text and cell, then by distance. Equal texts are joined once; a cell
     holds at most ``scope`` starts of a kind, whatever the text's length.
     """
@@ -121,14 +121,16 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
             f"explode(sequence((s.start - {scope}) div {scope}, (s.end + {scope}) div {scope})) AS cell",
         )
     )
-    weak = texts.selectExpr("key", "explode(weak) AS w").selectExpr("key", "w", f"w.start div {scope} AS cell")
+    weak = texts.selectExpr("key", "explode(weak) AS w").selectExpr(
+        "key", "w", f"explode(sequence(w.start div {scope}, w.end div {scope})) AS cell"
+    )
     near = f"w.start <= s.end + {scope} AND s.start <= w.end + {scope} AND ({rules})"
-    # a semi join: each weak part once, however many strong parts are near
+    # a semi join: each weak part once a cell, however many strong parts are near; the set once in all
     return (
         weak.alias("a")
         .join(strong.alias("b"), F.expr(f"a.key = b.key AND a.cell = b.cell AND {near}"), "left_semi")
         .groupBy("key")
-        .agg(F.sort_array(F.collect_list("w")).alias("extra"))
+        .agg(F.sort_array(F.collect_set("w")).alias("extra"))
     )
 
 

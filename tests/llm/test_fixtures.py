@@ -314,6 +314,22 @@ def test_spans_of_odd_texts(leaks):
     assert secrets.secret_spans(leaks.limit(0)).collect() == []
 
 
+def test_weak_spans_at_every_place_in_a_cell(spark):
+    access = f"AKIA{'D' * 16}"
+    texts = [
+        f"{'.' * place}{a}{'.' * gap}{b}"
+        for place in range(256) for gap in (1, 216, 255, 256, 257) for a, b in ((KEY, access), (access, KEY))
+    ]
+    texts += [f"{'.' * place}https://{'x.' * 600}{access}{'.x' * 600}" for place in range(0, 256, 15)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    lost = []
+    for r in secrets.digests(secrets.secret_spans(docs)).collect():
+        base, extra = plain_spans(texts[r.doc_id])
+        if r.spans != joined(sorted(base + extra)):
+            lost.append(r.doc_id)
+    assert not lost, f"{len(lost)} of {len(texts)}"
+
+
 def test_redaction(leaks):
     done = secrets.redacted(leaks)
     assert done.columns == leaks.columns
