@@ -188,17 +188,27 @@ def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndar
 def packed(pieces: DataFrame, limit: int = 2048, block: int = BLOCK_PIECES) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``, their place in sequences of ``limit`` ids.
 
-    The pieces are dealt by a hash of id and piece into blocks of about ``block``; one task
-    packs one block, holding its lengths only, and numbers its sequences by itself. So no
-    task grows with the input, and each block ends with few sequences that are not full.
+    The pieces are dealt by a hash of all their columns but the ids into blocks of about
+    ``block``; equal rows are counted first and dealt out in turn from there, so neither null
+    nor repeated ids gather in a block. One task packs one block, holding its lengths only,
+    and numbers its sequences by itself. So no task grows with the input, and each block
+    ends with few sequences that are not full. Places do not depend on the order of rows.
     ``pieces`` must be a stored table: it is counted and then read again.
     """
     blocks = max(1, -(-pieces.count() // block))
     columns = pieces.columns
-    dealt = pieces.withColumn("block", F.expr(f"cast(pmod(xxhash64(doc_id, piece), {blocks}) AS INT)"))
+    keys = [name for name in columns if name != "ids"]
+    equal = pieces.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies"))
+    turns = equal.withColumn("turn", F.expr(f"explode(sequence(0L, least(copies, {blocks}L) - 1))"))
+    dealt = turns.selectExpr(
+        *columns,
+        f"cast(pmod(pmod(xxhash64({', '.join(keys)}), {blocks}) + turn, {blocks}) AS INT) AS block",
+        f"copies div {blocks} + IF(turn < copies % {blocks}, 1, 0) AS share",
+    )
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([(name, "ascending") for name in keys])
+        table = table.take(pa.array(np.repeat(np.arange(len(table)), table["share"].to_numpy())))
         bins, offsets = sum_of_squares(table["length"].to_numpy(), limit)
         base = table["block"][0].as_py() << 32
         return table.select(columns).append_column("sequence_id", pa.array(bins + base)).append_column(

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -185,6 +186,18 @@ def test_packing_of_odd_texts(odd, none):
     assert packing.packed_documents(none, limit=64, **options).collect() == []
 
 
+def test_blocks_of_null_and_repeated_ids(spark):
+    rows = [(None, 0, 0, 1, 5)] * 1000 + [(7, 0, 0, 1 + i % 50, i) for i in range(1000)]
+    rows += [(i, 0, 0, 1 + i % 64, i) for i in range(100, 1100)]
+    table = packing.stored(spark.createDataFrame(rows, packing.PIECES).repartition(5), "pieces")
+    found = packing.packed(table, 64, 100).collect()
+    assert Counter(tuple(r)[:5] for r in found) == Counter(rows)
+    check_packing(found, [r[3] for r in rows], 64)
+    assert max(Counter(r.sequence_id >> 32 for r in found).values()) <= 200
+    again = packing.stored(spark.createDataFrame(rows[::-1], packing.PIECES).repartition(3), "pieces")
+    assert Counter(packing.packed(again, 64, 100).collect()) == Counter(found)
+
+
 def slow_sum_of_squares(lengths, limit):
     gaps = []
     for n in sorted(lengths, reverse=True):
