@@ -18,15 +18,14 @@ from opsmeter.sources.star import COLUMNS, read_star
 from opsmeter.sources.text import read_records, read_tickets
 from testbed import frames
 
-PARTS = 3
-
 
 def _new_folder(spark: SparkSession, name: str) -> str:
     return f"{session_area(spark)}/{name}-{uuid4()}"
 
 
-def _write(df: DataFrame, path: str, key: str, parts: int = PARTS) -> None:
-    ordered = df.repartitionByRange(parts, key).sortWithinPartitions(key)
+def _write(df: DataFrame, path: str, key: str) -> None:
+    """As many files as the session's shuffles have partitions, fewer for small tables."""
+    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
     texts = [F.col(c).cast("string").alias(c) for c in df.columns if c != "file_order"]
     ordered.select(*texts).write.options(**CSV_OPTIONS).csv(path)
 

@@ -7,7 +7,7 @@ import pytest
 from opsmeter.plans import runs
 from opsmeter.sources.star import read_star
 from opsmeter.sources.text import MISSING_WORDS, missing_to_null, read_csv, read_records, with_row_positions
-from testbed import frames
+from testbed import files, frames
 from tests.test_sales import DATA, DDL
 
 
@@ -55,6 +55,20 @@ def test_row_positions_whatever_the_splits(spark, tmp_path):
         spark.conf.set(name, before)
 
 
+def test_files_follow_the_shuffle_partitions(spark, tmp_path):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    raw = spark.range(1000).selectExpr("1000 - id AS file_order", "concat('\"', 1000 - id, '\",\n') AS n")
+    try:
+        spark.conf.set(name, "false")
+        files._write(raw, str(tmp_path / "raw"), "file_order")
+    finally:
+        spark.conf.set(name, before)
+    assert len(glob.glob(f"{tmp_path}/raw/part-*.csv")) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = read_records(spark, str(tmp_path / "raw")).collect()
+    assert sorted((r.row_id, r.n) for r in read) == [(i, f'"{i + 1}",\n') for i in range(1000)]
+
+
 def test_quoted_line_breaks_and_odd_records(spark, tmp_path):
     path = write_csv(tmp_path / "a.csv", ["a", "b"], [("x\ny", 1), ("q,\"z", 2)])
     assert [tuple(r) for r in read_csv(spark, path).collect()] == [("x\ny", "1"), ('q,"z', "2")]
