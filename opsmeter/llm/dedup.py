@@ -41,7 +41,7 @@ def sha256(text: Column) -> Column:
 
 
 class DedupState:
-    """Digests seen so far, each with its group's size, largest id and where that text lies.
+    """Digests seen so far, each with its group's size, largest id and the file of that text.
 
     ``folder`` holds a log of ``(digest, size, id, locator)`` and the checkpoint of a
     streaming aggregation over it, whose RocksDB state never expires. ``add`` logs a batch
