@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsmeter.llm import counts, dedup, embeddings, jaccard, lattice, packing, pieces, quality, secrets, sharding
+from opsmeter.llm import (
+    audit,
+    counts,
+    dedup,
+    embeddings,
+    jaccard,
+    lattice,
+    mixing,
+    packing,
+    pieces,
+    quality,
+    secrets,
+    sharding,
+    whitening,
+)
 from opsmeter.llm.sql import SQL  # noqa: F401
 
 
@@ -64,6 +78,18 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(_table(spark, folder, "documents"), tokenizer, limit=2048)
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(_table(spark, folder, "embeddings"), components=8)
+
+
+def op12_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.shares(_table(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -75,4 +101,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_filter_audit": op13_filter_audit,
 }

@@ -127,9 +127,64 @@ DEDUP = """
     FROM documents
     WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
+# a word of this engine's regular expressions is what lies between the blanks, as everywhere
+AUDIT = """
+    WITH texts AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents
+    ),
+    words AS (
+        SELECT doc_id, part, body, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS w,
+               min(doc_id) OVER (PARTITION BY body) AS first_id
+        FROM texts
+    ),
+    known AS (
+        SELECT doc_id AS of_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+        FROM labels GROUP BY doc_id
+    ),
+    failed AS (
+        SELECT part, coalesce(good, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic,
+               (len(w) < 50)::INT
+               + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+               + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body))::INT
+               + 8 * regexp_matches(body, '[#$%&*|]')::INT
+               + 16 * coalesce(first_id < doc_id, false)::INT AS mask
+        FROM words LEFT JOIN known ON of_id = doc_id
+    ),
+    counted AS (
+        SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good,
+               count(*) FILTER (WHERE toxic) AS toxic
+        FROM failed GROUP BY part, mask
+    ),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+    orders AS (
+        SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+        FROM letters a, letters b, letters c, letters d, letters e
+        WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+    ),
+    steps AS (
+        SELECT filter_order, step, letter, bit,
+               coalesce(sum(bit) OVER (PARTITION BY filter_order ORDER BY step
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS earlier
+        FROM orders, range(1, 6) r(step), letters WHERE letter = filter_order[step]
+    ),
+    told AS (
+        SELECT part, filter_order, step::INT AS step, letter,
+               sum(n * (mask & (earlier | bit) = 0)::INT)::BIGINT AS kept,
+               sum(n * (mask & earlier = 0 AND mask & bit <> 0)::INT)::BIGINT AS removed,
+               sum(n * (mask & earlier <> 0 AND mask & bit <> 0)::INT)::BIGINT AS redundant,
+               sum(n * (mask = bit)::INT)::BIGINT AS unique_fails,
+               sum(good * (mask & earlier = 0 AND mask & bit <> 0)::INT)::BIGINT AS good_lost,
+               sum(toxic * (mask & earlier = 0 AND mask & bit <> 0)::INT)::BIGINT AS toxic_lost
+        FROM counted, steps GROUP BY part, filter_order, step, letter
+    )
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+    FROM told"""
+
 SQL = {
     "op1_ngram_jaccard_join": JACCARD,
     "op2_embedding_near_dedup": EMBEDDINGS,
     "op7_secret_scans": SECRETS,
     "op9_exact_dedup": DEDUP,
+    "op13_filter_audit": AUDIT,
 }
