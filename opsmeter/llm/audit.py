@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmeter.llm.common import configure, new_folder, pieces_of, stored, text_buffer, utf8
+from opsmeter.llm.common import _LETTERS, _tables, configure, mix, new_folder, pieces_of, stored, text_buffer, utf8
 
 # bytes of text that make one shard of the matrix; a longer text is a shard of its own
 SHARD_BYTES = 16 << 20
+PIECE_BYTES = 1 << 20
 # parts of the dictionary: at least so many, and one for so many words of shards
-DICTIONARY_PARTS = 2_048
-PART_WORDS = 200_000
+DICTIONARY_PARTS = 256
+PART_WORDS = 500_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -30,19 +31,30 @@ FILTERS = "ABCDE"
 # what a shard knows of its rows besides the matrix
 ROWS = """ids array<bigint>, parts array<string>, digests array<binary>, points array<bigint>,
     capitals array<bigint>, odd array<boolean>"""
-LOCAL = f"shard bigint, {ROWS}, starts binary, columns binary, counts binary, words array<string>"
-MATRIX = f"shard bigint, {ROWS}, starts array<bigint>, columns array<bigint>, counts array<bigint>"
+LOCAL = f"shard bigint, {ROWS}, starts binary, columns binary, counts binary, n_words bigint, words binary"
+MATRIX = f"shard bigint, {ROWS}, starts array<int>, columns array<bigint>, counts array<int>"
+_ROW_NAMES = ["ids", "parts", "digests", "points", "capitals", "odd"]
+_ROW_TYPES = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """32-bit numbers, compressed: a shard's matrix moves once, mostly small numbers."""
-    raw = values.astype("<i4").tobytes()
+def _squeezed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
+def _whole(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit numbers as compressed differences, equal bytes side by side: rising ones get small."""
+    steps = np.diff(values.astype("<i4"), prepend=np.int32(0)).astype("<i4")
+    return _squeezed(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
 def _unpacked(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), "<i4")
+    raw = np.frombuffer(_whole(data), np.uint8)
+    steps = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+    return np.cumsum(steps, dtype=np.int32)
 
 
 def _lists(arrays: list[pa.Array]) -> pa.Array:
@@ -53,44 +65,103 @@ def _lists(arrays: list[pa.Array]) -> pa.Array:
 
 def _per_text(found: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How often ``found`` holds within each text's bytes."""
-    total = np.concatenate(([0], np.cumsum(found, dtype=np.int64)))
-    return total[offsets[1:]] - total[offsets[:-1]]
-
+    return np.diff(np.searchsorted(np.flatnonzero(found), offsets))
 
-def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """The texts' words as a matrix in compressed rows: row starts, columns, counts, and the words.
 
-    Words are maximal runs without blanks, case-sensitive, compared as they are; column ``j`` is
-    word ``j``. Columns rise within a row.
-    """
-    raw, offsets = text_buffer(texts)
+def _split(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' bytes one after another, their lengths, and how many each text has."""
     n = len(raw)
-    blank = _BLANK[raw]
-    first = np.zeros(n + 1, bool)
-    first[offsets[:-1]] = True
-    before = np.ones(n, bool)
-    before[1:] = blank[:-1]
-    begins = np.flatnonzero(~blank & (before | first[:n]))
-    # without blanks the words lie one after another
-    kept = np.concatenate(([0], np.cumsum(~blank, dtype=np.int64)))
-    bounds = np.append(kept[begins], kept[-1])
-    words = pa.LargeStringArray.from_buffers(
-        len(begins), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw[~blank]))
-    ).dictionary_encode()
-    owners = np.searchsorted(begins, offsets)
-    places = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(owners))
-    cells = np.sort((places << 32) | words.indices.to_numpy().astype(np.int64))
+    letter = ~_BLANK[raw]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begins = letter & edge[:n]
+    begins[1:] |= letter[1:] & ~letter[:-1]
+    ends = letter & edge[1:]
+    ends[:-1] |= letter[:-1] & ~letter[1:]
+    begins = np.flatnonzero(begins)
+    return raw[letter], np.flatnonzero(ends) + 1 - begins, np.diff(np.searchsorted(begins, offsets))
+
+
+def _strings(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    bounds = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(bounds), pa.py_buffer(raw))
+
+
+def word_order(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct words by hash, then by their bytes, and the hashes in that order."""
+    raw, offsets = text_buffer(words)
+    powers, inverses = _tables(len(raw) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[raw] * powers[: len(raw)])))
+    hashes = mix((total[offsets[1:]] - total[offsets[:-1]]) * inverses[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    for first in np.flatnonzero((hashes[1:] == hashes[:-1]) & np.append(True, hashes[1:-1] != hashes[:-2])):
+        last = first + int(np.searchsorted(hashes[first:], hashes[first], "right"))
+        order[first:last] = sorted(order[first:last], key=lambda i: words[int(i)].as_py().encode())
+    return order, hashes
+
+
+def term_counts(words: pa.Array, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """A matrix in compressed rows: row starts, columns, counts, and the words of the columns.
+
+    ``words`` are those of all texts one after another, ``per_text`` says how many are whose.
+    Words are compared as they are. Columns follow ``word_order`` and rise within a row.
+    """
+    coded = words.dictionary_encode()
+    order, _ = word_order(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    owners = np.repeat(np.arange(len(per_text), dtype=np.int64), per_text)
+    cells = np.sort((owners << 32) | place[coded.indices.to_numpy()])
     new = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1]))) if len(cells) else cells
     counts = np.diff(np.append(new, len(cells)))
     cells = cells[new]
-    starts = np.searchsorted(cells, np.arange(len(texts) + 1, dtype=np.int64) << 32)
-    return starts, cells & 0xFFFFFFFF, counts, words.dictionary.cast(pa.string())
+    starts = np.searchsorted(cells, np.arange(len(per_text) + 1, dtype=np.int64) << 32)
+    return starts, cells & 0xFFFFFFFF, counts, coded.dictionary.take(pa.array(order))
+
+
+class _Shard:
+    """Rows gathered for one shard: their words' bytes and what is counted of their texts."""
+
+    def __init__(self, name: int):
+        self.name, self.size = name, 0
+        self.rows: list[list[pa.Array]] = []
+        self.words: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        raw, offsets = text_buffer(batch.column("text"))
+        facts = [
+            # a code point starts at every byte that continues none
+            np.diff(offsets) - _per_text((raw & 0xC0) == 0x80, offsets),
+            _per_text((raw >= 65) & (raw <= 90), offsets),
+            _per_text(_ODD[raw], offsets) > 0,
+        ]
+        self.rows.append([batch.column(x) for x in ("doc_id", "part", "digest")] + [pa.array(x) for x in facts])
+        self.words.append(_split(raw, offsets))
+        self.size += len(raw)
+
+    def matrix(self) -> pa.RecordBatch:
+        raw, lengths, per_text = (np.concatenate(x) for x in zip(*self.words, strict=True))
+        starts, columns, counts, words = term_counts(_strings(raw, lengths), per_text)
+        text = " ".join(words.to_pylist()).encode()
+        facts = [_lists([pa.concat_arrays(x)]) for x in ([list(y) for y in zip(*self.rows, strict=True)])]
+        numbers = [pa.array([_packed(x)], pa.binary()) for x in (starts, columns, counts)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([self.name], pa.int64()), *facts, *numbers,
+                pa.array([len(words)], pa.int64()), pa.array([_squeezed(text)], pa.binary()),
+            ],
+            ["shard", *_ROW_NAMES, "starts", "columns", "counts", "n_words", "words"],
+        )
 
 
 def local_shards(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source"
 ) -> DataFrame:
-    """Shards of consecutive rows as ``LOCAL``: their matrix over the shard's own words; stored."""
+    """Shards of consecutive rows as ``LOCAL``: their matrix over the shard's own words; stored.
+
+    The words are one text, in the order of their columns; the numbers are compressed.
+    """
     configure(docs.sparkSession)
     rows = docs.selectExpr(
         f"cast(`{doc_id}` AS BIGINT) AS doc_id",
@@ -100,39 +171,19 @@ def local_shards(
         "monotonically_increasing_id() AS place",
     )
 
-    def shard(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(batches).combine_chunks()
-        column = {name: table[name].combine_chunks() for name in table.column_names}
-        texts = column["text"]
-        raw, offsets = text_buffer(texts)
-        starts, columns, counts, words = term_counts(texts)
-        facts = [
-            column["doc_id"], column["part"], column["digest"],
-            # a code point starts at every byte that continues none
-            pa.array(_per_text((raw & 0xC0) != 0x80, offsets)),
-            pa.array(_per_text((raw >= 65) & (raw <= 90), offsets)),
-            pa.array(_per_text(_ODD[raw], offsets) > 0),
-        ]
-        packed = [pa.array([_packed(x)], pa.binary()) for x in (starts, columns, counts)]
-        # the number of the first row names the shard
-        names = ["shard", "ids", "parts", "digests", "points", "capitals", "odd", "starts", "columns", "counts", "words"]
-        return pa.RecordBatch.from_arrays(
-            [column["place"].slice(0, 1), *[_lists([x]) for x in facts], *packed, _lists([words])], names
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        shard = None
         for batch in batches:
-            _, offsets = text_buffer(batch.column(3))
-            for start, stop in pieces_of(batch.column(3), 1 << 20):
-                bytes_here = int(offsets[stop] - offsets[start])
-                if held and size + bytes_here > SHARD_BYTES:
-                    yield shard(held)
-                    held, size = [], 0
-                held.append(batch.slice(start, stop - start))
-                size += bytes_here
-        if held:
-            yield shard(held)
+            _, offsets = text_buffer(batch.column("text"))
+            for start, stop in pieces_of(batch.column("text"), PIECE_BYTES):
+                if shard and shard.size + int(offsets[stop] - offsets[start]) > SHARD_BYTES:
+                    yield shard.matrix()
+                    shard = None
+                # the number of the first row names the shard
+                shard = shard or _Shard(batch.column("place")[start].as_py())
+                shard.add(batch.slice(start, stop - start))
+        if shard:
+            yield shard.matrix()
 
     spark = docs.sparkSession
     path = new_folder(spark, "term-shards")
@@ -143,33 +194,95 @@ def local_shards(
     return spark.read.schema(LOCAL).parquet(path)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """``shard, place, word, term``: the number ``term`` of each shard's words, from 0 without gaps.
+def _read_words(data: bytes) -> pa.Array:
+    raw = np.frombuffer(_whole(data), np.uint8)
+    letters, lengths, _ = _split(raw, np.array([0, len(raw)]))
+    return _strings(letters, lengths)
+
+
+def terms(shards: DataFrame) -> DataFrame:
+    """``shard, first, before, ranks``: numbers of the shards' words in a dictionary of all; stored.
 
-    Each shard has a word once, however often its texts do. A hash deals the words into
-    parts, whose number follows the words; a word's rank in its part, after the words of
-    earlier parts, is its term. So equal words get equal terms in all shards. Stored.
+    The term of a shard's word ``first + i`` is ``before + ranks[i]``; equal words have equal
+    terms in all shards, from 0 without gaps, in ``word_order``. Every shard has a word once,
+    however often its texts do. Ranges of the words' hashes make the dictionary's parts, whose
+    number follows the words; a shard's words of one part lie side by side and move as
+    one row. A word's rank in its part, after the words of earlier parts, is its term.
     """
-    listed = shards.selectExpr("shard", "posexplode(words) AS (place, word)")
-    total = shards.selectExpr("sum(cast(size(words) AS BIGINT)) AS n").first()["n"] or 0
-    parts = max(DICTIONARY_PARTS, -(-total // PART_WORDS))
+    total = shards.selectExpr("sum(n_words) AS n").first()["n"] or 0
+    parts = np.uint64(max(DICTIONARY_PARTS, -(-total // PART_WORDS)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, data in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                words = _read_words(data)
+                if not len(words):
+                    continue
+                _, hashes = word_order(words)  # they are in that order
+                part = ((hashes >> np.uint64(32)) * parts) >> np.uint64(32)
+                firsts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                raw = _whole(data)
+                _, offsets = text_buffer(words)
+                # in the text every word but the first is behind a blank
+                begins = (offsets[:-1] + np.arange(len(words))).tolist()
+                rows = [
+                    (int(part[a]), shard, int(a), _squeezed(raw[begins[a] : begins[b] - 1 if b < len(words) else None]))
+                    for a, b in zip(firsts, np.append(firsts[1:], len(words)), strict=True)
+                ]
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["part", "shard", "first", "words"])
+
+    def rank(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = [_read_words(x) for x in table["words"].to_pylist()]
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        order, _ = word_order(coded.dictionary)
+        ranks = np.empty(len(order), np.int64)
+        ranks[order] = np.arange(len(order))
+        ranks = ranks[coded.indices.to_numpy()]
+        packed = [_packed(ranks[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return table.select(["part", "shard", "first"]).append_column(
+            "ranks", pa.array(packed, pa.binary())
+        ).append_column("size", pa.array(np.full(len(table), len(order), np.int64)))
+
+    dealt = shards.select("shard", "words").mapInArrow(deal, "part int, shard bigint, first int, words binary")
     ranked = stored(
-        listed.selectExpr("*", f"cast(pmod(xxhash64(word), {parts}) AS INT) AS part").selectExpr(
-            "shard", "place", "word", "part", "dense_rank() OVER (PARTITION BY part ORDER BY word) - 1 AS rank"
-        ),
+        dealt.groupBy("part").applyInArrow(rank, "part int, shard bigint, first int, ranks binary, size bigint"),
         "ranked-words",
     )
-    # one row per part: a number that follows from the words by a factor of PART_WORDS
-    sizes = ranked.groupBy("part").agg(F.expr("max(rank) + 1L AS words"))
+    # one row per part: their number follows from the words by a factor of PART_WORDS
     earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    sizes = ranked.groupBy("part").agg(F.max("size").alias("size"))
     before = sizes.selectExpr(
-        "part AS of_part", f"coalesce(sum(words) OVER (ORDER BY part {earlier}), 0L) AS before"
+        "part AS of_part", f"coalesce(sum(size) OVER (ORDER BY part {earlier}), 0L) AS before"
     )
-    return ranked.join(stored(before, "dictionary-parts"), F.expr("part = of_part")).selectExpr(
-        "shard", "place", "word", "before + rank AS term"
+    return ranked.join(stored(before, "dictionary-parts"), F.expr("part = of_part")).select(
+        "shard", "first", "before", "ranks"
     )
 
 
+def _numbers(table: pa.Table, n: int) -> np.ndarray:
+    """The terms of a shard's ``n`` words from its rows of ``terms``."""
+    out = np.empty(n, np.int64)
+    for first, before, ranks in zip(*(table[x].to_pylist() for x in ("first", "before", "ranks")), strict=True):
+        ranks = _unpacked(ranks)
+        out[first : first + len(ranks)] = before + ranks.astype(np.int64)
+    return out
+
+
+def dictionary(shards: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``word, term`` of every word of the shards, given their ``terms``."""
+
+    def spell(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = _read_words(left["words"][0].as_py())
+        return pa.table({"word": words.cast(pa.string()), "term": _numbers(right, len(words))})
+
+    listed = shards.select("shard", "words").groupBy("shard").cogroup(numbered.groupBy("shard"))
+    return listed.applyInArrow(spell, "word string, term bigint").distinct()
+
+
 def term_matrix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source"
 ) -> DataFrame:
@@ -180,29 +293,28 @@ def term_matrix(
     rows' ids, parts, digests and character counts.
     """
     shards = local_shards(docs, doc_id, text, part)
-    terms = dictionary(shards).select("shard", "place", "term")
+    return encoded(shards, terms(shards))
+
+
+def encoded(shards: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``MATRIX`` from ``local_shards`` and their ``terms``."""
+    names = ["shard", *_ROW_NAMES, "starts", "columns", "counts"]
+    numbers = [pa.int32(), pa.int64(), pa.int32()]
+    schema = pa.schema(
+        [("shard", pa.int64()), *zip(names[1:], map(pa.list_, [*_ROW_TYPES, *numbers]), strict=True)]
+    )
 
     def encode(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()
-        if not len(left):
-            return pa.table({f: [] for f in names}).cast(schema)
-        term = np.empty(len(right), np.int64)
-        term[right["place"].to_numpy()] = right["term"].to_numpy()
-        starts, columns, counts = (_unpacked(left[x][0].as_py()).astype(np.int64) for x in ("starts", "columns", "counts"))
-        columns = term[columns]
-        # by row, then by term
-        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        order = np.lexsort((columns, owner))
-        arrays = [left[name].combine_chunks() for name in ("shard", "ids", "parts", "digests", "points", "capitals", "odd")]
-        arrays += [_lists([pa.array(x)]) for x in (starts, columns[order], counts[order])]
+        term = _numbers(right, left["n_words"][0].as_py())
+        starts, columns, counts = (_unpacked(left[x][0].as_py()) for x in ("starts", "columns", "counts"))
+        # words of a shard are in the dictionary's order, so columns rise as before
+        matrix = [_lists([pa.array(x, k)]) for x, k in zip((starts, term[columns], counts), numbers, strict=True)]
+        arrays = [left[name].combine_chunks() for name in names[: len(_ROW_NAMES) + 1]] + matrix
         return pa.Table.from_arrays(arrays, names=names).cast(schema)
 
-    names = ["shard", "ids", "parts", "digests", "points", "capitals", "odd", "starts", "columns", "counts"]
-    lists = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3]
-    schema = pa.schema([("shard", pa.int64()), *zip(names[1:], map(pa.list_, lists), strict=True)])
-    return (
-        shards.drop("words").groupBy("shard").cogroup(terms.groupBy("shard")).applyInArrow(encode, MATRIX)
-    )
+    rows = shards.drop("words").groupBy("shard").cogroup(numbered.groupBy("shard"))
+    return rows.applyInArrow(encode, MATRIX)
 
 
 def failures(matrix: DataFrame) -> DataFrame:
@@ -217,7 +329,7 @@ def failures(matrix: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].values for name in names}
-                starts = row["starts"].to_numpy()
+                starts = row["starts"].to_numpy().astype(np.int64)
                 summed = np.concatenate(([0], np.cumsum(row["counts"].to_numpy())))
                 words, distinct = np.diff(summed[starts]), np.diff(starts)
                 mask = (
