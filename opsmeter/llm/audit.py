@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import permutations
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from opsmeter.llm.common import _LETTERS, _tables, configure, mix, new_folder, pieces_of, stored, text_buffer, utf8
 
 # bytes of text that make one shard of the matrix; a longer text is a shard of its own
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 # parts of the dictionary: at least so many, and one for so many words of shards
 DICTIONARY_PARTS = 256
@@ -34,7 +35,6 @@ ROWS = """ids array<bigint>, parts array<string>, digests array<binary>, points
 LOCAL = f"shard bigint, {ROWS}, starts binary, columns binary, counts binary, n_words bigint, words binary"
 MATRIX = f"shard bigint, {ROWS}, starts array<int>, columns array<bigint>, counts array<int>"
 _ROW_NAMES = ["ids", "parts", "digests", "points", "capitals", "odd"]
-_ROW_TYPES = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
 
 
 def _squeezed(raw: bytes) -> bytes:
@@ -87,12 +87,21 @@ def _strings(raw: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(bounds), pa.py_buffer(raw))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string's bytes."""
+    out = [np.zeros(0, np.uint64)]
+    for start, stop in pieces_of(words, PIECE_BYTES):
+        raw, offsets = text_buffer(words.slice(start, stop - start))
+        powers, inverses = _tables(len(raw) + 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[raw] * powers[: len(raw)])))
+        sums = (total[offsets[1:]] - total[offsets[:-1]]) * inverses[offsets[:-1]]
+        out.append(mix(sums + np.diff(offsets).astype(np.uint64)))
+    return np.concatenate(out)
+
+
 def word_order(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The order of distinct words by hash, then by their bytes, and the hashes in that order."""
-    raw, offsets = text_buffer(words)
-    powers, inverses = _tables(len(raw) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_LETTERS[raw] * powers[: len(raw)])))
-    hashes = mix((total[offsets[1:]] - total[offsets[:-1]]) * inverses[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+    hashes = word_hashes(words)
     order = np.argsort(hashes, kind="stable")
     hashes = hashes[order]
     for first in np.flatnonzero((hashes[1:] == hashes[:-1]) & np.append(True, hashes[1:-1] != hashes[:-2])):
@@ -283,68 +292,83 @@ def dictionary(shards: DataFrame, numbered: DataFrame) -> DataFrame:
     return listed.applyInArrow(spell, "word string, term bigint").distinct()
 
 
-def term_matrix(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source"
-) -> DataFrame:
-    """The document-term matrix over a dictionary of all words, in shards of compressed rows.
+@dataclass
+class Rows:
+    """A shard of the matrix in a task: row ``i`` has ``counts[starts[i]:starts[i + 1]]`` of ``columns`` there."""
 
-    One row per shard (``MATRIX``): row ``i`` has ``counts[starts[i]:starts[i + 1]]`` of the
-    terms ``columns[starts[i]:starts[i + 1]]``, which rise. Beside the matrix stand the
-    rows' ids, parts, digests and character counts.
-    """
-    shards = local_shards(docs, doc_id, text, part)
-    return encoded(shards, terms(shards))
+    shard: int
+    facts: dict[str, pa.Array]  # of each row: ROWS
+    starts: np.ndarray
+    columns: np.ndarray
+    counts: np.ndarray
 
 
-def encoded(shards: DataFrame, numbered: DataFrame) -> DataFrame:
-    """``MATRIX`` from ``local_shards`` and their ``terms``."""
-    names = ["shard", *_ROW_NAMES, "starts", "columns", "counts"]
-    numbers = [pa.int32(), pa.int64(), pa.int32()]
-    schema = pa.schema(
-        [("shard", pa.int64()), *zip(names[1:], map(pa.list_, [*_ROW_TYPES, *numbers]), strict=True)]
-    )
+def _encoded(shards: DataFrame, numbered: DataFrame, finish: Callable[[Rows], pa.Table], schema: str) -> DataFrame:
+    """``finish`` of every shard of the matrix over the dictionary's terms."""
 
     def encode(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()
         term = _numbers(right, left["n_words"][0].as_py())
         starts, columns, counts = (_unpacked(left[x][0].as_py()) for x in ("starts", "columns", "counts"))
+        facts = {name: left[name][0].values for name in _ROW_NAMES}
         # words of a shard are in the dictionary's order, so columns rise as before
-        matrix = [_lists([pa.array(x, k)]) for x, k in zip((starts, term[columns], counts), numbers, strict=True)]
-        arrays = [left[name].combine_chunks() for name in names[: len(_ROW_NAMES) + 1]] + matrix
-        return pa.Table.from_arrays(arrays, names=names).cast(schema)
+        return finish(Rows(left["shard"][0].as_py(), facts, starts, term[columns], counts))
 
     rows = shards.drop("words").groupBy("shard").cogroup(numbered.groupBy("shard"))
-    return rows.applyInArrow(encode, MATRIX)
+    return rows.applyInArrow(encode, schema)
+
+
+def encoded(shards: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``MATRIX`` from ``local_shards`` and their ``terms``."""
+
+    def row(rows: Rows) -> pa.Table:
+        arrays = [pa.array([rows.shard]), *[_lists([rows.facts[name]]) for name in _ROW_NAMES]]
+        matrix = zip((rows.starts, rows.columns, rows.counts), (pa.int32(), pa.int64(), pa.int32()), strict=True)
+        arrays += [_lists([pa.array(x, k)]) for x, k in matrix]
+        return pa.Table.from_arrays(arrays, ["shard", *_ROW_NAMES, "starts", "columns", "counts"])
+
+    return _encoded(shards, numbered, row, MATRIX)
 
 
-def failures(matrix: DataFrame) -> DataFrame:
+def term_matrix(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source"
+) -> DataFrame:
+    """The document-term matrix over a dictionary of all words, in shards of compressed rows.
+
+    One row per shard (``MATRIX``): row ``i`` has ``counts[starts[i]:starts[i + 1]]`` of the
+    terms ``columns[starts[i]:starts[i + 1]]``, which rise. Beside the matrix stand the
+    rows' ids, parts, digests and character counts.
+    """
+    shards = local_shards(docs, doc_id, text, part)
+    return encoded(shards, terms(shards))
+
+
+def failures(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "source"
+) -> DataFrame:
     """``doc_id, part, digest, mask``: which of the conditions A to D each row fails, by bit.
 
     Row sums of the matrix are the words, its cells per row the distinct words: A is under 50
     words, B fewer than 65 distinct ones in 100. C is more than 5 capitals A-Z in 100 code
-    points, D any of ``#$%&*|``.
+    points, D any of ``#$%&*|``. Each shard is decided where it is encoded.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].values for name in names}
-                starts = row["starts"].to_numpy().astype(np.int64)
-                summed = np.concatenate(([0], np.cumsum(row["counts"].to_numpy())))
-                words, distinct = np.diff(summed[starts]), np.diff(starts)
-                mask = (
-                    (words < 50) * 1
-                    + (100 * distinct < 65 * words) * 2
-                    + (100 * row["capitals"].to_numpy() > 5 * row["points"].to_numpy()) * 4
-                    + row["odd"].to_numpy(zero_copy_only=False) * 8
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [row["ids"], row["parts"], row["digests"], pa.array(mask.astype(np.int32))],
-                    ["doc_id", "part", "digest", "mask"],
-                )
-
-    names = ["ids", "parts", "digests", "points", "capitals", "odd", "starts", "counts"]
-    return matrix.select(*names).mapInArrow(run, "doc_id bigint, part string, digest binary, mask int")
+    def decide(rows: Rows) -> pa.Table:
+        starts = rows.starts.astype(np.int64)
+        summed = np.concatenate(([0], np.cumsum(rows.counts, dtype=np.int64)))
+        words, distinct = np.diff(summed[starts]), np.diff(starts)
+        capitals, points = (rows.facts[name].to_numpy() for name in ("capitals", "points"))
+        mask = (
+            (words < 50) * 1
+            + (100 * distinct < 65 * words) * 2
+            + (100 * capitals > 5 * points) * 4
+            + rows.facts["odd"].to_numpy(zero_copy_only=False) * 8
+        )
+        columns = [rows.facts[name] for name in ("ids", "parts", "digests")]
+        return pa.Table.from_arrays([*columns, pa.array(mask.astype(np.int32))], ["doc_id", "part", "digest", "mask"])
+
+    shards = local_shards(docs, doc_id, text, part)
+    return _encoded(shards, terms(shards), decide, "doc_id bigint, part string, digest binary, mask int")
 
 
 def masks(failed: DataFrame, labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -441,5 +465,5 @@ def filter_audit(
     count each; they have one id, so none fails E because of another. Further
     columns are ignored, whatever their names; an empty table gives no rows.
     """
-    failed = stored(failures(term_matrix(docs, doc_id, text, part)), "failures")
+    failed = stored(failures(docs, doc_id, text, part), "failures")
     return interactions(stored(masks(failed, labels, doc_id), "masks"))
