@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -80,17 +80,20 @@ def remainder(doc_id: str, parts: int) -> str:
     return f"pmod(crc32(cast(coalesce(cast(`{doc_id}` AS STRING), '') AS BINARY)), {parts})"
 
 
-def map_arrow(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
-) -> DataFrame:
-    """Apply ``function`` to every Arrow batch."""
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
 
-    return df.mapInArrow(run, schema)
+def columns_of(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
 # --- words of whole texts as 64-bit hashes, without a Python loop over words ---
@@ -188,11 +191,3 @@ def sequence_hashes(words: np.ndarray, length: int) -> np.ndarray:
 def sorted_distinct(values: np.ndarray) -> np.ndarray:
     values = np.sort(values)
     return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
-
-
-def binary_column(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
-def drop_columns(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from opsmeter.llm import sketch
 from opsmeter.llm.common import (
     configure,
+    fresh,
     mix,
     pieces_of,
     sequence_hashes,
@@ -423,11 +424,15 @@ def similarity_components(
 def without_near_copies(
     docs: DataFrame, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, or null, unchanged."""
+    """The rows of ``docs`` whose id is the smallest of its component, or null, unchanged.
+
+    All columns stay, whatever their names. Rows that repeat an id stay or go together.
+    """
+    (gone_id,) = fresh(docs, "gone_id")
     placed = stored(similarity_components(docs, settings, doc_id, text), "components")
-    gone = placed.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = placed.where("component_id < doc_id").select(F.col("doc_id").alias(gone_id)).distinct()
     # ids to drop grow with the input: no broadcast, whatever this input's size
-    return docs.join(gone.hint("merge"), F.col(f"`{doc_id}`").cast("bigint") == F.col("gone_id"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(f"`{doc_id}`").cast("bigint") == F.col(gone_id), "left_anti")
 
 
 # --- candidates -----------------------------------------------------------------
