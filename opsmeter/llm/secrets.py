@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmeter.llm.common import stored, utf8
+from opsmeter.llm.common import fresh, stored, utf8
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,8 @@ COMPLEMENTS = {"key": ("access",), "endpoint": ("access", "assign")}
 # code points between two parts that belong together
 SCOPE = 256
 
-SPANS = "ARRAY<STRUCT<start: BIGINT, rank: INT, end: BIGINT, kind: STRING>>"
+# ``first`` and ``last`` are the span's bytes in UTF-8, from 0, ``last`` exclusive
+SPANS = "ARRAY<STRUCT<start: BIGINT, rank: INT, end: BIGINT, kind: STRING, first: BIGINT, last: BIGINT>>"
 _NONE = f"cast(array() AS {SPANS})"
 
 
@@ -58,22 +59,38 @@ def _spans(kind: Kind, rank: int, text: str) -> str:
 
     ``regexp_extract_all`` returns the matches from left to right without overlap but not
     their places. ``split`` by the same pattern returns what lies between them, so a match
-    starts after all earlier parts and matches. Texts without the hint skip both.
+    starts after all earlier parts and matches. These are summed within runs of matches,
+    whose length is the cube root of their number, then over the runs: appending to one array
+    would copy all earlier ones for each match. Texts without the hint skip all that.
     """
     pattern = _text(kind.pattern)
     keep = kind.keep.format(m="x.m", pattern=pattern)
-    return f"""CASE WHEN {text} RLIKE {_text(kind.hint)} THEN aggregate(
-        zip_with(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1),
-                 (m, g) -> named_struct('m', m, 'g', g)),
-        struct(0L AS at, {_NONE} AS found),
+    inside = f"""aggregate(run, struct(0L AS at, 0L AS byte, {_NONE} AS found),
         (acc, x) -> struct(
             acc.at + length(x.g) + coalesce(length(x.m), 0) AS at,
+            acc.byte + octet_length(x.g) + coalesce(octet_length(x.m), 0) AS byte,
             IF(x.m IS NOT NULL AND {keep},
                concat(acc.found, array(named_struct(
                    'start', acc.at + length(x.g), 'rank', {rank},
-                   'end', acc.at + length(x.g) + length(x.m), 'kind', '{kind.name}'))),
-               acc.found) AS found),
-        acc -> acc.found) ELSE {_NONE} END"""
+                   'end', acc.at + length(x.g) + length(x.m), 'kind', '{kind.name}',
+                   'first', acc.byte + octet_length(x.g),
+                   'last', acc.byte + octet_length(x.g) + octet_length(x.m)))),
+               acc.found) AS found))"""
+    # of each run: what lies before it
+    before = """aggregate(runs, struct(0L AS at, 0L AS byte, cast(array() AS ARRAY<STRUCT<at: BIGINT, byte: BIGINT>>) AS all),
+        (acc, r) -> struct(acc.at + r.at AS at, acc.byte + r.byte AS byte,
+                           concat(acc.all, array(struct(acc.at AS at, acc.byte AS byte))) AS all),
+        acc -> acc.all)"""
+    shifted = f"""flatten(zip_with(runs, {before}, (r, b) -> transform(r.found, s -> named_struct(
+        'start', b.at + s.start, 'rank', s.rank, 'end', b.at + s.end, 'kind', s.kind,
+        'first', b.byte + s.first, 'last', b.byte + s.last))))"""
+    parts = f"""zip_with(regexp_extract_all({text}, {pattern}, 0), split({text}, {pattern}, -1),
+        (m, g) -> named_struct('m', m, 'g', g))"""
+    size = "cast(greatest(32, cbrt(size(parts))) AS INT)"
+    runs = f"""transform(sequence(0, (size(parts) - 1) div {size}),
+        i -> transform(array(slice(parts, i * {size} + 1, {size})), run -> {inside})[0])"""
+    found = f"transform(array({parts}), parts -> transform(array({runs}), runs -> {shifted})[0])[0]"
+    return f"CASE WHEN {text} RLIKE {_text(kind.hint)} THEN {found} ELSE {_NONE} END"
 
 
 def _all(kinds: tuple[Kind, ...], first: int, text: str) -> str:
@@ -144,10 +161,16 @@ def secret_spans(
     Null texts count as empty and have no spans. Null ids and repeated rows get a row each;
     equal texts get equal spans. Further columns are ignored; an empty table gives no rows.
     """
-    found = scanned(docs, doc_id, text)
+    return _with_links(scanned(docs, doc_id, text), scope).select("doc_id", "base", "extra")
+
+
+def _with_links(found: DataFrame, scope: int) -> DataFrame:
+    """``found`` with ``extra``; rows without a key, nearly all, stay out of the join."""
     links = stored(linked(found, scope), "links")
-    return found.join(links, "key", "left").selectExpr(
-        "doc_id", "base", f"coalesce(extra, {_NONE}) AS extra"
+    keyed = found.where("key IS NOT NULL").join(links, "key", "left")
+    columns = ["doc_id", "digest", "base", "weak"]
+    return found.where("key IS NULL").selectExpr(*columns, f"{_NONE} AS extra").union(
+        keyed.selectExpr(*columns, f"coalesce(extra, {_NONE}) AS extra")
     )
 
 
@@ -173,25 +196,42 @@ def redacted(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text:
 
     Of overlapping spans the first names the whole. Rows without spans, and null texts, stay
     as they are. Spans are looked up by the text's digest, so ids may repeat or be null.
+    All columns stay, whatever their names.
+
+    Overlaps are found by windows over each text's spans, and the text is cut by bytes, so
+    the work grows with the spans and the text.
     """
-    found = scanned(docs, doc_id, text)
-    links = stored(linked(found, scope), "links")
+    cut_digest, cuts_of = fresh(docs, "cut_digest", "cut_spans")
+    spans = (
+        _with_links(scanned(docs, doc_id, text), scope)
+        .where("size(base) > 0")
+        .groupBy("digest")
+        .agg(F.first(F.expr("concat(base, extra)")).alias("spans"))
+        .selectExpr("digest", "inline(spans)")
+    )
+    order = "OVER (PARTITION BY digest ORDER BY start, rank, end ROWS UNBOUNDED PRECEDING)"
+    reach = order.replace("ROWS UNBOUNDED PRECEDING", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
     cuts = (
-        found.where("size(base) > 0")
-        .join(links, "key", "left")
-        .groupBy(F.col("digest").alias("cut_digest"))
-        .agg(F.first(F.expr(f"sort_array(concat(base, coalesce(extra, {_NONE})))")).alias("cut_spans"))
+        spans.selectExpr("*", f"start >= coalesce(max(end) {reach}, 0L) AS heads")
+        .selectExpr("*", f"count_if(heads) {order} AS place")
+        .groupBy("digest", "place")
+        .agg(F.expr("min(first) AS first"), F.expr("max(last) AS last"), F.expr("max_by(kind, heads) AS kind"))
+        .groupBy(F.col("digest").alias(cut_digest))
+        .agg(F.sort_array(F.collect_list(F.struct("first", "last", "kind"))).alias(cuts_of))
     )
-    body = utf8(text)
-    cut = f"""aggregate(cut_spans, struct(0L AS at, '' AS out),
-        (acc, s) -> IF(s.start < acc.at, struct(greatest(acc.at, s.end) AS at, acc.out AS out),
-            struct(s.end AS at, concat(acc.out,
-                substring({body}, cast(acc.at + 1 AS INT), cast(s.start - acc.at AS INT)),
-                '[', s.kind, ']') AS out)),
-        acc -> concat(acc.out, substring({body}, cast(acc.at + 1 AS INT))))"""
+    body = f"cast({utf8(text)} AS BINARY)"
+
+    def piece(start: str, stop: str) -> str:
+        return f"cast(substring(b, cast({start} + 1 AS INT), cast({stop} - {start} AS INT)) AS STRING)"
+
+    kept_before = piece(f"IF(i = 0, 0L, {cuts_of}[greatest(i - 1, 0)].last)", "s.first")
+    # the text's bytes are named once: each mention would copy them
+    cut = f"""transform(array({body}), b -> concat(
+        array_join(transform({cuts_of}, (s, i) -> concat({kept_before}, '[', s.kind, ']')), ''),
+        {piece(f"element_at({cuts_of}, -1).last", "octet_length(b)")}))[0]"""
     columns = [
-        f"IF(cut_spans IS NULL, `{c}`, {cut}) AS `{c}`" if c == text else f"`{c}`" for c in docs.columns
+        f"IF({cuts_of} IS NULL, `{c}`, {cut}) AS `{c}`" if c == text else f"`{c}`" for c in docs.columns
     ]
-    same = F.expr(f"sha2(cast({body} AS BINARY), 256)") == F.col("cut_digest")
+    same = F.expr(f"sha2({body}, 256)") == F.col(cut_digest)
     # texts with secrets grow with the input: no broadcast, whatever this input's size
     return docs.join(stored(cuts, "cuts").hint("merge"), same, "left").selectExpr(*columns)
