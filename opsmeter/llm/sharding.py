@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmeter.llm.common import stored, utf8
+from opsmeter.llm.common import columns_of, fresh, stored, utf8
 
 # bytes of text in one bucket, about what a task sorts in memory
 BUCKET_BYTES = 16 << 20
+# tasks that draw the buckets' orders
+ORDER_PARTS = 64
 
 
 def row_size(text: str = "text") -> str:
@@ -16,6 +18,49 @@ def row_size(text: str = "text") -> str:
     return f"cast(octet_length({utf8(text)}) AS BIGINT) + 8"
 
 
+def _scattered(docs: DataFrame, buckets: int, seed: int, doc_id: str, text: str, bucket: str, tie: str) -> DataFrame:
+    """``docs`` with the number of each row's bucket, and a hash that tells apart what id and text do not.
+
+    A seeded hash of id and text deals the rows. Rows that repeat both would meet in one
+    bucket: equal ones are counted first, before they move, and dealt to the buckets in turn from
+    where their hash says. Their copies are listed where each bucket's share has arrived.
+    """
+    names = fresh(docs, "row_key", "repeated_key", "row_json", "own_row", "row_copies", "row_turn", "row_share")
+    key, repeated_key, row_json, row, copies, turn, share = names
+    kinds = dict(docs.dtypes)
+    # hashes take no maps; JSON takes everything
+    hashed = ", ".join(f"`{c}`" for c in docs.columns if "map<" not in kinds[c])
+    marked = docs.withColumn(key, F.expr(f"xxhash64({seed}, `{doc_id}`, `{text}`)"))
+    repeated = stored(
+        marked.groupBy(F.col(key).alias(repeated_key)).count().where("count > 1").select(repeated_key),
+        "repeated-rows",
+    )
+    same = F.col(key) == F.col(repeated_key)
+    add = [f"cast(pmod({key}, {buckets}) AS BIGINT) AS {bucket}", f"xxhash64({hashed}) AS {tie}"]
+    own = [f"`{c}`" for c in docs.columns]
+    singles = marked.join(repeated, same, "left_anti").selectExpr(*own, *add)
+    if repeated.isEmpty():
+        return singles
+    whole = F.struct(*columns_of(docs))
+    counted = (
+        marked.join(repeated, same, "left_semi")
+        .groupBy(F.to_json(whole, {"ignoreNullFields": "false"}).alias(row_json), F.col(key))
+        .agg(F.first(whole).alias(row), F.count(F.lit(1)).alias(copies))
+    )
+    dealt = (
+        counted.selectExpr("*", f"explode(sequence(0L, least({copies}, {buckets}L) - 1)) AS {turn}")
+        .selectExpr(
+            f"{row}.*",
+            f"cast(pmod(pmod({key}, {buckets}) + {turn}, {buckets}) AS BIGINT) AS {bucket}",
+            f"{copies} div {buckets} + IF({turn} < {copies} % {buckets}, 1, 0) AS {share}",
+        )
+        .repartition(bucket)
+        .withColumn(share, F.expr(f"explode(sequence(1L, {share}))"))
+        .selectExpr(*own, bucket, add[1])
+    )
+    return singles.union(dealt)
+
+
 def shuffled(
     docs: DataFrame,
     shards: int = 24,
@@ -24,7 +69,7 @@ def shuffled(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` with ``shard`` and ``slot``: a random order, dealt out in turn.
+    """The rows of ``docs`` with two more columns, ``shard`` and ``slot``: a random order, dealt out in turn.
 
     First pass: a seeded hash of id and text scatters the records uniformly into as many
     buckets as ``bucket_bytes`` asks for, and each bucket's rows are counted. Second pass:
@@ -35,73 +80,76 @@ def shuffled(
     So shards differ by one row at most, slots have no gaps, and a record's shard and slot
     are chance, whatever its source, its copies or its neighbours.
 
-    Records move once, with their texts; sorting them can spill. The rows before a bucket
-    are sums over the bucket counts, one row for each ``bucket_bytes`` of input: first
-    within 1,024 groups of buckets, then over the groups.
+    Every bucket is written in its new order, one after another in a task's file, and the result
+    reads these files. Records move once, with their texts; sorting them can spill. The rows before a
+    bucket are sums over the bucket counts, one row for each ``bucket_bytes`` of input: first
+    within 1,024 groups of buckets, then over the groups. The same rows and arguments give
+    the same result, whatever the partitions.
 
-    Null ids hash as such, null texts weigh nothing; repeated rows share a bucket and get
-    a place each. Columns named like those added here are left out. An empty table gives
-    no rows.
+    Null ids hash as such, null texts weigh nothing. Repeated rows get a place each and
+    are spread over the buckets. All columns stay, whatever their names; should one be called
+    ``shard`` or ``slot``, the added column's name ends in an underscore. They are the last
+    two. An empty table gives no rows.
     """
-    names = ("shard", "slot", "bucket", "place", "order_", "earlier")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    names = fresh(docs, "shard", "slot", "bucket", "place", "tie", "order_", "earlier", "of_bucket", "bucket_rows")
+    shard, slot, bucket, place, tie, order, earlier, of_bucket, size = names
+    own = [f"`{c}`" for c in docs.columns]
     total = docs.selectExpr(f"sum({row_size(text)}) AS bytes").first()["bytes"] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    scattered = docs.select(
-        *columns,
-        F.expr(f"pmod(xxhash64({seed}, `{doc_id}`, `{text}`), {buckets})").alias("bucket"),
-    )
-    counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    counts = stored(counts.withColumn("part", F.expr("pmod(bucket, 1024)")), "bucket-counts")
-    parts = counts.groupBy("part").agg(F.sum("rows").alias("part_rows"))
+    scattered = _scattered(docs, buckets, seed, doc_id, text, bucket, tie)
+    counts = scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias(size))
+    counts = stored(counts.selectExpr(f"{bucket} AS bucket", f"{size} AS size", f"pmod({bucket}, 1024) AS part"), "bucket-counts")
+    parts = counts.groupBy("part").agg(F.sum("size").alias("part_rows"))
     parts = parts.selectExpr(
         "part AS p",
         """coalesce(sum(part_rows) OVER (ORDER BY part
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part_earlier""",
     )
     inside = counts.selectExpr(
-        "bucket", "rows", "part",
-        """coalesce(sum(rows) OVER (PARTITION BY part ORDER BY bucket
+        "bucket", "size", "part",
+        """coalesce(sum(size) OVER (PARTITION BY part ORDER BY bucket
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part_inside""",
     )
-    # ordered first, so that the shuffles' random numbers meet the buckets in one order
+    # The shuffles draw random numbers by partition and row: always as many partitions, by
+    # number, ordered, so that a bucket meets the same ones whatever the session's settings.
     orders = (
         inside.join(F.broadcast(parts), F.col("part") == F.col("p"))
-        .selectExpr("bucket AS of_bucket", "rows", "part_earlier + part_inside AS earlier")
-        .repartitionByRange("of_bucket")
-        .sortWithinPartitions("of_bucket")
-        .select("of_bucket", "earlier", F.shuffle(F.expr("sequence(0L, rows - 1)"), seed).alias("order_"))
+        .selectExpr(f"bucket AS {of_bucket}", "size", f"part_earlier + part_inside AS {earlier}")
+        .repartition(ORDER_PARTS, of_bucket)
+        .sortWithinPartitions(of_bucket)
+        .select(of_bucket, earlier, F.shuffle(F.expr("sequence(0L, size - 1)"), seed).alias(order))
     )
     placed = scattered.selectExpr(
-        "*", f"row_number() OVER (PARTITION BY bucket ORDER BY `{doc_id}`, `{text}`) AS place"
+        "*", f"row_number() OVER (PARTITION BY {bucket} ORDER BY `{doc_id}`, `{text}`, {tie}) AS {place}"
+    )
+    ranked = placed.join(orders, F.col(bucket) == F.col(of_bucket)).selectExpr(
+        *own, f"{earlier} + element_at({order}, {place}) AS {place}"
     )
-    rank = "earlier + element_at(order_, place)"
-    return placed.join(orders, F.col("bucket") == F.col("of_bucket")).select(
-        *columns,
-        F.expr(f"cast(pmod({rank}, {shards}) AS INT)").alias("shard"),
-        F.expr(f"({rank}) div {shards}").alias("slot"),
+    written = stored(ranked.sortWithinPartitions(place), "buckets")
+    return written.selectExpr(
+        *own, f"cast(pmod({place}, {shards}) AS INT) AS {shard}", f"{place} div {shards} AS {slot}"
     )
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
-    """Write one folder per shard (``shard=<n>``), each in the order of its slots.
+    """Write ``shuffled`` rows, one folder per shard (``shard=<n>``), each in the order of its slots.
 
     A range of slots of a shard is one task and one file, so a shard larger than a task
     becomes several files, in order by name.
     """
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    place = placed.columns[-2:]
+    placed.repartitionByRange(*place).sortWithinPartitions(*place).write.partitionBy(place[0]).parquet(path)
 
 
 def digests(placed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of shuffled documents."""
+    shard, slot = placed.columns[-2:]
     return placed.selectExpr(
         f"cast(`{doc_id}` AS BIGINT) AS doc_id",
         f"{row_size(text)} AS size",
         f"crc32(cast({utf8(text)} AS BINARY)) AS text_crc32",
         "'rows' AS law",
-        "shard",
-        "slot",
+        f"{shard} AS shard",
+        f"{slot} AS slot",
         "cast(NULL AS INT) AS grown_shard",
     )
