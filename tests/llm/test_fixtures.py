@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from opsmeter.llm import counts, dedup, packing, pieces, queries, secrets, sharding
+from opsmeter.llm import common, counts, dedup, jaccard, packing, pieces, quality, queries, secrets, sharding
 
 TEXTS = [
     None, "", " ", " lead", "a  b", "tail ", "x▁y", "\n\n tab\t", "a\x1cb \x85c", "\x00a",
@@ -252,6 +252,7 @@ def test_shards_of_several_buckets_and_odd_rows(odd, none, tmp_path, spark):
     assert len(rows) == odd.count() and placed.columns == [*odd.columns, "shard", "slot"]
     check_shards(rows, 3)
     assert sharding.shuffled(none).collect() == []
+    assert placed.drop("shard", "slot").exceptAll(odd).isEmpty()
     sharding.write_shards(placed, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd.count()
 
@@ -410,8 +411,127 @@ def test_groups_of_odd_rows(odd, none, spark):
 
 def test_state_takes_in_later_batches(spark, tmp_path):
     state = dedup.DedupState(spark, str(tmp_path / "state"))
-    batch = "digest string, size bigint, id bigint, locator string"
-    state.add(spark.createDataFrame([("a", 1, 5, "f1"), ("b", 1, 2, "f1")], batch))
-    state.add(spark.createDataFrame([("a", 1, 7, "f2"), ("c", 1, 9, "f2")], batch))
-    found = {r.digest: (r.keep_id, r.locator, r.group_size) for r in state.groups().collect()}
-    assert found == {"a": (7, "f2", 2), "b": (2, "f1", 1), "c": (9, "f2", 1)}
+    state.add(spark.createDataFrame([(5, "a"), (2, "b")], "id bigint, body string"))
+    state.add(spark.createDataFrame([(7, "a"), (9, "c")], "id bigint, body string"))
+    places = {(r.id, r.body): r.locator for r in state.contents.collect()}
+    found = {r.keep_id: (r.locator, r.group_size) for r in state.groups().collect()}
+    assert found == {7: (places[7, "a"], 2), 2: (places[2, "b"], 1), 9: (places[9, "c"], 1)}
+    # a hit leads back to the bytes of all its texts, those of earlier batches too
+    hits = state.groups().where("group_size > 1")
+    texts = {(r.id, r.body, r.locator) for r in state.hit_texts(hits).collect()}
+    assert texts >= {(5, "a", places[5, "a"]), (7, "a", places[7, "a"])}
+
+
+def test_only_hit_texts_move(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 900} " * 5) for i in range(1000)], "doc_id bigint, text string")
+    state = dedup.DedupState(spark, common.new_folder(spark, "state"))
+    state.add(docs.selectExpr("doc_id AS id", "text AS body"))
+    hits = state.groups().where("group_size > 1")
+    found = state.hit_texts(hits)
+    assert sorted(r.id for r in found.collect()) == sorted([*range(100), *range(900, 1000)])
+    plan = found.groupBy("body").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_copies_without_ids_in_a_third_of_the_rows(spark):
+    rows = [(None, "hot text")] * 400 + [(7, "hot text")] + [(i, f"text {i}") for i in range(100, 900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    found = dedup.exact_groups(docs).collect()
+    hot = [r for r in found if r.group_size > 1]
+    assert len(found) == len(rows) and len(hot) == 401
+    assert {(r.keep_id, r.group_size) for r in hot} == {(7, 401)} and sum(r.kept for r in hot) == 1
+
+
+# --- names and ties ---
+
+# every column that the steps add to documents on their way
+INTERNAL = """kept_id kept_digest kept_rows own_digest first_row gone_id cut_digest cut_spans doc_id_ body key
+    spans base weak extra digest size place tie order_ earlier of_bucket bucket bucket_rows shard slot row_key
+    own_row row_copies row_turn row_share row_json repeated_key text_sha256 keep_id group_size kept id locator
+    component_id n_shingles name quality_text label score part p GONE_ID_""".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(1, LONG_TEXT), (2, LONG_TEXT), (3, LONG_TEXT + " more"), (4, "token=abcdefgh rest"), (None, None),
+            (None, None), (5, "")]
+    data = [(*row, *[f"{c}-{i}" for c in INTERNAL]) for i, row in enumerate(rows)]
+    return spark.createDataFrame(data, "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in INTERNAL))
+
+
+LONG_TEXT = " ".join(f"word{i}" for i in range(80))
+
+
+@pytest.mark.parametrize("step", ["dedup", "jaccard", "secrets", "quality", "sharding"])
+def test_steps_keep_columns_of_any_name(spark, clashing, step):
+    labels = spark.createDataFrame([(1, 1), (3, 1)], "doc_id bigint, quality int")
+    done = {
+        "dedup": dedup.without_copies,
+        "jaccard": jaccard.without_near_copies,
+        "secrets": secrets.redacted,
+        "quality": lambda docs: quality.accepted(docs, labels, threshold=0.0),
+        "sharding": lambda docs: sharding.shuffled(docs, 2, bucket_bytes=300),
+    }[step](clashing)
+    before = {r["name"]: r.asDict() for r in clashing.collect()}
+    added = ["shard_", "slot_"] if step == "sharding" else []
+    assert done.columns == [*clashing.columns, *added]
+    rows = done.collect()
+    for r in rows:
+        old = before[r["name"]]
+        assert {c: r[c] for c in clashing.columns if c != "text"} == {c: old[c] for c in old if c != "text"}
+        assert r.text == (old["text"].replace("token=abcdefgh", "[assign]") if step == "secrets" and old["text"] else old["text"])
+    left = {"dedup": 4, "jaccard": 5}.get(step, 7)
+    assert len(rows) == left
+
+
+def test_repeated_rows_leave_a_defined_one(spark):
+    rows = [(1, "same", z) for z in ("c", "b", "a", None)] + [(None, "none", "y"), (None, "none", "x")]
+    for _ in range(3):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, other string").repartition(4)
+        assert sorted(map(str, dedup.without_copies(docs).collect())) == sorted(
+            ["Row(doc_id=1, text='same', other='a')", "Row(doc_id=None, text='none', other='x')"]
+        )
+
+
+def test_equal_rows_are_dealt_over_the_buckets(spark):
+    rows = [(None, "hot", None)] * 300 + [(None, "hot", "x")] * 3 + [(i, f"t{i}", None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, more string").repartition(5)
+    scattered = sharding._scattered(docs, 20, 7, "doc_id", "text", "bucket", "tie")
+    sizes = {r.bucket: r["count"] for r in scattered.groupBy("bucket").count().collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 80
+    hot = scattered.where("text = 'hot' AND more IS NULL").groupBy("bucket").count().collect()
+    assert sorted(r["count"] for r in hot) == [15] * 20
+    placed = sharding.shuffled(docs, 7, bucket_bytes=400)
+    check_shards(placed.collect(), 7)
+    found = placed.drop("shard", "slot").collect()
+    assert sorted(map(str, found)) == sorted(map(str, docs.collect()))
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    rows = [(i % 50 if i % 9 else None, f"text {i % 60}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    name, seen = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(name)
+    try:
+        for n in (3, 8, 17):
+            spark.conf.set(name, n)
+            seen.append(sorted(map(str, sharding.shuffled(docs.repartition(n), 5, bucket_bytes=900).collect())))
+    finally:
+        spark.conf.set(name, before)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_many_matches_in_one_text(spark):
+    """Work grows with the matches: a quadratic scan took half a minute for a tenth of these."""
+    import time
+
+    n = 200_000
+    text = "é https://a.b/x " + "token=abcdef1 😀 " * n + f"AKIA{'D' * 16}"
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    started = time.time()
+    row = secrets.digests(secrets.secret_spans(docs)).first()
+    assert (row.n_assign, row.n_access) == (n, 1) and time.time() - started < 60
+    last = 16 + 16 * n
+    assert row.spans.startswith("endpoint:2:13,assign:16:29,") and row.spans.endswith(f"access:{last}:{last + 20}")
+    done = secrets.redacted(docs).first().text
+    assert done == "é [endpoint]/x " + "[assign] 😀 " * n + "[access]"
