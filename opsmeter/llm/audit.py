@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmeter.llm.common import _LETTERS, _tables, configure, mix, new_folder, pieces_of, stored, text_buffer, utf8
+from opsmeter.llm.common import _LETTERS, _tables, configure, mix, new_folder, pieces_of, scratch, stored, text_buffer, utf8
 
 # bytes of text that make one shard of the matrix; a longer text is a shard of its own
 SHARD_BYTES = 8 << 20
@@ -423,7 +423,7 @@ def all_orders() -> str:
     return f"array({', '.join(steps)})"
 
 
-def interactions(counted: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+def interactions(counted: DataFrame) -> DataFrame:
     """The audit's rows from ``masks``: every part, order and step, zeros included.
 
     A part has at most 32 masks, which meet the 600 steps in one array, so a part's rows come
@@ -465,5 +465,8 @@ def filter_audit(
     count each; they have one id, so none fails E because of another. Further
     columns are ignored, whatever their names; an empty table gives no rows.
     """
-    failed = stored(failures(docs, doc_id, text, part), "failures")
-    return interactions(stored(masks(failed, labels, doc_id), "masks"))
+    with scratch(docs.sparkSession) as keep:
+        failed = stored(failures(docs, doc_id, text, part), "failures")
+        counted = stored(masks(failed, labels, doc_id), "masks")
+        keep(counted)
+    return interactions(counted)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 from uuid import uuid4
 
@@ -42,9 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/llm-stage"
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the application ends."""
+    """A fresh path in the shared folder, removed by ``scratch`` or when the application ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid4()}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     handle = spark._jvm.org.apache.hadoop.fs.Path(path)
     handle.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(handle)
     return path
@@ -56,6 +64,32 @@ def remove(spark: SparkSession, path: str) -> None:
     handle.getFileSystem(spark._jsc.hadoopConfiguration()).delete(handle, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Remove what is stored inside the block at its end, but for the frames named to ``keep``.
+
+        with scratch(spark) as keep:
+            ...
+            keep(stored(result, "result"))
+
+    No frame that goes on may read another one: they end with the block. Inside another
+    block, what is kept is the outer block's to keep or remove.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+    token = _made.set(made)
+    try:
+        yield lambda *frames: kept.update(frame.stored_at for frame in frames)
+    finally:
+        _made.reset(token)
+        outer = _made.get()
+        for path in made:
+            if path not in kept:
+                remove(spark, path)
+            elif outer is not None:
+                outer.append(path)
+
+
 def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, sizes are known.
 
@@ -67,7 +101,9 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path  # for ``scratch``
+    return out
 
 
 def utf8(text: str = "text") -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from opsmeter.llm.common import stored
+from opsmeter.llm.common import remove, scratch, stored
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -19,6 +19,16 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Loops, repeated and reversed edges change nothing; edges with a null end are ignored.
     """
+    spark = edges.sparkSession
+    with scratch(spark) as keep:
+        placed = _contracted(edges)
+        if placed is None:
+            return spark.createDataFrame([], "id bigint, component_id bigint")
+        keep(placed)
+    return placed
+
+
+def _contracted(edges: DataFrame) -> DataFrame | None:
     spark = edges.sparkSession
     edges = stored(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -39,6 +49,8 @@ def connected(edges: DataFrame) -> DataFrame:
         above = parents.selectExpr("id AS parent", "parent AS root")
         jumped = stored(parents.join(above, "parent", "left").selectExpr(
             "id", "coalesce(root, parent) AS root"), "roots")
+        remove(spark, parents.stored_at)
+        before = [edges.stored_at, jumped.stored_at] + ([] if placed is None else [placed.stored_at])
         left = jumped.selectExpr("id AS a", "root AS new_a")
         right = jumped.selectExpr("id AS b", "root AS new_b")
         edges = stored(
@@ -56,6 +68,6 @@ def connected(edges: DataFrame) -> DataFrame:
                 "id", "coalesce(root, component_id) AS component_id"
             )
         placed = stored(placed, "placed")
-    if placed is None:
-        return spark.createDataFrame([], "id bigint, component_id bigint")
+        for path in before:  # no later round reads them
+            remove(spark, path)
     return placed

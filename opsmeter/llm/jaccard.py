@@ -17,6 +17,7 @@ from opsmeter.llm.common import (
     fresh,
     mix,
     pieces_of,
+    scratch,
     sequence_hashes,
     sorted_distinct,
     stored,
@@ -125,16 +126,10 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def similar(a: np.ndarray, b: np.ndarray, levels: np.ndarray, settings: Settings) -> bool:
-    """The remaining orders' prefix filters, all of which must pass, then the exact test."""
-    percent = settings.percent
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """The exact test."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    least = needed_in_prefix(len(a), len(b), percent)
-    for order in range(1, settings.orders):
-        left, right = (prefix(x, levels, order, percent) for x in (a, b))
-        if _common(left, right) < least:
-            return False
     shared = _common(a, b)
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
@@ -204,15 +199,14 @@ def _filter_bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place >> 3, np.left_shift(1, place & 7).astype(np.uint8)
 
 
-def _texts(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``name, text`` of the sets in ``pairs (a, b)``, read from the documents that stand for them.
-
-    A filter of fixed size, made from all their ids, spares most other texts the way into
-    the join; the join then decides.
-    """
-    spark = rows.sparkSession
+def _needed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``name, rep`` of the sets in ``pairs (a, b)``: the documents that stand for them."""
     names = pairs.selectExpr("a AS name").union(pairs.selectExpr("b AS name")).distinct()
-    needed = stored(names.join(classes.select("name", "rep"), "name"), "needed")
+    return stored(names.join(classes.select("name", "rep"), "name"), "needed")
+
+
+def _maybe(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the needed documents and few others, by a filter of fixed size over their ids."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -223,18 +217,75 @@ def _texts(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     parts = needed.select("rep").mapInArrow(mark, "table binary")
     bits = sketch.combined(parts, np.zeros(1 << (FILTER_BITS - 3), np.uint8), np.bitwise_or)
-    shared = spark.sparkContext.broadcast(bits)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, bit = _filter_bits(batch.column(0).to_numpy())
             yield batch.filter(pa.array((shared.value[at] & bit) > 0))
 
-    chosen = rows.where("doc_id IS NOT NULL").mapInArrow(choose, "doc_id bigint, text string")
-    found = chosen.join(needed, F.col("doc_id") == F.col("rep")).select("name", "text")
+    return rows.where("doc_id IS NOT NULL").mapInArrow(choose, "doc_id bigint, text string")
+
+
+def _texts(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``name, text`` of the sets in ``pairs (a, b)``, read from the documents that stand for them.
+
+    The filter spares most other texts the way into the join; the join then decides.
+    """
+    needed = _needed(pairs, classes)
+    found = _maybe(rows, needed).join(needed, F.col("doc_id") == F.col("rep")).select("name", "text")
     return stored(found, "texts")
 
 
+def _alike_in_all_orders(
+    pairs: DataFrame, rows: DataFrame, classes: DataFrame, levels, settings: Settings
+) -> DataFrame:
+    """The ``pairs (a, b)`` whose prefixes share enough tokens under each of the further orders.
+
+    The sets' prefixes come from the tasks that read their documents, under all orders at
+    once; names and tokens move, texts do not. Intersecting these filters with the first
+    order's, which made the pairs, leaves those whose texts are worth fetching.
+    """
+    percent = settings.percent
+    needed = _needed(pairs, classes)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in pieces_of(batch.column(1), BATCH_BYTES):
+                sets = shingle_sets(batch.column(1).slice(start, stop - start), settings.words)
+                columns = [[] for _ in range(settings.orders - 1)]
+                for own in sets:
+                    for order, column in enumerate(columns, 1):
+                        column.append(prefix(own, levels.value, order, percent).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(start, stop - start),
+                        pa.array([set_key(own) for own in sets], pa.int64()),
+                        pa.array([len(own) for own in sets], pa.int32()),
+                        *[pa.array(column, pa.list_(pa.int64())) for column in columns],
+                    ],
+                    ["doc_id", "own_name", "n", *names],
+                )
+
+    names = [f"prefix_{order}" for order in range(1, settings.orders)]
+    schema = ", ".join(["doc_id bigint, own_name bigint, n int", *[f"{x} array<bigint>" for x in names]])
+    # an id listed with several texts brings all of them; only the named sets count
+    found = stored(
+        _maybe(rows, needed)
+        .mapInArrow(prefixes, schema)
+        .join(needed, F.expr("doc_id = rep AND own_name = name"))
+        .select("name", "n", *names)
+        .dropDuplicates(["name"]),
+        "prefixes",
+    )
+    left = found.selectExpr("name AS a", "n", *[f"{x} AS left_{x}" for x in names])
+    right = found.selectExpr("name AS b", "n AS m", *[f"{x} AS right_{x}" for x in names])
+    alike = " AND ".join(
+        f"size(array_intersect(left_{x}, right_{x})) >= {_needed_sql('n', 'm', percent)}" for x in names
+    )
+    return stored(pairs.join(left, "a").join(right, "b").where(alike or "true").select(*pairs.columns), "alike")
+
+
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.selectExpr("name AS a", "text AS left_text")
     right = texts.selectExpr("name AS b", "text AS right_text")
@@ -255,7 +306,7 @@ def _judged(judge, settings: Settings):
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, levels, settings: Settings) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """The ``pairs (a, b)`` of set names that link, judged from the sets' texts."""
 
     def judge(names, left, right):
@@ -263,7 +314,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, levels, settings: Settings) ->
             # an id listed with several texts brings all of them; only the named sets count
             (a, b)
             for (a, b), x, y in zip(names, left, right, strict=True)
-            if set_key(x) == a and set_key(y) == b and similar(x, y, levels.value, settings)
+            if set_key(x) == a and set_key(y) == b and similar(x, y, settings.percent)
         ]
         columns = list(zip(*keep, strict=True)) or [(), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
@@ -316,7 +367,7 @@ STARS = (
 )
 
 
-def _star_differences(pairs: DataFrame, texts: DataFrame, levels, settings: Settings) -> DataFrame:
+def _star_differences(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """For pairs of a set and its centre whether they link, and how the set differs: ``STARS``."""
 
     def judge(names, left, right):
@@ -324,7 +375,7 @@ def _star_differences(pairs: DataFrame, texts: DataFrame, levels, settings: Sett
         for (a, b), x, y in zip(names, left, right, strict=True):
             if set_key(x) != a or set_key(y) != b:
                 continue
-            linked = similar(x, y, levels.value, settings)
+            linked = similar(x, y, settings.percent)
             found = difference(x, y, linked, settings.percent)
             d, added, removed = found or (0, x[:0], x[:0])
             removals = len(y) - (len(x) - len(added)) if found else 0
@@ -350,8 +401,9 @@ def similarity_components(
     ``percent`` or more; the component is the smallest id reachable by links.
 
     Linked sets share many tokens among the first few of each under any global order
-    (``needed_in_prefix``). A candidate pair must do so under all ``orders`` orders: the
-    first by a join on prefix tokens, the others before the sets are compared. All orders put
+    (``needed_in_prefix``). A candidate pair must do so under all ``orders`` orders, by names and
+    tokens alone: the first by a join on prefix tokens, the others by the prefixes of the
+    pairs that it leaves (``_alike_in_all_orders``). Only then are texts fetched. All orders put
     tokens last that many documents share (counted over all rows in a table of fixed size)
     and differ by a seeded hash.
 
@@ -369,10 +421,23 @@ def similarity_components(
     no rows.
     """
     settings = settings or Settings()
-    percent = settings.percent
     spark = docs.sparkSession
     configure(spark)
     rows = _rows(docs, doc_id, text)
+    with scratch(spark) as keep:
+        sets, placed = _placed_sets(rows, settings)
+        keep(sets, placed)
+    return sets.where("counts IS NULL").join(placed, "name", "left").selectExpr(
+        "doc_id",
+        "n AS n_shingles",
+        "IF(doc_id IS NULL OR n = 0, doc_id, component) AS component_id",
+    )
+
+
+def _placed_sets(rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The sets' names (``_name_sets``) and ``name, component`` of every set, both stored."""
+    percent = settings.percent
+    spark = rows.sparkSession
     named = stored(_name_sets(rows, settings), "sets")
     parts = named.where("counts IS NOT NULL").select("counts")
     counts = sketch.combined(parts, np.zeros(1 << COUNTER_BITS, np.uint64), np.add)
@@ -391,8 +456,12 @@ def similarity_components(
         raise ValueError("two sets share a 64-bit name")
 
     lists = _lists(_postings(rows.where("doc_id IS NOT NULL"), levels, settings))
-    centres = stored(_centres(lists, percent), "centres")
-    stars = _star_differences(centres, _texts(rows, centres, classes), levels, settings)
+    nearest = stored(_centres(lists, percent), "centres")
+    # in a crowd the differences are of use whether a set links with its centre or not
+    pairs = nearest.where("NOT in_crowd").select("a", "b")
+    pairs = _alike_in_all_orders(pairs, rows, classes, levels, settings)
+    centres = stored(pairs.union(nearest.where("in_crowd").select("a", "b")), "alike-centres")
+    stars = _star_differences(centres, _texts(rows, centres, classes), settings)
     links = stars.where("linked").selectExpr("name AS a", "centre AS b")
     labels = connected(links).withColumnRenamed("component_id", "label")
 
@@ -403,7 +472,8 @@ def similarity_components(
     candidates = stored(
         _pairs(lists, marks, percent).union(_pairs_around(stars, labels, percent)).distinct(), "candidates"
     )
-    links = links.union(_verified(candidates, _texts(rows, candidates, classes), levels, settings))
+    candidates = _alike_in_all_orders(candidates, rows, classes, levels, settings)
+    links = links.union(_verified(candidates, _texts(rows, candidates, classes), settings))
 
     reps = classes.select("name", "rep")
     ends = links.join(reps.select(F.col("name").alias("a"), F.col("rep").alias("rep_a")), "a").join(
@@ -414,11 +484,7 @@ def similarity_components(
         reps.join(reached, "rep", "left").selectExpr("name", "coalesce(component_id, rep) AS component"),
         "placed",
     )
-    return sets.join(placed, "name", "left").selectExpr(
-        "doc_id",
-        "n AS n_shingles",
-        "IF(doc_id IS NULL OR n = 0, doc_id, component) AS component_id",
-    )
+    return named, placed
 
 
 def without_near_copies(
@@ -485,7 +551,7 @@ def _centres(lists: DataFrame, percent: int) -> DataFrame:
     """For each set the centre it shares most prefix tokens with: at most one pair a set.
 
     Pairs that share too few tokens to link are left out, unless ``CROWD`` sets or more share
-    tokens with that centre: then knowing how a set differs spares it all their pairs.
+    tokens with that centre (``in_crowd``): then knowing how a set differs spares it all their pairs.
     """
     counted = stored(
         lists.where(f"name <> centre AND {_size_sql('n', 'centre_n', percent)}")
@@ -493,14 +559,16 @@ def _centres(lists: DataFrame, percent: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("tokens")),
         "counted",
     )
-    crowds = counted.groupBy("centre").count().where(f"count >= {CROWD}").select("centre")
-    enough = counted.where(f"tokens >= {_needed_sql('n', 'centre_n', percent)}")
+    crowds = counted.groupBy("centre").count().where(f"count >= {CROWD}").selectExpr("centre AS crowded")
+    known = counted.join(crowds, F.expr("centre = crowded"), "left").selectExpr(
+        "name", "n", "centre", "centre_n", "tokens", "crowded IS NOT NULL AS in_crowd"
+    )
     best = (
-        enough.union(counted.join(crowds, "centre", "left_semi").select(counted.columns))
+        known.where(f"in_crowd OR tokens >= {_needed_sql('n', 'centre_n', percent)}")
         .groupBy("name")
-        .agg(F.max(F.struct("tokens", "centre")).alias("best"))
+        .agg(F.max(F.struct("tokens", "centre", "in_crowd")).alias("best"))
     )
-    return best.selectExpr("name AS a", "best.centre AS b")
+    return best.selectExpr("name AS a", "best.centre AS b", "best.in_crowd AS in_crowd")
 
 
 def _pairs(lists: DataFrame, marks: DataFrame, percent: int) -> DataFrame:

@@ -228,7 +228,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.string(),
                  pa.int32(), pa.int64()]
         first = TaskContext.get().partitionId() << 24
-        numbers, learnt, block = _Numbers(), [], first
+        # how often each word was learnt grows with the dictionary, not with the documents
+        numbers, learnt, block = _Numbers(), np.zeros(1 << 16, np.int64), first
 
         def batch_of(**columns) -> pa.RecordBatch:
             size = len(next(iter(columns.values())))
@@ -240,15 +241,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             words = list(numbers)
-            train = np.zeros(len(words), np.int64)
-            for places, times in learnt:
-                train[places] += times
             for start in range(0, len(words), 10_000):
                 some = words[start : start + 10_000]
                 yield batch_of(
                     block=np.full(len(some), block), word=[w.decode() for w in some],
                     number=np.arange(start, start + len(some), dtype=np.int32),
-                    train=train[start : start + len(some)],
+                    train=learnt[start : start + len(some)],
                 )
 
         for batch in batches:
@@ -260,15 +258,17 @@ def _blocks(rows: DataFrame) -> DataFrame:
                     found = np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))
                     places, times = np.unique(found, return_counts=True)
                     times = times.astype(np.uint32)
+                    if len(learnt) < len(numbers):
+                        learnt = np.concatenate((learnt, np.zeros(max(len(learnt), len(numbers)), np.int64)))
                     if not held[i]:
-                        learnt.append((places, times))
+                        learnt[places] += times
                     row = block, ids[i], held[i], len(words) + 1, places.tobytes(), times.tobytes()
                     for column, value in zip(out.values(), row, strict=True):
                         column.append(value)
                 yield batch_of(**out)
                 if len(numbers) >= BLOCK_WORDS:
                     yield from dictionary()
-                    numbers, learnt, block = _Numbers(), [], block + 1
+                    numbers, learnt, block = _Numbers(), np.zeros(1 << 16, np.int64), block + 1
         if numbers:
             yield from dictionary()
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsmeter.llm.common import stored, utf8
+from opsmeter.llm.common import scratch, stored, utf8
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 # rows of one source that one task sorts
@@ -176,6 +176,13 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def plan(sizes: DataFrame, recipe: Recipe) -> DataFrame:
     """``targets`` with ``ends``: of each source's positions, where each shard's range ends; stored."""
+    with scratch(sizes.sparkSession) as keep:
+        sources = _planned(sizes, recipe)
+        keep(sources)
+    return sources
+
+
+def _planned(sizes: DataFrame, recipe: Recipe) -> DataFrame:
     sources = stored(targets(sizes, recipe), "targets")
     quotas = sources.selectExpr(
         "transform(array_sort(collect_list(struct(src, quota))), x -> x.quota) AS quotas"

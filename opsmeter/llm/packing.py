@@ -185,14 +185,54 @@ def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndar
     return bins, offsets
 
 
+def best_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each piece, longest first, each into the tightest gap that holds it."""
+    bins_of: list[list[int]] = [[] for _ in range(limit + 1)]
+    counts = np.zeros(limit + 1, np.int64)
+    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    made = 0
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n = int(lengths[i])
+        gap = n + int((counts[n:] > 0).argmax())
+        if counts[gap]:
+            place = bins_of[gap].pop()
+            counts[gap] -= 1
+        else:
+            gap, place, made = limit, made, made + 1
+        bins[i], offsets[i] = place, limit - gap
+        if gap > n:
+            bins_of[gap - n].append(place)
+            counts[gap - n] += 1
+    return bins, offsets
+
+
+def reseated(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum-of-squares places, with the bins that the rule left open packed once more.
+
+    The rule fills most bins to the last place by keeping gaps of all sizes open for pieces
+    that may come. At the end none comes, and gaps are left over. The pieces of these open bins go
+    into the tightest gaps instead, if that needs fewer bins; full bins stay as they are.
+    """
+    fill = np.bincount(bins, lengths)
+    is_open = fill < limit
+    chosen = np.flatnonzero(is_open[bins])
+    again, at = best_fit(lengths[chosen], limit)
+    if not len(chosen) or again.max() + 1 >= is_open.sum():
+        return bins, offsets
+    full = np.cumsum(~is_open) - 1  # full bins come first, in their order
+    bins, offsets = full[bins], offsets.copy()
+    bins[chosen], offsets[chosen] = again + (~is_open).sum(), at
+    return bins, offsets
+
+
 def packed(pieces: DataFrame, limit: int = 2048, block: int = BLOCK_PIECES) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``, their place in sequences of ``limit`` ids.
 
     The pieces are dealt by a hash of all their columns but the ids into blocks of about
     ``block``; equal rows are counted first and dealt out in turn from there, so neither null
     nor repeated ids gather in a block. One task packs one block, holding its lengths only,
-    and numbers its sequences by itself. So no task grows with the input, and each block
-    ends with few sequences that are not full. Places do not depend on the order of rows.
+    places them (``sum_of_squares``, then ``reseated``) and numbers its sequences by itself. So no
+    task grows with the input, and each block ends with few sequences that are not full. Places do not depend on the order of rows.
     ``pieces`` must be a stored table: it is counted and then read again.
     """
     blocks = max(1, -(-pieces.count() // block))
@@ -209,7 +249,8 @@ def packed(pieces: DataFrame, limit: int = 2048, block: int = BLOCK_PIECES) -> D
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([(name, "ascending") for name in keys])
         table = table.take(pa.array(np.repeat(np.arange(len(table)), table["share"].to_numpy())))
-        bins, offsets = sum_of_squares(table["length"].to_numpy(), limit)
+        lengths = table["length"].to_numpy()
+        bins, offsets = reseated(lengths, *sum_of_squares(lengths, limit), limit)
         base = table["block"][0].as_py() << 32
         return table.select(columns).append_column("sequence_id", pa.array(bins + base)).append_column(
             "offset", pa.array(offsets)

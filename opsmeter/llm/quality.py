@@ -17,12 +17,17 @@ BATCH_BYTES = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """How the classifier is fitted; ``sample`` bounds the rows it learns from."""
+    """How the classifier is fitted; ``sample`` bounds the rows it learns from.
+
+    Few rows are gone through more often: until a pass lowers the mean loss of its rows, each
+    before the model learns it, by less than the share ``settled``, or ``epochs`` passes.
+    """
 
     bits: int = 18  # of the hashed weights
     orders: tuple[int, ...] = (1, 2)  # words per n-gram
     sample: int = 12_000  # labelled rows at most, about
-    epochs: int = 2
+    epochs: int = 40
+    settled: float = 0.05
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 0.01
@@ -78,13 +83,26 @@ class Ftrl:
         shrunk = np.sign(z) * np.maximum(np.abs(z) - s.l1, 0)
         return -shrunk / ((s.beta + np.sqrt(n)) / s.alpha + s.l2)
 
-    def learn(self, places: np.ndarray, values: np.ndarray, label: int) -> None:
+    def learn(self, places: np.ndarray, values: np.ndarray, label: int) -> float:
+        """One step; the row's loss before it."""
         weights = self.weights(places)
-        gradient = (sigmoid(weights @ values) - label) * values
+        margin = float(weights @ values)
+        gradient = (sigmoid(margin) - label) * values
         n = self.n[places]
         step = (np.sqrt(n + gradient * gradient) - np.sqrt(n)) / self.settings.alpha
         self.z[places] += gradient - step * weights
         self.n[places] = n + gradient * gradient
+        return float(np.logaddexp(0, -margin if label else margin))
+
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> int:
+        """Go through the rows until the loss settles; how many passes it took."""
+        before = np.inf
+        for done in range(1, self.settings.epochs + 1):
+            loss = sum(self.learn(*row) for row in rows) / max(1, len(rows))
+            if loss > (1 - self.settings.settled) * before:
+                return done
+            before = loss
+        return self.settings.epochs
 
 
 def fit(rows: DataFrame, known: DataFrame, settings: Settings) -> np.ndarray:
@@ -114,9 +132,7 @@ def fit(rows: DataFrame, known: DataFrame, settings: Settings) -> np.ndarray:
             order.append(batch.column(0).to_numpy())
         model = Ftrl(settings)
         by_hash = np.argsort(np.concatenate(order), kind="stable") if order else []
-        for _ in range(settings.epochs):
-            for i in by_hash:
-                model.learn(*data[i])
+        model.fit([data[i] for i in by_hash])
         weights = model.weights().astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
 

@@ -223,6 +223,29 @@ def test_sum_of_squares_rule(seed):
     assert sorted((16 - fill).tolist()) == slow_sum_of_squares(lengths.tolist(), 16)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_open_bins_are_packed_once_more(seed):
+    rng = np.random.default_rng(seed)
+    limit = int(rng.integers(5, 60))
+    lengths = rng.integers(1, limit + 1, int(rng.integers(1, 400)))
+    before, at = packing.sum_of_squares(lengths, limit)
+    bins, offsets = packing.reseated(lengths, before, at, limit)
+    assert sorted(set(bins)) == list(range(bins.max() + 1)) and bins.max() <= before.max()
+    for b in range(bins.max() + 1):
+        own = np.flatnonzero(bins == b)
+        own = own[np.argsort(offsets[own])]
+        assert offsets[own].tolist() == [0, *np.cumsum(lengths[own])[:-1]] and lengths[own].sum() <= limit
+    # what the rule filled stays as it is
+    full = [frozenset(np.flatnonzero(before == b)) for b in np.flatnonzero(np.bincount(before, lengths) == limit)]
+    assert set(full) <= {frozenset(np.flatnonzero(bins == b)) for b in range(bins.max() + 1)}
+
+
+def test_packing_is_near_the_bound(spark):
+    rows = queries.op4_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
+    bound = -(-sum(r.length for r in rows) // 2048)
+    assert len({r.sequence_id for r in rows}) <= bound + 1
+
+
 # --- sharding ---
 
 
