@@ -24,7 +24,13 @@ def main() -> None:
     sales_job.add_argument("--source-format", default="parquet")
     for job in (ticket_job, quality_job):
         job.add_argument(
-            "--single-line", action="store_true", help="no quoted line breaks: large files are split"
+            "--single-line", action="store_true", help="no quoted line breaks: spares the look for them"
+        )
+        job.add_argument(
+            "--bad-share",
+            type=float,
+            default=None,
+            help="go on without records whose cells do not fit, up to this share of an input",
         )
     for job in (ticket_job, quality_job, sales_job):
         job.add_argument("target")
@@ -32,8 +38,9 @@ def main() -> None:
     args = parser.parse_args()
 
     spark = build_session()
+    multi_line = False if getattr(args, "single_line", False) else None
     if args.job == "tickets":
-        runs.run_tickets(spark, args.source, args.target, args.format, not args.single_line)
+        runs.run_tickets(spark, args.source, args.target, args.format, multi_line, args.bad_share)
     elif args.job == "quality":
         # one moment for the whole run
         as_of = args.as_of or datetime.now()
@@ -44,7 +51,8 @@ def main() -> None:
             args.target,
             as_of,
             args.format,
-            not args.single_line,
+            multi_line,
+            args.bad_share,
         )
     else:
         star = read_star(spark, args.source, args.source_format)

@@ -48,12 +48,14 @@ def irregular_matches(fact: DataFrame, key: str, dimension: DataFrame) -> DataFr
     A fact that needs nothing from a dimension but the inner join's effect can be
     weighed by this small frame instead of being shuffled to meet the dimension.
     """
-    wanted = fact.selectExpr(f"{key} AS odd_key").where("odd_key IS NOT NULL").distinct()
-    known = dimension.selectExpr(f"{key} AS known_key").groupBy("known_key").agg(
-        F.expr("count(1) AS copies")
-    )
+    # both sides in one shuffle: counts per key, summed where they are first
+    wanted = fact.selectExpr(f"{key} AS odd_key", "true AS is_wanted", "0L AS matches")
+    known = dimension.selectExpr(f"{key} AS odd_key", "false AS is_wanted", "1L AS matches")
     return (
-        wanted.join(known, F.expr("odd_key = known_key"), "left")
-        .selectExpr("odd_key", "coalesce(copies, 0) AS matches")
-        .where("matches <> 1")
+        wanted.unionByName(known)
+        .where("odd_key IS NOT NULL")
+        .groupBy("odd_key")
+        .agg(F.max("is_wanted").alias("is_wanted"), F.sum("matches").alias("matches"))
+        .where("is_wanted AND matches <> 1")
+        .select("odd_key", "matches")
     )

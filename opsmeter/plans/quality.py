@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from opsmeter.functions.numbers import (
@@ -286,17 +286,50 @@ def record_status(flagged: DataFrame, checks: Checks) -> DataFrame:
 # --- counts of one pass ------------------------------------------------------
 
 
-def counts(flagged: DataFrame, checks: Checks) -> DataFrame:
-    """One row: rows, failures of each rule, repeated keys, filled cells per required column.
+def _count_columns(checks: Checks) -> tuple[list[str], list[str]]:
+    """What to count over the rows, and what follows from these counts.
 
-    Scorecard, failure rates, top rules and severities all follow from it.
+    A cell is filled unless its column's ``not_null`` rule fires, so only the other columns are
+    looked at twice: the pass over the rows has to stay below the 8,000 bytes of a
+    generated method that the JVM compiles.
     """
-    return flagged.selectExpr(
+    missing = {rule.column: i for i, rule in enumerate(checks.rules) if rule.name == "not_null"}
+    counted = [
         "count(1) AS `rows`",
         *[f"count_if({rule.fires}) AS failed_{i}" for i, rule in enumerate(checks.rules)],
         f"count_if({REPEATED}) AS repeated",
-        *[f"count_if(NOT {is_blank(c)}) AS filled_{c}" for c in checks.required],
-    )
+        *[f"count_if(NOT {is_blank(c)}) AS filled_{c}" for c in checks.required if c not in missing],
+    ]
+    follows = [f"`rows` - failed_{missing[c]} AS filled_{c}" for c in checks.required if c in missing]
+    return counted, follows
+
+
+def counts(flagged: DataFrame, checks: Checks) -> DataFrame:
+    """One row: rows, failures of each rule, repeated keys, filled cells per required column.
+
+    Scorecard, failure rates, top rules and severities all follow from it.
+    """
+    counted, follows = _count_columns(checks)
+    return flagged.selectExpr(*counted).selectExpr("*", *follows)
+
+
+class Watched:
+    """Flagged rows that are counted while something else is written from them.
+
+    ``rows`` passes the flagged rows on; once an action has read all of them without a
+    shuffle in between, ``counts`` is the row that the function of that name gives, at
+    no further pass. Spark counts each task of that action once, however often it was tried.
+    """
+
+    def __init__(self, flagged: DataFrame, checks: Checks):
+        self._seen = Observation()
+        counted, self._follows = _count_columns(checks)
+        self.rows = flagged.observe(self._seen, *[F.expr(c) for c in counted])
+
+    def counts(self) -> DataFrame:
+        seen = self._seen.get
+        columns = ", ".join(f"{value}L AS `{name}`" for name, value in seen.items())
+        return self.rows.sparkSession.sql(f"SELECT {columns}").selectExpr("*", *self._follows)
 
 
 def failure_rates(counted: DataFrame, checks: Checks) -> DataFrame:

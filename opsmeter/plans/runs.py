@@ -2,7 +2,11 @@
 
 What several outputs need is stored once in the shared folder (``stage``), so the
 big shuffles of a run happen once; the run removes it at its end. ``fmt`` is a file format for ``target`` as a
-folder, or ``table`` for ``target`` as a database.
+folder, or ``table`` for ``target`` as a database. A run's tables appear together at its end
+(``Release``); ``read_result`` reads them.
+
+``bad_share`` lets a run go on without the CSV records whose cells do not fit, if no more than
+that share of an input is bad; they go to ``_quarantine/<input>`` below the target folder.
 """
 
 from __future__ import annotations
@@ -15,21 +19,30 @@ from opsmeter.operators.keys import repeated_keys
 from opsmeter.operators.staging import stage, staging_area
 from opsmeter.plans import quality, sales, tickets
 from opsmeter.plans.sales import Star
-from opsmeter.sources.sinks import save, save_report
-from opsmeter.sources.text import read_records, read_tickets
+from opsmeter.sources.sinks import Release
+from opsmeter.sources.text import Quarantine, read_records, read_tickets
+
+
+def _quarantine(release: Release, name: str, bad_share: float | None) -> Quarantine | None:
+    return None if bad_share is None else Quarantine(f"{release.root}/_quarantine/{name}", bad_share)
 
 
 def run_tickets(
-    spark: SparkSession, source: str, target: str, fmt: str = "parquet", multi_line: bool = True
+    spark: SparkSession,
+    source: str,
+    target: str,
+    fmt: str = "parquet",
+    multi_line: bool | None = None,
+    bad_share: float | None = None,
 ) -> None:
     """CSV of raw tickets -> clean and rejected tickets and five KPI tables."""
-    with staging_area(spark):
-        raw = read_tickets(spark, source, multi_line)
+    with staging_area(spark), Release(spark, target, fmt) as release:
+        raw = read_tickets(spark, source, multi_line, _quarantine(release, "tickets", bad_share))
         deduplicated = stage(tickets.deduplicate(raw))
         repeated = stage(repeated_keys(deduplicated, "ticket_id"))
         prepared = tickets.flag_repeated_ids(deduplicated, repeated)
-        save(tickets.clean(prepared), target, "tickets_clean", fmt)
-        save(tickets.rejected(prepared), target, "tickets_rejected", fmt)
+        release.save(tickets.clean(prepared), "tickets_clean")
+        release.save(tickets.rejected(prepared), "tickets_rejected")
         sums = stage(tickets.measures(deduplicated))
         reports = {
             "kpi_overall": tickets.kpi_overall(stage(tickets.cycle_counts(deduplicated))),
@@ -39,7 +52,7 @@ def run_tickets(
             "kpi_bottlenecks": tickets.bottlenecks(sums),
         }
         for name, report in reports.items():
-            save_report(report, target, name, fmt)
+            release.save_report(report, name)
 
 
 def run_quality(
@@ -49,30 +62,33 @@ def run_quality(
     target: str,
     as_of: datetime,
     fmt: str = "parquet",
-    multi_line: bool = True,
+    multi_line: bool | None = None,
+    bad_share: float | None = None,
 ) -> None:
     """CSVs of customers and transactions -> violation log, scorecard, record status, breakdowns."""
-    with staging_area(spark):
-        people = read_records(spark, customers, multi_line)  # stored by the numbering
-        payments = read_records(spark, transactions, multi_line)
+    with staging_area(spark), Release(spark, target, fmt) as release:
+        # stored by the numbering
+        people = read_records(spark, customers, multi_line, _quarantine(release, "customers", bad_share))
+        payments = read_records(spark, transactions, multi_line, _quarantine(release, "transactions", bad_share))
         repeated = stage(quality.faulty_customer_keys(people))
         faulty = stage(quality.faulty_transaction_keys(payments, people))
         checked = [
             (quality.flag_customers(people, repeated), quality.customer_checks(as_of)),
             (quality.flag_transactions(payments, people, faulty), quality.transaction_checks(as_of)),
         ]
-        # three passes over the rows: the log, the status, and counts for all else
+        # two passes over the rows: the log, and the status, which counts for all else on its way
         log = quality.combined(*[quality.issues(*table) for table in checked])
-        status = quality.combined(*[quality.record_status(*table) for table in checked])
-        counted = [(stage(quality.counts(*table)), table[1]) for table in checked]
+        watched = [(quality.Watched(*table), table[1]) for table in checked]
+        status = quality.combined(*[quality.record_status(table.rows, checks) for table, checks in watched])
+        release.save(log, "dq_issues")
+        release.save(status, "dq_record_status")
+        counted = [(table.counts(), checks) for table, checks in watched]
         rates = quality.combined(*[quality.failure_rates(*table) for table in counted])
         card = quality.scorecard(*[quality.table_summary(*table) for table in counted])
-        save(log, target, "dq_issues", fmt)
-        save(status, target, "dq_record_status", fmt)
-        save_report(card, target, "dq_summary", fmt)
-        save_report(rates, target, "dq_failure_rates", fmt)
-        save_report(quality.top_rules(rates), target, "dq_top_rules", fmt)
-        save_report(quality.issues_by_severity(rates), target, "dq_issues_by_severity", fmt)
+        release.save_report(card, "dq_summary")
+        release.save_report(rates, "dq_failure_rates")
+        release.save_report(quality.top_rules(rates), "dq_top_rules")
+        release.save_report(quality.issues_by_severity(rates), "dq_issues_by_severity")
 
 
 def register_views(star: Star) -> None:
@@ -86,7 +102,8 @@ def register_views(star: Star) -> None:
 def run_sales(star: Star, target: str, fmt: str = "parquet") -> None:
     """Star schema -> views, six KPI tables and two cohort tables."""
     register_views(star)
-    with staging_area(star.fact_orders.sparkSession):
+    spark = star.fact_orders.sparkSession
+    with staging_area(spark), Release(spark, target, fmt) as release:
         orders = stage(sales.orders_enriched(star))
         returns = stage(sales.returns_enriched(star, orders))
         # one look at the ids spares every KPI a shuffle by order
@@ -94,7 +111,7 @@ def run_sales(star: Star, target: str, fmt: str = "parquet") -> None:
         odd_products = stage(sales.odd_products(star))
         odd_orders = stage(sales.odd_orders(star, orders))
         per_order = stage(sales.order_sales(star, orders, unique, odd_products))
-        save(sales.customer_first_order(orders), target, "customer_first_order", fmt)
+        release.save(sales.customer_first_order(orders), "customer_first_order")
         reports = {
             "kpi_monthly": sales.kpi_monthly(per_order, returns, unique).orderBy("order_month"),
             "kpi_by_region": sales.kpi_by_region(per_order, unique).orderBy("region"),
@@ -105,7 +122,7 @@ def run_sales(star: Star, target: str, fmt: str = "parquet") -> None:
             "customer_cohorts": sales.customer_cohorts(orders),
         }
         for name, report in reports.items():
-            save_report(report, target, name, fmt)
+            release.save_report(report, name)
 
 
 def sanity_checks(star: Star, target: str, fmt: str = "parquet") -> None:
@@ -115,5 +132,6 @@ def sanity_checks(star: Star, target: str, fmt: str = "parquet") -> None:
         "order_date_range": sales.order_date_range(star),
         "order_null_audit": sales.order_null_audit(star),
     }
-    for name, report in reports.items():
-        save_report(report, target, name, fmt)
+    with Release(star.fact_orders.sparkSession, target, fmt) as release:
+        for name, report in reports.items():
+            release.save_report(report, name)

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsmeter.operators.staging import session_area
-from opsmeter.plans import runs, sales
-from opsmeter.sources.sinks import CSV_OPTIONS, save_report
+from opsmeter.plans import quality, runs, sales
+from opsmeter.sources.sinks import CSV_OPTIONS, Release, read_result
 from opsmeter.sources.star import COLUMNS, read_star
-from opsmeter.sources.text import read_records, read_tickets
+from opsmeter.sources.text import Quarantine, read_records, read_tickets
 from testbed import frames
 
 
@@ -71,15 +71,54 @@ def star(spark: SparkSession, folder: str) -> sales.Star:
     return read_star(spark, path, "csv")
 
 
+def quarantined(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as lines, some with a cell too many: those in quarantine, and how many are left.
+
+    ``record`` is the bad record's text, ``ids_left`` the number of ids among the others.
+    """
+    path = _new_folder(spark, "flawed")
+    raw = frames.customers_raw(spark, folder)
+    names = [c for c in raw.columns if c != "row_id"]
+    cells = ", ".join(f"coalesce({c}, '')" for c in names)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = raw.selectExpr(
+        f"cast(pmod(row_id, {parts}) AS INT) AS file",
+        "row_id",
+        f"concat(concat_ws(',', {cells}), IF(row_id % 97 = 0, ',one more', '')) AS line",
+    )
+    headers = lines.select("file").distinct().selectExpr("file", "-1L AS row_id", f"'{','.join(names)}' AS line")
+    # a file's rows lie in one partition, the header before them
+    ordered = headers.union(lines).repartition(parts, "file").sortWithinPartitions("file", "row_id")
+    ordered.select("file", "line").write.partitionBy("file").text(path)
+    quarantine = Quarantine(f"{path}-bad", allowed=0.05)
+    left = read_records(spark, f"{path}/file=*", quarantine=quarantine)
+    bad = spark.read.parquet(quarantine.folder)
+    return bad.select(
+        F.col("text").alias("record"), left.agg(F.expr("count(customer_id) AS n")).scalar().alias("ids_left")
+    )
+
+
 def saved(df: DataFrame, name: str, fmt: str) -> DataFrame:
-    """``df`` written as a result table and read again."""
+    """``df`` released as a result table and read again."""
     spark = df.sparkSession
-    folder = _new_folder(spark, "results")
-    for _ in range(2):  # a second run replaces the first
-        save_report(df, folder, name, fmt)
-    if fmt == "csv":
-        return spark.read.options(header=True, escape='"').schema(df.schema).csv(f"{folder}/{name}")
-    return spark.read.format(fmt).load(f"{folder}/{name}")
+    target = _new_folder(spark, "results")
+    if fmt == "table":
+        folder, target = target, f"results_{uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {target} LOCATION '{folder}'")
+    for n in range(2):  # a second run replaces the first
+        with Release(spark, target, fmt) as release:
+            release.save_report(df if n else df.limit(1), name)
+    return spark.table(f"{target}.{name}") if fmt == "table" else read_result(spark, target, name, fmt, df.schema)
+
+
+def watched_scorecard(tables: list[tuple[DataFrame, quality.Checks]]) -> DataFrame:
+    """The scorecard from counts taken while the record status was written."""
+    spark = tables[0][0].sparkSession
+    watched = [(quality.Watched(*table), table[1]) for table in tables]
+    status = quality.combined(*[quality.record_status(w.rows, checks) for w, checks in watched])
+    with Release(spark, _new_folder(spark, "status")) as release:
+        release.save(status, "dq_record_status")
+    return quality.scorecard(*[quality.table_summary(w.counts(), checks) for w, checks in watched])
 
 
 def view_counts(spark: SparkSession, folder: str) -> DataFrame:

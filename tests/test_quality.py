@@ -11,6 +11,7 @@ AS_OF = datetime(2024, 1, 1)
 PEOPLE = "row_id BIGINT, customer_id STRING, email STRING, signup_date STRING, country STRING, status STRING"
 PAYMENTS = """row_id BIGINT, transaction_id STRING, customer_id STRING, transaction_date STRING,
               amount STRING, currency STRING, channel STRING"""
+# The rules' names, severities and texts that the tests below expect.
 CUSTOMERS = quality.customer_checks(AS_OF)
 TRANSACTIONS = quality.transaction_checks(AS_OF)
 
@@ -193,3 +194,29 @@ def test_as_of_and_dates_with_offsets(spark):
     checks = quality.customer_checks(datetime(2023, 1, 1, 9, 59, 59, tzinfo=five_hours_east))
     found = quality.issues(quality.flag_customers(people), checks).collect()
     assert sorted((r.record_id, r.rule) for r in found) == [("C1", "not_future"), ("C2", "not_future")]
+
+
+def largest_method(spark, frame):
+    """Bytes of the largest generated method of a plan; the JVM interprets those over 8,000."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "false")
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        stages = debug.codegenStringSeq(frame._jdf.queryExecution().executedPlan())
+        return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_passes_over_the_rows_are_compiled(spark, folder):
+    name = "spark.sql.adaptive.enabled"
+    spark.conf.set(name, "false")  # plans are made once
+    try:
+        people, payments = frames.customers_raw(spark, folder), frames.transactions_raw(spark, folder)
+        tables = [(quality.flag_customers(people), CUSTOMERS), (quality.flag_transactions(payments, people), TRANSACTIONS)]
+        for job in (quality.counts, quality.issues, quality.record_status):
+            for table in tables:
+                assert largest_method(spark, job(*table)) < 8000
+    finally:
+        spark.conf.set(name, "true")
