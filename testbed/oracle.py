@@ -633,9 +633,48 @@ SQL = {
     "csv_kpi_monthly": _with(_VIEWS, _MONTHLY),
     "saved_kpi_by_region": _with(_VIEWS, _sales_kpi("rep_region", "region")),
     "saved_kpi_by_region_csv": _with(_VIEWS, _sales_kpi("rep_region", "region")),
+    "saved_kpi_by_region_table": _with(_VIEWS, _sales_kpi("rep_region", "region")),
+    "csv_quarantine": _with(
+        ["fx_customers_raw"],
+        """SELECT coalesce(customer_id, '') || ',' || coalesce(email, '') || ',' ||
+                  coalesce(signup_date, '') || ',' || coalesce(country, '') || ',' ||
+                  coalesce(status, '') || ',one more' AS record,
+                  (SELECT count(customer_id) FROM fx_customers_raw WHERE row_id % 97 <> 0) AS ids_left
+           FROM fx_customers_raw WHERE row_id % 97 = 0""",
+    ),
+    "dq_scorecard_watched": _with(
+        _CARDS + ["overall_card"],
+        """SELECT * FROM overall_card
+           UNION ALL BY NAME SELECT * FROM customer_card
+           UNION ALL BY NAME SELECT * FROM transaction_card""",
+    ),
+    "dq_repeated_keys_by_load": _with(
+        ["fx_transactions_raw"],
+        """SELECT transaction_id FROM fx_transactions_raw
+           GROUP BY transaction_id HAVING count(*) > 1""",
+    ),
+    "reach_by_grain": _with(
+        _VIEWS,
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS grain, {grain} AS value, count(DISTINCT order_id) AS orders,
+                       count(DISTINCT customer_id) AS customers FROM v_orders GROUP BY {grain}"""
+            for name, grain in {
+                "month": "order_month",
+                "quarter": "order_month[:4] || '-Q' || CAST((CAST(order_month[6:] AS INT) + 2) // 3 AS VARCHAR)",
+                "region": "rep_region",
+                "channel": "channel",
+            }.items()
+        ),
+    ),
     "view_orders_by_segment": _with(
         _VIEWS,
         """SELECT o.segment, count(DISTINCT o.order_id) AS orders, count(r.return_id) AS returns
            FROM v_orders o LEFT JOIN v_returns r ON r.order_id = o.order_id GROUP BY o.segment""",
     ),
 }
+
+# the same results by other ways
+SQL |= {
+    "customer_cohorts_by_load": SQL["customer_cohorts"],
+    "order_items_bucketed": SQL["order_items_enriched"],
+}
