@@ -20,14 +20,15 @@ class Settings:
     """How the classifier is fitted; ``sample`` bounds the rows it learns from.
 
     Few rows are gone through more often: until a pass lowers the mean loss of its rows, each
-    before the model learns it, by less than the share ``settled``, or ``epochs`` passes.
+    before the model learns it, by less than the share ``settled``, or ``steps`` rows have
+    been learnt from; two passes at least.
     """
 
     bits: int = 18  # of the hashed weights
     orders: tuple[int, ...] = (1, 2)  # words per n-gram
     sample: int = 12_000  # labelled rows at most, about
-    epochs: int = 40
-    settled: float = 0.05
+    steps: int = 24_000
+    settled: float = 0.02
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 0.01
@@ -96,13 +97,14 @@ class Ftrl:
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]]) -> int:
         """Go through the rows until the loss settles; how many passes it took."""
-        before = np.inf
-        for done in range(1, self.settings.epochs + 1):
-            loss = sum(self.learn(*row) for row in rows) / max(1, len(rows))
-            if loss > (1 - self.settings.settled) * before:
-                return done
+        before, done = np.inf, 0
+        while rows and (done < 2 or (done + 1) * len(rows) <= self.settings.steps):
+            loss = sum(self.learn(*row) for row in rows) / len(rows)
+            done += 1
+            if loss > (1 - self.settings.settled) * before and done > 1:
+                break
             before = loss
-        return self.settings.epochs
+        return done
 
 
 def fit(rows: DataFrame, known: DataFrame, settings: Settings) -> np.ndarray:

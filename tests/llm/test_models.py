@@ -246,6 +246,25 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean(right) > 0.93 and np.mean(good) > 0.98 and np.mean(bad) > 0.6
 
 
+def test_few_labels_are_learnt_too(spark):
+    """A few hundred labels: passes go on until the loss settles, and held-out bad rows are found."""
+    folder = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r.predicted for r in queries.op3_quality_classifier(spark, folder).collect()}
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [d for d in truth if zlib.crc32(str(d).encode()) % 5 == 0]
+    assert np.mean([rows[d] for d in held if truth[d] == 1]) > 0.98
+    assert np.mean([1 - rows[d] for d in held if truth[d] == 0]) > 0.25
+
+
+def test_passes_end():
+    places, values = np.array([0, 1]), np.ones(2)
+    rows = [(places, values, 1), (np.array([0, 2]), values, 0)]
+    assert quality.Ftrl(quality.Settings(bits=2)).fit([]) == 0
+    assert quality.Ftrl(quality.Settings(bits=2, steps=0)).fit(rows) == 2
+    assert 2 < quality.Ftrl(quality.Settings(bits=2, steps=14, settled=0.0)).fit(rows) <= 7
+    assert quality.Ftrl(quality.Settings(bits=2)).fit(rows) < 12_000
+
+
 def test_quality_never_reads_held_out_labels(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
     held = "pmod(crc32(cast(cast(doc_id AS STRING) AS BINARY)), 5) = 0"
