@@ -9,7 +9,7 @@ from testbed import compare
 
 def test_all_operators_are_registered():
     numbers = [name.split("_")[0] for name in entry.queries() if name.startswith("op")]
-    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(numbers) == sorted(f"op{n}" for n in range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", SQL)
