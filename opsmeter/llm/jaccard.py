@@ -333,14 +333,14 @@ def _partner_sizes(n: int, percent: int) -> np.ndarray:
 
 
 def difference(own: np.ndarray, centre: np.ndarray, linked: bool, percent: int) -> tuple | None:
-    """How a set differs from its centre: ``(tokens, added, removed)``, or None if too much.
+    """How a set differs from its centre: ``(tokens, added, removed, spare)``, or None if too much.
 
     ``tokens`` is the size ``d`` of the difference, ``added`` all tokens that the centre lacks.
     Sets ``x`` and ``y`` with one centre differ by ``d_x + d_y`` less twice what their
     differences share. If ``x`` does not link with the centre, ``x`` and ``y`` can only link
-    if the differences share ``k = (d_x + d_y - allowed) / 2`` tokens: an added one,
-    or else ``k`` removed ones. ``removed`` is then the part of them, in a seeded order, of
-    which one must be shared: all but the least ``k``, less one.
+    if the differences share ``k = (d_x + d_y - allowed) / 2`` tokens. In any order that all
+    sets use, one of these is not among the last ``spare`` of the difference: the least
+    ``k``, less one. ``removed`` are those that only the centre has, in a seeded order.
 
     None where no such ``k`` is certain, and for sets that are not near their centre.
     """
@@ -356,14 +356,12 @@ def difference(own: np.ndarray, centre: np.ndarray, linked: bool, percent: int)
         if (_allowed(n, sizes, percent) - np.abs(sizes - m)).max() >= d:
             return None
         least = d - int(_allowed(n, sizes, percent).max())
-    kept = max(0, len(removed) - max(1, least) + 1)
-    first = removed[np.argsort(mix(removed, 200), kind="stable")[:kept]]
-    return d, added, first
+    return d, added, removed[np.argsort(mix(removed, 200), kind="stable")], max(1, least) - 1
 
 
 STARS = (
     "name bigint, centre bigint, linked boolean, near boolean, n bigint, d bigint, "
-    "removals bigint, added array<bigint>, removed array<bigint>"
+    "spare bigint, added array<bigint>, removed array<bigint>"
 )
 
 
@@ -377,9 +375,8 @@ def _star_differences(pairs: DataFrame, texts: DataFrame, settings: Settings) ->
                 continue
             linked = similar(x, y, settings.percent)
             found = difference(x, y, linked, settings.percent)
-            d, added, removed = found or (0, x[:0], x[:0])
-            removals = len(y) - (len(x) - len(added)) if found else 0
-            rows.append((a, b, linked, bool(found), len(x), d, removals,
+            d, added, removed, spare = found or (0, x[:0], x[:0], 0)
+            rows.append((a, b, linked, bool(found), len(x), d, spare,
                          added.view(np.int64).tolist(), removed.view(np.int64).tolist()))
         columns = list(zip(*rows, strict=True)) or [()] * 9
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(),
@@ -605,15 +602,33 @@ def _pairs(lists: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 def _pairs_around(stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components around one centre whose differences share enough.
 
-    All shared added tokens are counted. A pair without any must share ``needed`` removed ones,
-    and so at least some among the emitted ones, as for prefixes.
+    All sets order the tokens of their differences alike: added ones that few sets around
+    the centre have, then removed ones by a seed, then added ones that ``CROWD`` or more
+    have, the most frequent last. Sets meet by all tokens but their last ``spare``, so a token
+    that makes a crowd brings no pairs together where others must be shared as well. What
+    they share is counted; skipped added ones may come to that, as many as either set skips.
     """
     near = stars.where("near").join(labels.withColumnRenamed("id", "name"), "name", "left")
-    tokens = near.selectExpr(
-        "centre", "name", "n", "d", "removals", "size(removed) AS kept", "coalesce(label, name) AS label",
+    own = ["centre", "name"]
+    listed = near.selectExpr(*own, "explode(added) AS token")
+    frequent = listed.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("times")).where(f"times >= {CROWD}")
+    last = listed.join(frequent, ["centre", "token"]).groupBy(*own).agg(
+        F.sort_array(F.collect_list(F.struct("times", "token")), asc=False).alias("last")
+    )
+    sets = near.join(last, own, "left").selectExpr(
+        *own, "n", "d", "cast(size(removed) AS BIGINT) AS removals", "coalesce(label, name) AS label", "spare",
+        "added", "removed",
+        "transform(slice(coalesce(last, array()), 1, cast(spare AS INT)), t -> t.token) AS skipped",
+    ).selectExpr(
+        *own, "n", "d", "removals", "label", "removed", "cast(size(skipped) AS BIGINT) AS skips",
+        "array_except(added, skipped) AS added",
+        "greatest(0L, removals - (spare - size(skipped))) AS kept",
+    )
+    tokens = sets.selectExpr(
+        *own, "n", "d", "removals", "kept", "skips", "label",
         "explode(concat(transform(added, t -> struct(t AS token, true AS is_added)),"
-        " transform(removed, t -> struct(t AS token, false AS is_added)))) AS t",
-    ).selectExpr("centre", "t.token", "t.is_added", "name", "n", "d", "removals", "kept", "label")
+        " transform(slice(removed, 1, cast(kept AS INT)), t -> struct(t AS token, false AS is_added)))) AS t",
+    ).selectExpr("centre", "t.token", "t.is_added", "name", "n", "d", "removals", "kept", "skips", "label")
     mixed = stored(
         tokens.selectExpr(
             "*", "min(label) OVER (PARTITION BY centre, token) AS low",
@@ -624,10 +639,11 @@ def _pairs_around(stars: DataFrame, labels: DataFrame, percent: int) -> DataFram
     left = mixed.withColumnRenamed("name", "a")
     right = mixed.selectExpr(
         "centre", "token", "name AS b", "n AS m", "d AS e", "removals AS right_removals",
-        "kept AS right_kept", "label AS right_label",
+        "kept AS right_kept", "skips AS right_skips", "label AS right_label",
     )
-    needed = f"(d + e - {_allowed_sql('n', 'm', percent)}) div 2"
-    sizes = ["a", "b", "n", "m", "d", "e", "removals", "right_removals", "kept", "right_kept"]
+    # tokens to be shared among those that are not skipped added ones
+    needed = f"((d + e - {_allowed_sql('n', 'm', percent)}) div 2 - greatest(skips, right_skips))"
+    sizes = ["a", "b", "n", "m", "d", "e", "removals", "right_removals", "kept", "right_kept", "skips", "right_skips"]
     shared = (
         left.join(right, ["centre", "token"])
         .where(
